@@ -5,6 +5,11 @@ from __future__ import annotations
 from .common import table
 from .decontamination import op3_decontaminate
 from .sharding import op5_shards
+from .simhash import op1_near_duplicates
+
+
+def op1_simhash_near_dedup(spark, sf_dir):
+    return op1_near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_benchmark_decontamination(spark, sf_dir):
@@ -15,7 +20,7 @@ def op5_stratified_shards(spark, sf_dir):
     return op5_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op5_stratified_shards)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_benchmark_decontamination, op5_stratified_shards)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
