@@ -18,7 +18,20 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def interleave(df: DataFrame, stratum: str = "source", ids: tuple[str, ...] = ("doc_id",), shards: int = 16, seed: str = "lectern-5", rows_per_bucket: int = 20_000) -> DataFrame:
+def before(df: DataFrame, keys: list[str], bucket: str, span: int = 1000) -> DataFrame:
+    """(keys, bucket, _x_before): for each bucket the rows of lower ones with the same keys.
+
+    Buckets are summed by spans of so many, and spans before each other, so that no task sorts more than span buckets
+    or one row for each span.
+    """
+    counts = df.groupBy(*keys, bucket).agg(F.count("*").alias("_x_c")).withColumn("_x_span", F.floor(F.col(bucket) / span))
+    lower = lambda keys, by: F.coalesce(F.sum("_x_c").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.groupBy(*keys, "_x_span").agg(F.sum("_x_c").alias("_x_c")).withColumn("_x_whole", lower(keys, "_x_span")).drop("_x_c")
+    inside = counts.withColumn("_x_part", lower([*keys, "_x_span"], bucket))
+    return inside.join(spans, [*keys, "_x_span"]).select(*keys, bucket, (F.col("_x_whole") + F.col("_x_part")).alias("_x_before"))
+
+
+def interleave(df: DataFrame, stratum: str = "source", ids: tuple[str, ...] = ("doc_id",), shards: int = 16, seed: str = "lectern-5", rows_per_bucket: int = 1000) -> DataFrame:
     """Adds shard (int), slot (long, gapless from 0 in each shard) and fraction (rational rank as double).
 
     ids orders and seeds the rows. A null stratum is a stratum of its own; null ids count as ''. Repeated rows each take
@@ -35,23 +48,18 @@ def interleave(df: DataFrame, stratum: str = "source", ids: tuple[str, ...] = ("
     buckets = max(1, -(-total // rows_per_bucket))
     # 28 bits of the hash, as a share of the range
     place = F.conv(F.substring("_x_o", 1, 7), 16, 10).cast("long")
-    keyed = keyed.withColumn("_x_b", F.floor(place * buckets / F.lit(1 << 28)).cast("long"))
+    keyed = keyed.join(sizes, "_x_s").withColumn("_x_b", F.floor(place * F.ceil(F.col("_x_n") / rows_per_bucket) / F.lit(1 << 28)).cast("long"))
     in_bucket = Window.partitionBy("_x_s", "_x_b").orderBy("_x_o", *[F.col(f"`{c}`").asc_nulls_first() for c in ids])
-    before = Window.partitionBy("_x_s").orderBy("_x_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("_x_s", "_x_b").agg(F.count("*").alias("_x_c")).withColumn("_x_before", F.coalesce(F.sum("_x_c").over(before), F.lit(0))).drop("_x_c")
     first = (
         keyed.withColumn("_x_r", F.row_number().over(in_bucket) - 1)
-        .join(offsets, ["_x_s", "_x_b"])
-        .join(sizes, "_x_s")
+        .join(before(keyed, ["_x_s"], "_x_b"), ["_x_s", "_x_b"])
         .withColumn("_x_r", (F.col("_x_r") + F.col("_x_before")).cast("long"))
         .withColumn("fraction", (2 * F.col("_x_r") + 1) / (2 * F.col("_x_n")))
         .withColumn("_x_f", F.least(F.floor(F.col("fraction") * buckets).cast("long"), F.lit(buckets - 1)))
     )
     first = written(first.select(*[F.col(f"`{c}`") for c in names], "_x_s", "_x_r", "_x_f", "fraction"), "interleave")
 
-    starts = first.groupBy("_x_f").agg(F.count("*").alias("_x_c"))
-    # As many rows as there are buckets, a few for each million documents.
-    starts = starts.withColumn("_x_before", F.coalesce(F.sum("_x_c").over(Window.orderBy("_x_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_x_c")
+    starts = before(first, [], "_x_f")
     here = Window.partitionBy("_x_f").orderBy("fraction", "_x_s", "_x_r")
     place = (F.col("_x_before") + F.row_number().over(here) - 1).cast("long")
     out = first.join(starts, "_x_f").withColumn("_x_p", place)
