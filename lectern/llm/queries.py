@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
 from .decontamination import op3_decontaminate
+from .quality import op2_quality
+from .secret_scan import op6_secret_scan
 from .sharding import op5_shards
 from .simhash import op1_near_duplicates
 
@@ -12,6 +16,10 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return op1_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_tokeniser_fertility(spark, sf_dir):
+    return op2_quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_benchmark_decontamination(spark, sf_dir):
     return op3_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,7 +28,11 @@ def op5_stratified_shards(spark, sf_dir):
     return op5_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_benchmark_decontamination, op5_stratified_shards)}
+def op6_multipart_secrets(spark, sf_dir):
+    return op6_secret_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op5_stratified_shards, op6_multipart_secrets)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
