@@ -10,6 +10,7 @@ from .quality import op2_quality
 from .secret_scan import op6_secret_scan
 from .sharding import op5_shards
 from .simhash import op1_near_duplicates
+from .warc import op9_archives
 
 
 def op1_simhash_near_dedup(spark, sf_dir):
@@ -32,10 +33,19 @@ def op6_multipart_secrets(spark, sf_dir):
     return op6_secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op5_stratified_shards, op6_multipart_secrets)}
+def op9_warc_archives(spark, sf_dir):
+    return op9_archives(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op5_stratified_shards, op6_multipart_secrets, op9_warc_archives)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
+    "op9_warc_archives": """
+SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM (SELECT *, strlen(coalesce(html, '')) >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again
+      FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))""",
     "op3_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
