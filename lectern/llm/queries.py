@@ -10,6 +10,7 @@ from .quality import op2_quality
 from .secret_scan import op6_secret_scan
 from .sharding import op5_shards
 from .simhash import op1_near_duplicates
+from .token_files import op4_token_files
 from .warc import op9_archives
 
 
@@ -25,6 +26,10 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return op3_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_huffman_token_files(spark, sf_dir):
+    return op4_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_stratified_shards(spark, sf_dir):
     return op5_shards(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op9_warc_archives(spark, sf_dir):
     return op9_archives(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op5_stratified_shards, op6_multipart_secrets, op9_warc_archives)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op4_huffman_token_files, op5_stratified_shards, op6_multipart_secrets, op9_warc_archives)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
