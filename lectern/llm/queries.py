@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .backoff_lm import op8_scores
 from .common import table
 from .decontamination import op3_decontaminate
 from .quality import op2_quality
@@ -38,11 +39,15 @@ def op6_multipart_secrets(spark, sf_dir):
     return op6_secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_backoff_scores(spark, sf_dir):
+    return op8_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_archives(spark, sf_dir):
     return op9_archives(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op4_huffman_token_files, op5_stratified_shards, op6_multipart_secrets, op9_warc_archives)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op4_huffman_token_files, op5_stratified_shards, op6_multipart_secrets, op8_backoff_scores, op9_warc_archives)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
