@@ -1,8 +1,8 @@
 """WARC archives by way of a chunk table: a record is as many rows (record, chunk number, bytes) as its payload needs.
 
-Writing: payloads become chunk rows, which are dealt to archives by record and sorted; a task then streams them into
-its archive, one chunk in memory at a time, carrying the digest of the record from chunk to chunk, and holds it against
-the digest in the header at the last one. Reading streams an archive back into chunk rows with running length and
+Writing: payloads become chunk rows, those of a record after each other; a task streams them into its archives, one
+chunk in memory at a time, carrying the digest of the record from chunk to chunk, and holds it against the digest in the
+header at the last one. Reading streams an archive back into chunk rows with running length and
 digest, so that the last row of a record has both of the whole payload.
 
 Archives are sequences of gzip members, one for each record, as WARC readers expect. Each is written under a name of its
@@ -26,8 +26,8 @@ CHUNK = 1 << 20
 LEAST_DEDUP = 100
 READ = 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "archive int, path string, n_records bigint, n_bytes bigint"
-CHUNKS = "archive int, record bigint, page_id string, record_type string, refers_to string, chunk int, data binary, last boolean, length_so_far bigint, digest_so_far string"
+MANIFEST = "path string, n_records bigint, n_bytes bigint"
+CHUNKS = "archive string, record bigint, page_id string, record_type string, refers_to string, chunk int, data binary, last boolean, length_so_far bigint, digest_so_far string"
 
 
 def payload(html: Column) -> Column:
@@ -50,17 +50,17 @@ def planned(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
 def chunked(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", chunk: int = CHUNK, least: int = LEAST_DEDUP) -> DataFrame:
     """The chunk table: one row for each chunk of a response's payload, one without data for a revisit or an empty payload."""
     plan = planned(pages, page, url, html, least)
-    own = plan.where("refers_to IS NOT NULL").select("page_id", "digest", "refers_to").distinct()
+    own = plan.where("refers_to IS NOT NULL").select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("own"), "digest", "refers_to").distinct()
     body = payload(F.col(f"`{html}`"))
     rows = pages.select(F.col(f"`{page}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("body"))
-    rows = rows.withColumns({"length": F.octet_length("body").cast("long"), "digest": F.sha2("body", 256), "record": F.monotonically_increasing_id()})
-    # Revisits are found by id and digest, so that no payload is shuffled to find its like.
-    rows = rows.join(own.withColumnRenamed("page_id", "own_id"), (F.col("page_id").eqNullSafe(F.col("own_id"))) & (rows["digest"] == own["digest"]), "left").drop("own_id", own["digest"])
+    rows = rows.withColumns({"length": F.octet_length("body").cast("long"), "digest": F.sha2("body", 256), "own": F.coalesce(F.col("page_id").cast("string"), F.lit(""))})
+    # By id and digest: no page has many rows, however many are equal. This is the only shuffle of payloads.
+    rows = rows.join(own, ["own", "digest"], "left")
     data = F.when(F.col("refers_to").isNull(), F.col("body"))
     count = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length(data), F.lit(0)) / chunk)).cast("int")
     cut = F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk")
-    rows = rows.select("record", "page_id", "url", "length", "digest", "refers_to", data.alias("data"), count.alias("chunks"), cut)
-    return rows.select("record", F.col("page_id").cast("string").alias("page_id"), "url", "length", "digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("refers_to").cast("string").alias("refers_to"), "chunk", "chunks", F.substring("data", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("data"))
+    rows = rows.select("page_id", "url", "length", "digest", "refers_to", data.alias("data"), count.alias("chunks"), cut)
+    return rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "length", "digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("refers_to").cast("string").alias("refers_to"), "chunk", "chunks", F.substring("data", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("data"))
 
 
 def header(page_id, url, length, digest, kind, refers_to) -> bytes:
@@ -78,13 +78,13 @@ def header(page_id, url, length, digest, kind, refers_to) -> bytes:
 class Archive:
     """One archive while it is written."""
 
-    def __init__(self, folder: str, number: int):
+    def __init__(self, folder: str, name: str):
         from pyarrow import fs
 
         self.files, base = fs.FileSystem.from_uri(folder)
         self.files.create_dir(base, recursive=True)
-        self.path, self.temporary = f"{base}/part-{number:05d}.warc.gz", f"{base}/.part-{number:05d}-{uuid.uuid4().hex}"
-        self.out, self.number, self.records, self.bytes = self.files.open_output_stream(self.temporary, compression=None), number, 0, 0
+        self.path, self.temporary = f"{base}/{name}.warc.gz", f"{base}/.{name}-{uuid.uuid4().hex}"
+        self.out, self.records, self.bytes = self.files.open_output_stream(self.temporary, compression=None), 0, 0
 
     def put(self, data: bytes) -> None:
         self.bytes += len(data)
@@ -93,27 +93,31 @@ class Archive:
     def close(self) -> dict:
         self.out.close()
         self.files.move(self.temporary, self.path)
-        return {"archive": self.number, "path": self.path, "n_records": self.records, "n_bytes": self.bytes}
+        return {"path": self.path, "n_records": self.records, "n_bytes": self.bytes}
 
 
-def write(chunks: DataFrame, folder: str, archives: int) -> DataFrame:
-    """Writes the chunk table to archives in folder and returns their manifest (archive, path, n_records, n_bytes)."""
-    # The number of the archive decides the task; a task may hold several, one after the other.
-    rows = chunks.withColumn("archive", F.pmod(F.xxhash64("record"), F.lit(archives)).cast("int"))
-    rows = rows.repartition(archives, "archive").sortWithinPartitions("archive", "record", "chunk")
-    rows = rows.select("archive", "record", "page_id", "url", "length", "digest", "record_type", "refers_to", "chunk", "chunks", "data")
+def write(chunks: DataFrame, folder: str, bytes_per_archive: int = 64 << 20) -> DataFrame:
+    """Writes the chunk table to archives in folder and returns their manifest (path, n_records, n_bytes).
+
+    The chunks of a record must follow each other, as chunked() gives them. Each task writes archives of its own, a new
+    one after bytes_per_archive bytes.
+    """
+    rows = chunks.select("page_id", "url", "length", "digest", "record_type", "refers_to", "chunk", "chunks", "data")
 
     def run(batches):
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
         archive = packer = hasher = None
         done = []
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
-                if archive is None or archive.number != r["archive"]:
-                    if archive is not None:
-                        done.append(archive.close())
-                    archive = Archive(folder, r["archive"])
                 if r["chunk"] == 0:
+                    if archive is not None and archive.bytes >= bytes_per_archive:
+                        done.append(archive.close())
+                        archive, number = None, number + 1
+                    archive = archive or Archive(folder, f"part-{task:05d}-{number:05d}")
                     packer, hasher = zlib.compressobj(6, wbits=31), hashlib.sha256()
                     archive.put(packer.compress(header(*(r[c] for c in ("page_id", "url", "length", "digest", "record_type", "refers_to")))))
                 data = r["data"] or b""
@@ -121,13 +125,13 @@ def write(chunks: DataFrame, folder: str, archives: int) -> DataFrame:
                 archive.put(packer.compress(data))
                 if r["chunk"] == r["chunks"] - 1:
                     if r["record_type"] == "response" and hasher.hexdigest() != r["digest"]:
-                        raise ValueError(f"record {r['record']}: its chunks don't have its digest")
+                        raise ValueError(f"page {r['page_id']}: its chunks don't have its digest")
                     archive.put(packer.compress(b"\r\n\r\n") + packer.flush())
                     archive.records += 1
         if archive is not None:
             done.append(archive.close())
         if done:
-            yield pa.RecordBatch.from_pylist(done, pa.schema([("archive", pa.int32()), ("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
     return written(rows.mapInArrow(run, MANIFEST), "warc-manifest")
 
@@ -182,15 +186,15 @@ def records(source, chunk: int):
 
 def read(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
     """The chunk table of the archives of a manifest, with running length and digest; the last row of a record has the whole payload's."""
-    tasks = manifest.select("archive", "path").repartition(max(1, manifest.count()), "archive")
+    tasks = manifest.select("path").repartition(max(1, manifest.count()), "path")
 
     def run(batches):
         from pyarrow import fs
 
-        schema = pa.schema([("archive", pa.int32()), ("record", pa.int64()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("chunk", pa.int32()), ("data", pa.binary()), ("last", pa.bool_()), ("length_so_far", pa.int64()), ("digest_so_far", pa.string())])
+        schema = pa.schema([("archive", pa.string()), ("record", pa.int64()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("chunk", pa.int32()), ("data", pa.binary()), ("last", pa.bool_()), ("length_so_far", pa.int64()), ("digest_so_far", pa.string())])
         files, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for archive, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path in batch.column(0).to_pylist():
                 with files.open_input_stream(path, compression=None) as source:
                     held, size, record = [], 0, -1
                     for f, number, data, last, so_far, digest in records(source, chunk):
@@ -200,7 +204,7 @@ def read(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
                             raise ValueError(f"{path}: a payload has changed")
                         if kind == "revisit":
                             so_far, digest = int(f["x-payload-length"]), claimed
-                        held.append((archive, record, f.get("x-page-id"), kind, f.get("x-refers-to-page-id"), number, data, last, so_far, digest))
+                        held.append((path, record, f.get("x-page-id"), kind, f.get("x-refers-to-page-id"), number, data, last, so_far, digest))
                         size += len(data)
                         if size >= 4 * CHUNK or len(held) >= 5000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
@@ -211,16 +215,14 @@ def read(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
     return tasks.mapInArrow(run, CHUNKS)
 
 
-def archived(spark: SparkSession, pages: DataFrame, chunk: int = CHUNK, bytes_per_archive: int = 64 << 20) -> tuple[DataFrame, str]:
+def archived(pages: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, str]:
     """Writes pages to archives in the shared folder: their manifest, and the folder."""
-    total = pages.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))).cast("long")), F.count("*")).first()
-    archives = max(1, -(-((total[0] or 0) + 500 * total[1]) // bytes_per_archive), min(8, total[1] // 100))
-    folder = scratch(spark, "warc")
-    return write(chunked(pages, chunk=chunk), folder, archives), folder
+    folder = scratch(pages.sparkSession, "warc")
+    return write(chunked(pages, chunk=chunk), folder), folder
 
 
 def op9_archives(pages: DataFrame) -> DataFrame:
-    manifest, folder = archived(pages.sparkSession, pages.select("page_id", "url", "html"))
+    manifest, folder = archived(pages.select("page_id", "url", "html"))
     kind = pages.schema["page_id"].dataType
     back = read(manifest, folder).where("last")
     return back.select(F.col("page_id").cast(kind).alias("page_id"), F.col("length_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -39,7 +39,7 @@ def test_written_and_read_back(spark):
 def test_chunks_make_the_payloads(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     folder = scratch(spark, "warc-test")
-    manifest = warc.write(warc.chunked(df, chunk=1000), folder, 3)
+    manifest = warc.write(warc.chunked(df.repartition(3), chunk=1000), folder, 20_000)
     assert sum(r.n_records for r in manifest.collect()) == len(rows())
     back = warc.read(manifest, folder, chunk=700).collect()
     whole, digests = {}, {}
