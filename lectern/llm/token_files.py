@@ -33,8 +33,9 @@ BLOCK = 1 << 16
 STRIDE = 1 << 9
 END = 2
 MAGIC = b"LTF1"
-KNOWN = 300_000
-SLICE_CHARS = 6_000_000
+KNOWN, KEPT = 600_000, 200_000
+AT_ONCE = 10_000
+SLICE_CHARS = 3_000_000
 # After other white space a space is a place to cut only if a word follows.
 UNCUT = re.compile(r"\s\x20(?:\s|\Z)")
 
@@ -71,7 +72,8 @@ class Pieces(dict):
             count[i] = len(own)
         got = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
         if self.new:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
+            # What the library returns of a piece is large, so that not many are encoded at once.
+            coded = [e.ids for i in range(0, len(self.new), AT_ONCE) for e in self.tokenizer.encode_batch_fast(self.new[i : i + AT_ONCE], add_special_tokens=False)]
             n = np.fromiter(map(len, coded), np.int64, len(coded))
             flat = np.fromiter((t for c in coded for t in c), np.uint32, n.sum())
             self.start, self.n = np.r_[self.start, np.cumsum(n) - n + len(self.flat)], np.r_[self.n, n]
@@ -81,8 +83,11 @@ class Pieces(dict):
         ids = self.flat[np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n - self.start[got], n)]
         upto = np.r_[0, ends][np.r_[0, np.cumsum(count)]]
         if len(self) > KNOWN:
-            self.clear()
-            self.flat, self.start, self.n = self.flat[:0], self.start[:0], self.n[:0]
+            # Frequent pieces were met first.
+            for piece in [p for p, i in self.items() if i >= KEPT]:
+                del self[piece]
+            self.start, self.n = self.start[:KEPT].copy(), self.n[:KEPT].copy()
+            self.flat = self.flat[: self.start[-1] + self.n[-1]].copy()
         return ids, np.diff(upto)
 
 

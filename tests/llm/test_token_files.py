@@ -80,3 +80,13 @@ def test_files(spark):
         assert r[1] == at
         at += r[2]
     assert tf.op4_token_files(df.limit(0), PATH).collect() == []
+
+
+def test_forgotten_pieces_are_encoded_anew(monkeypatch):
+    monkeypatch.setattr(tf, "KNOWN", 50)
+    monkeypatch.setattr(tf, "KEPT", 20)
+    known, whole = tf.Pieces(PATH), Tokenizer.from_file(PATH)
+    for i in range(20):
+        text = " ".join(f"word{j}" for j in range(i, i + 30))
+        ids, _ = known.encode([text])
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids and len(known) <= 80
