@@ -21,16 +21,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 ORDER = 2
-MASS = 40.0
+MASS = 500.0
 FOLD, HELD = 7, 2
-PART_CHARS = 24_000_000
-SLICE_CHARS = 4_000_000
+PART_CHARS = 10_000_000
+SLICE_CHARS = 2_500_000
+KNOWN = 300_000
 CHARS_PER_RANGE = 16_000_000
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +75,7 @@ def token_hashes(texts: list[str], known: Vocabulary) -> tuple[np.ndarray, np.nd
     split = [t.encode().lower().split() for t in texts]
     n = np.fromiter(map(len, split), np.int64, len(split))
     flat = np.fromiter(map(known.__getitem__, (w for own in split for w in own)), np.uint64, int(n.sum()))
-    if len(known) > 500_000:
+    if len(known) > KNOWN:
         known.clear()
     ends = np.cumsum(n)
     return np.insert(flat, ends, END), ends - n + np.arange(len(n))
@@ -116,6 +117,12 @@ def cuts_of(keys: np.ndarray, cuts: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, bounds), len(keys)]
 
 
+def rows_of(batch: pa.RecordBatch):
+    """The rows one by one: of large values no more than one row's are copied."""
+    for i in range(batch.num_rows):
+        yield {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
+
+
 def slices(texts: list[str], most: int):
     at = 0
     while at < len(texts):
@@ -133,8 +140,8 @@ PARTS = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("size", pa.int3
 PARTS_SQL = "part bigint, kind string, size int, cut int, n bigint, keys binary, data binary"
 
 
-def parts_of(docs: DataFrame, order: int, cuts: int, part_chars: int) -> DataFrame:
-    """Rows of kind 'grams': of each part, n-gram length (size) and range (cut) the sorted keys and training counts.
+def parts_of(docs: DataFrame, order: int, cuts: int, part_chars: int) -> str:
+    """The path of a table in folders by kind. Rows of kind 'grams': of each part, n-gram length (size) and range (cut) the sorted keys and training counts.
 
     Rows of kind 'texts': slices of the part's documents, n of whose tokens are for training.
     """
@@ -175,12 +182,28 @@ def parts_of(docs: DataFrame, order: int, cuts: int, part_chars: int) -> DataFra
         if n_slices:
             yield from closed()
 
-    return written(rows.mapInArrow(run, PARTS_SQL), "lm-parts")
+    at = scratch(docs.sparkSession, "lm-parts")
+    rows.mapInArrow(run, PARTS_SQL).write.partitionBy("kind").parquet(at)
+    return at
+
+
+def of_kind(spark: SparkSession, at: str, kind: str) -> DataFrame:
+    """The rows of one kind; none if none was written."""
+    schema = ", ".join(x for x in PARTS_SQL.split(", ") if not x.startswith("kind "))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/kind={kind}")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    rows = spark.read.schema(schema).parquet(f"{at}/kind={kind}") if there else spark.createDataFrame([], schema)
+    return rows.withColumn("kind", F.lit(kind)).select(*PARTS.names)
+
+
+def dropped(spark: SparkSession, at: str, kind: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/kind={kind}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def answered(parts: DataFrame, cuts: int, order: int) -> DataFrame:
+def answered(grams: DataFrame, cuts: int, order: int) -> DataFrame:
     """For each row of kind 'grams' one of kind 'answer' with the counts over all parts; n is how many of the range's keys were trained, on one row of each range."""
-    asked = parts.where("kind = 'grams'").repartition(cuts * order, "size", "cut").sortWithinPartitions("size", "cut", "part")
+    asked = grams.repartition(cuts * order, "size", "cut").sortWithinPartitions("size", "cut", "part")
 
     def run(batches):
         held, of = [], None
@@ -193,7 +216,7 @@ def answered(parts: DataFrame, cuts: int, order: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"part": part, "kind": "answer", "size": of[0], "cut": of[1], "n": 0 if i else trained, "keys": None, "data": planes(counts.astype("<u8"))}], PARTS)
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 if held and (r["size"], r["cut"]) != of:
                     yield from answers()
                     held = []
@@ -272,18 +295,18 @@ class Automaton:
 SCORES = pa.schema([("doc", pa.string()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def scored(parts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tokens: int, n_kinds: int, mass: float) -> DataFrame:
-    rows = parts.where("kind = 'texts'").unionByName(answers)
+def scored(texts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tokens: int, n_kinds: int, mass: float) -> DataFrame:
+    rows = texts.unionByName(answers)
     rows = rows.withColumn("rank", F.when(F.col("kind") == "texts", 1).otherwise(0))
     rows = rows.repartition(F.col("part")).sortWithinPartitions("part", "rank", "size", "cut").select(*PARTS.names)
 
     def run(batches):
         known = Vocabulary()
-        counts, texts, of = [[] for _ in range(order)], [], None
+        counts, slices_, of = [[] for _ in range(order)], [], None
 
         def of_part():
             total = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in counts]
-            tables = [pa.ipc.open_stream(t).read_all() for t in texts]
+            tables = [pa.ipc.open_stream(t).read_all() for t in slices_]
             several = [token_hashes(t.column("text").to_pylist(), known) for t in tables]
             tokens = np.concatenate([t for t, _ in several])
             base = np.cumsum([0, *[len(t) for t, _ in several]])
@@ -291,12 +314,10 @@ def scored(parts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tok
             at = []
             for k, keys in enumerate(grams(tokens, begins, order)):
                 real = keys != 0
-                distinct, place = np.unique(keys[real], return_inverse=True)
+                distinct = np.unique(keys[real])
                 if len(distinct) != len(total[k]):
                     raise ValueError("the answers aren't those of this part")
-                own = np.zeros(len(keys), np.int64)
-                own[real] = place
-                at.append(own)
+                at.append(np.where(real, np.searchsorted(distinct, keys), 0).astype(np.int32))
             machine = Automaton(at, total, begins, n_texts, n_tokens, n_kinds, mass)
             c = total[0][at[0]]
             n = np.diff(np.r_[begins, len(tokens)])
@@ -306,13 +327,13 @@ def scored(parts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tok
             yield pa.RecordBatch.from_arrays([docs.cast(pa.string()), train, pa.array(n, pa.int64()), pa.array(sums((c > 0).astype(np.int64))), pa.array(base_score), pa.array(machine.scores())], schema=SCORES)
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 if of is not None and r["part"] != of:
                     yield from of_part()
-                    counts, texts = [[] for _ in range(order)], []
+                    counts, slices_ = [[] for _ in range(order)], []
                 of = r["part"]
                 if r["kind"] == "texts":
-                    texts.append(r["data"])
+                    slices_.append(r["data"])
                 else:
                     counts[r["size"] - 1].append(from_planes(r["data"], "<u8").astype(np.int64))
         if of is not None:
@@ -332,11 +353,15 @@ def score(docs: DataFrame, train, doc: str = "doc_id", text: str = "text", order
     cuts = max(1, -(-(total or 0) // CHARS_PER_RANGE))
     # Parts and ranges meet in as many rows as their product, so that for a very large corpus both grow as its root.
     part_chars = part_chars or max(PART_CHARS, int((total or 0) ** 0.5 * 50))
-    parts = parts_of(own, order, cuts, part_chars)
-    n_tokens = parts.where("kind = 'texts'").agg(F.sum("n")).first()[0] or 0
-    answers = answered(parts, cuts, order)
+    spark = docs.sparkSession
+    at = parts_of(own, order, cuts, part_chars)
+    texts = of_kind(spark, at, "texts")
+    n_tokens = texts.agg(F.sum("n")).first()[0] or 0
+    answers = answered(of_kind(spark, at, "grams"), cuts, order)
+    # The answers are a table of their own; what was asked is large and no longer needed.
+    dropped(spark, at, "grams")
     n_kinds = answers.where("size = 1").agg(F.sum("n")).first()[0] or 0
-    out = scored(parts, answers, order, n_texts, n_tokens, n_kinds, mass)
+    out = scored(texts, answers, order, n_texts, n_tokens, n_kinds, mass)
     kind = docs.schema[doc].dataType
     return out.select(F.col("doc").cast(kind).alias(doc), "train", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

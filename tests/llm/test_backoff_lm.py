@@ -60,7 +60,7 @@ def test_scores_match_recursion(spark, order):
     held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in data]
     want = plain(data, [not h for h in held], order, 40.0)
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    got = lm.score(df, train, order=order, part_chars=3000).collect()
+    got = lm.score(df, train, order=order, mass=40.0, part_chars=3000).collect()
     key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
     for g, w in zip(sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key), sorted(want, key=key)):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:])
