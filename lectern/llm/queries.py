@@ -7,6 +7,7 @@ import public_tokenizers
 from .backoff_lm import op8_scores
 from .common import table
 from .decontamination import op3_decontaminate
+from .pieces import op10_pieces
 from .quality import op2_quality
 from .secret_scan import op6_secret_scan
 from .sharding import op5_shards
@@ -47,7 +48,11 @@ def op9_warc_archives(spark, sf_dir):
     return op9_archives(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op4_huffman_token_files, op5_stratified_shards, op6_multipart_secrets, op8_backoff_scores, op9_warc_archives)}
+def op10_sentencepiece_nbest(spark, sf_dir):
+    return op10_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op4_huffman_token_files, op5_stratified_shards, op6_multipart_secrets, op8_backoff_scores, op9_warc_archives, op10_sentencepiece_nbest)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
