@@ -74,6 +74,9 @@ def test_index_in_dense_and_sparse_groups():
         order = np.lexsort((simhash.gray_rank(fp), group))
         fp, group = fp[order], group[order]
         got = simhash.components(fp, group, 4)
+        other = fp ^ (rnd.integers(0, 2**63, len(fp), dtype=np.uint64) & rnd.integers(0, 2**63, len(fp), dtype=np.uint64) & np.uint64(0xFF))
+        both = np.argwhere((np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4) & (np.bitwise_count(fp[:, None] ^ fp[None, :]) + np.bitwise_count(other[:, None] ^ other[None, :]) <= 7) & (group[:, None] == group[None, :]))
+        assert (simhash.components(fp, group, 4, other, 7) == simhash.joined(np.arange(len(fp)), both[:, 0], both[:, 1])).all()
         want = np.arange(len(fp))
         near = np.argwhere((np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4) & (group[:, None] == group[None, :]))
         want = simhash.joined(want, near[:, 0], near[:, 1])
@@ -97,8 +100,24 @@ def test_masks_leave_no_pair_out():
 def test_one_of_each(spark):
     rows = texts()
     df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id bigint, text string, fp string")
-    found = simhash.groups(df, shingle=5)
+    found = simhash.groups(df, shingle=5, max_bits=simhash.NEAR_BITS, max_both=simhash.NEAR_BOTH)
     kept = simhash.one_of_each(df)
     assert kept.columns == ["doc_id", "text", "fp"]
     assert kept.count() == found.select("root").distinct().count()
     assert not {r.doc_id for r in kept.collect()} - {r.component_id for r in found.collect()}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rnd = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    rows, group = [], []
+    for g in range(40):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randrange(150, 400))]
+        for _ in range(3):
+            words = list(base)
+            for _ in range(max(1, len(words) // 120)):
+                words[rnd.randrange(len(words))] = "edited"
+            rows.append((len(rows), " ".join(words)))
+            group.append(g)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {group[d] for d in kept} == set(range(40)) and len(kept) <= 44
