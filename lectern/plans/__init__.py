@@ -1 +1,3 @@
-"""Lectern: plans."""
+"""The registered queries."""
+
+from . import sequence_queries, table_queries, text_queries  # noqa: F401
