@@ -20,6 +20,7 @@ import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,15 @@ BLOCK = 1 << 16
 STRIDE = 1 << 9
 END = 2
 MAGIC = b"LTF1"
-KNOWN, KEPT = 600_000, 200_000
+KNOWN, KEPT = 700_000, 300_000
 AT_ONCE = 10_000
 SLICE_CHARS = 3_000_000
 # After other white space a space is a place to cut only if a word follows.
 UNCUT = re.compile(r"\s\x20(?:\s|\Z)")
+AFTER_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+NEAR_BREAK = re.compile(r"\n\s|[^\S\n]\n").search
+# A word and the punctuation after it are always apart.
+PUNCTUATED = re.compile(r"(\x20?[^\W_]+)([!-/:-@\[-`{-~]+)")
 
 
 # Text to ids
@@ -59,35 +64,66 @@ class Pieces(dict):
         self.new.append(piece)
         return at
 
+    def cut(self, text: str) -> list[str]:
+        """The text cut before spaces and around line breaks, where the tokenizer cuts as well."""
+        if "\0" in text or any(s in text for s in self.special) or (any(s in text for s in AFTER_SPACE) and UNCUT.search(text)):
+            return [text]
+        marked = text.replace(" ", "\0 ")
+        # A line break between words or punctuation stands alone.
+        if "\n" in text and not NEAR_BREAK(text):
+            marked = marked.replace("\n", "\0\n\0")
+        own = marked.split("\0")
+        return own if own[0] and own[-1] else [p for p in own if p]
+
+    def gathered(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after the other."""
+        n = self.n[numbers]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n - self.start[numbers], n)]
+
+    def _placed(self, numbers: np.ndarray, n: np.ndarray, flat: np.ndarray) -> None:
+        self.start[numbers], self.n[numbers] = np.cumsum(n) - n + len(self.flat), n
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _learn(self) -> None:
+        """Ids of the new pieces. A word with punctuation after it is the word and the punctuation."""
+        new, self.new = self.new, []
+        at = self[new[0]]
+        parted, plain = [], []
+        for i, p in enumerate(new):
+            if m := PUNCTUATED.fullmatch(p):
+                parted.append((at + i, self[m[1]], self[m[2]]))
+            else:
+                plain.append(i)
+        numbers = np.array([at + i for i in plain] + list(range(at + len(new), len(self))), np.int64)
+        texts = [new[i] for i in plain] + self.new
+        self.new = []
+        more = np.zeros(len(self) - len(self.n), np.int64)
+        self.start, self.n = np.concatenate([self.start, more]), np.concatenate([self.n, more])
+        # What the library returns of a piece is large, so that not many are encoded at once.
+        coded = [e.ids for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        self._placed(numbers, n, np.fromiter(chain.from_iterable(coded), np.uint32, n.sum()))
+        if parted:
+            parted = np.array(parted, np.int64)
+            self._placed(parted[:, 0], self.n[parted[:, 1:]].sum(axis=1), self.gathered(parted[:, 1:].ravel()))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each text has."""
-        pieces, count = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if UNCUT.search(t) or any(s in t for s in self.special):
-                own = [t]
-            else:
-                first, *rest = t.split(" ")
-                own = [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
-            pieces += own
-            count[i] = len(own)
-        got = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        cut = [self.cut(t) for t in texts]
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        got = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, int(count.sum()))
         if self.new:
-            # What the library returns of a piece is large, so that not many are encoded at once.
-            coded = [e.ids for i in range(0, len(self.new), AT_ONCE) for e in self.tokenizer.encode_batch_fast(self.new[i : i + AT_ONCE], add_special_tokens=False)]
-            n = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter((t for c in coded for t in c), np.uint32, n.sum())
-            self.start, self.n = np.r_[self.start, np.cumsum(n) - n + len(self.flat)], np.r_[self.n, n]
-            self.flat, self.new = np.r_[self.flat, flat], []
-        n = self.n[got]
-        ends = np.cumsum(n)
-        ids = self.flat[np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n - self.start[got], n)]
-        upto = np.r_[0, ends][np.r_[0, np.cumsum(count)]]
+            self._learn()
+        ids = self.gathered(got)
+        upto = np.r_[0, np.cumsum(self.n[got])][np.r_[0, np.cumsum(count)]]
         if len(self) > KNOWN:
             # Frequent pieces were met first.
             for piece in [p for p, i in self.items() if i >= KEPT]:
                 del self[piece]
-            self.start, self.n = self.start[:KEPT].copy(), self.n[:KEPT].copy()
-            self.flat = self.flat[: self.start[-1] + self.n[-1]].copy()
+            numbers = np.arange(KEPT)
+            flat, n = self.gathered(numbers), self.n[:KEPT].copy()
+            self.flat, self.start, self.n = flat, np.cumsum(n) - n, n
         return ids, np.diff(upto)
 
 
