@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import scratch, text_slices, written
 
 ORDER = 2
 MASS = 500.0
@@ -123,17 +123,6 @@ def rows_of(batch: pa.RecordBatch):
         yield {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
 
 
-def slices(texts: list[str], most: int):
-    at = 0
-    while at < len(texts):
-        chars, to = 0, at
-        while to < len(texts) and (to == at or chars < most):
-            chars += len(texts[to])
-            to += 1
-        yield at, to, chars
-        at = to
-
-
 # Parts
 
 PARTS = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("size", pa.int32()), ("cut", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("data", pa.binary())])
@@ -162,20 +151,20 @@ def parts_of(docs: DataFrame, order: int, cuts: int, part_chars: int) -> str:
                     yield pa.RecordBatch.from_pylist([{"part": part, "kind": "grams", "size": k + 1, "cut": int(cut), "n": int(b - a), "keys": keys_packed(keys[a:b]), "data": planes(counts[a:b].astype("<u4"))}], PARTS)
 
         for batch in batches:
-            ids, texts, train = batch.column(0), batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), bool)
-            for at, to, chars in slices(texts, SLICE_CHARS):
-                tokens, begins = token_hashes(texts[at:to], known)
+            ids, train = batch.column(0), np.array(batch.column(2).to_pylist(), bool)
+            for at, to, texts in text_slices(batch.column(1), SLICE_CHARS):
+                tokens, begins = token_hashes(texts, known)
                 taught = np.repeat(train[at:to], np.diff(np.r_[begins, len(tokens)])).astype(np.int64)
                 for k, keys in enumerate(grams(tokens, begins, order)):
                     real = keys != 0
                     more = summed([keys[real]], [taught[real]])
                     own[k] = summed([own[k][0], more[0]], [own[k][1], more[1]])
                 sink = pa.BufferOutputStream()
-                table = pa.table({"doc": ids.slice(at, to - at), "text": pa.array(texts[at:to]), "train": pa.array(train[at:to])})
+                table = pa.table({"doc": ids.slice(at, to - at), "text": batch.column(1).slice(at, to - at), "train": pa.array(train[at:to])})
                 with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_table(table)
                 yield pa.RecordBatch.from_pylist([{"part": part, "kind": "texts", "size": 0, "cut": n_slices, "n": int(taught.sum()), "keys": None, "data": sink.getvalue().to_pybytes()}], PARTS)
-                n_slices, size = n_slices + 1, size + chars
+                n_slices, size = n_slices + 1, size + sum(map(len, texts))
                 if size >= part_chars:
                     yield from closed()
                     own, part, size, n_slices = empty(), part + 1, 0, 0

@@ -6,6 +6,9 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def text_slices(column: pa.Array, most_chars: int):
+    """(from, to, texts) for stretches of a text column of about most_chars characters, nulls as empty texts.
+
+    Only one stretch at a time is in Python strings. A text longer than that is a stretch of its own.
+    """
+    length = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(length)])
+    at = 0
+    while at < len(length):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + most_chars, side="right")) - 1)
+        yield at, to, [t or "" for t in column.slice(at, to - at).to_pylist()]
+        at = to
+
+
 def in_worker(key, make):
     """make() once in each Python worker."""
     kept = sys.__dict__.setdefault("_lectern_kept", {})

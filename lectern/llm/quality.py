@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_worker
+from .common import in_worker, text_slices
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 KNOWN_WORDS = 400_000
-SLICE_WORDS = 1_000_000
+SLICE_CHARS = 5_000_000
 
 # Bands. Fixed values, set once on the labelled documents of a small sample; they don't follow the corpus that is filtered.
 # typical: characters per token of clean text; below typical - CHARS_SLACK - CHARS_SPREAD / sqrt(tokens), or above most, goes.
@@ -155,8 +155,7 @@ def script(text: str) -> str:
 LATIN = np.array([*range(65, 91), *range(97, 123)], np.uint32)
 
 
-def measured(texts: list[str | None], words: Words) -> list[np.ndarray | list]:
-    texts = [t or "" for t in texts]
+def measured(texts: list[str], words: Words) -> list[np.ndarray | list]:
     split = [t.encode().split() for t in texts]
     n_words = np.fromiter(map(len, split), np.int64, len(texts))
     ends = np.cumsum(n_words)
@@ -181,18 +180,11 @@ def measures(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     def run(batches):
         words = in_worker(("quality", model), lambda: Words(model))
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            at = 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size < SLICE_WORDS * 6):
-                    size += len(texts[end] or "")
-                    end += 1
-                made = measured(texts[at:end], words)
+            for at, end, texts in text_slices(batch.column(len(keep)), SLICE_CHARS):
+                made = measured(texts, words)
                 words.trimmed()
                 arrays = [batch.column(i).slice(at, end - at) for i in range(len(keep))] + [pa.array(m, f.type) for m, f in zip(made, MEASURES)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *MEASURES.names])
-                at = end
 
     kinds = {"int64": "bigint", "double": "double", "string": "string"}
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], *[f"{f.name} {kinds[str(f.type)]}" for f in MEASURES]])

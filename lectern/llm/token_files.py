@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_worker, scratch, written
+from .common import in_worker, scratch, text_slices, written
 
 LIMIT = 18
 BLOCK = 1 << 16
@@ -281,14 +281,9 @@ def blocks_of(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()
-            keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            at = 0
-            while at < len(texts):
-                size, to = 0, at
-                while to < len(texts) and (to == at or size < SLICE_CHARS):
-                    size += len(texts[to])
-                    to += 1
-                ids, n = known.encode(texts[at:to])
+            keys = batch.column(1).to_pylist()
+            for at, _, texts in text_slices(batch.column(2), SLICE_CHARS):
+                ids, n = known.encode(texts)
                 ids, n = np.insert(ids, np.cumsum(n), end), n + 1
                 first = np.cumsum(n) - n
                 # Documents that begin in the same stretch of BLOCK ids share a block.
@@ -299,7 +294,6 @@ def blocks_of(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text
                     yield pa.RecordBatch.from_pylist([{"part": part, "block": block, "part_start": start + int(first[a]), "n_ids": len(own), "ids": own.astype("<u4" if own.max() > 65535 else "<u2").tobytes(), "docs": docs}], schema)
                     block += 1
                 start += len(ids)
-                at = to
 
     return written(rows.mapInArrow(run, BLOCKS), "token-blocks")
 
