@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,7 +192,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
 
 def _clean(items: list[tuple[str, str]], window: int):
-    import pandas as pd
 
     mark = hashlib.md5(repr((items, window)).encode()).hexdigest()
 
