@@ -34,13 +34,14 @@ BLOCK = 1 << 16
 STRIDE = 1 << 9
 END = 2
 MAGIC = b"LTF1"
-KNOWN, KEPT = 700_000, 300_000
-AT_ONCE = 10_000
-SLICE_CHARS = 3_000_000
+KNOWN, KEPT = 450_000, 250_000
+AT_ONCE = 5_000
+SLICE_CHARS = 2_000_000
 # After other white space a space is a place to cut only if a word follows.
 UNCUT = re.compile(r"\s\x20(?:\s|\Z)")
 AFTER_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 NEAR_BREAK = re.compile(r"\n\s|[^\S\n]\n").search
+AFTER_NO_WORD = re.compile(r"[\W_][,.]").search
 # A word and the punctuation after it are always apart.
 PUNCTUATED = re.compile(r"(\x20?[^\W_]+)([!-/:-@\[-`{-~]+)")
 
@@ -72,6 +73,9 @@ class Pieces(dict):
         # A line break between words or punctuation stands alone.
         if "\n" in text and not NEAR_BREAK(text):
             marked = marked.replace("\n", "\0\n\0")
+        # So does a comma or full stop between a word and a cut.
+        if not AFTER_NO_WORD(text):
+            marked = marked.replace(",\0", "\0,\0").replace(".\0", "\0.\0")
         own = marked.split("\0")
         return own if own[0] and own[-1] else [p for p in own if p]
 

@@ -13,7 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_pieces_encode_as_whole_texts():
     rnd = random.Random(4)
-    parts = ["word", " ", "  ", "\n", "\t", "été", "don't", "'s", "12", "$%", " ", "　", "日本", "\x1c", "x" * 50, "\u0085", "<|endoftext|>"]
+    parts = ["word", " ", "  ", "\n", "\t", "été", "don't", "'s", "12", "$%", " ", "　", "日本", "\x1c", "x" * 50, ",", ".", "_", "a,", "é.", "\u0301", "\u0085", "<|endoftext|>"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(3000)] + ["", " ", "  ", "a  ", "a \n ", " a"]
     known, whole = tf.Pieces(PATH), Tokenizer.from_file(PATH)
     ids, n = known.encode(texts)
