@@ -12,6 +12,7 @@ from .quality import op2_quality
 from .secret_scan import op6_secret_scan
 from .sharding import op5_shards
 from .simhash import op1_near_duplicates
+from .substring_dedup import op7_repeated_spans
 from .token_files import op4_token_files
 from .warc import op9_archives
 
@@ -40,6 +41,10 @@ def op6_multipart_secrets(spark, sf_dir):
     return op6_secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_sentence_spans(spark, sf_dir):
+    return op7_repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_backoff_scores(spark, sf_dir):
     return op8_scores(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_sentencepiece_nbest(spark, sf_dir):
     return op10_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op4_huffman_token_files, op5_stratified_shards, op6_multipart_secrets, op8_backoff_scores, op9_warc_archives, op10_sentencepiece_nbest)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op4_huffman_token_files, op5_stratified_shards, op6_multipart_secrets, op7_sentence_spans, op8_backoff_scores, op9_warc_archives, op10_sentencepiece_nbest)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
