@@ -6,9 +6,10 @@ punctuation has sentences. From each sentence on, the shortest run of at least `
 `words` words is a span; its 128-bit hash is that of its lower-cased words. Spans of equal hash are joined over all
 documents, and sentences that any occurrence but the first covers go.
 
-The first occurrence of each hash comes from a partial aggregation, whatever the number of occurrences. The join back
-to them is salted by document: a span that a third of all documents share is met by 64 keys, each only where it occurs.
-Within a document later occurrences are known without any join.
+Spans meet their like in one shuffle by hash, in which each later occurrence finds the first one beside it. A hash with a
+great share of all spans isn't shuffled: such are found on a sample (HEAVY), which bounds their number and decides only
+the way, not the result; their first occurrences come from a partial aggregation and go to all tasks. Within a document
+later occurrences are known without any join.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from __future__ import annotations
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_slices, written
 
-SENTENCES, WORDS, LONG, CUT = 3, 20, 12, 6
-SALTS = 64
+SENTENCES, WORDS, LONG, CUT = 3, 20, 20, 10
+# Spans with HEAVY occurrences or more in a sample of about SAMPLE go to all tasks: SAMPLE / HEAVY of them at most.
+SAMPLE, HEAVY = 2_000_000, 20
 END = re.compile("(?<=[.!?…。！？])[\"'»”’)\\]]*(?:\\s+|$)|\\s*[\n\r]\\s*|(?<=[。！？])")
 WORD = re.compile(r"\S+")
 CHARS = 4_000_000
@@ -68,27 +71,37 @@ def spans_of(own: list[tuple[int, int, list[str]]], sentences: int, words: int)
 
 
 def _spans(sentences: int, words: int):
-    """Rows (doc, hash of the text, text) to one row for each different span of the document."""
+    """Rows (doc, text) to one row for each different span of the document: 96 bits of its hash, and spot.
+
+    spot has a crc32 of the text in its upper half, so that different texts of the same doc are told apart, and the first
+    sentence of the span in its lower half.
+    """
 
     def run(batches):
         for batch in batches:
             for at, to, texts in text_slices(batch.column("text"), CHARS):
-                row, place, high, low = [], [], [], []
+                row, spot, hashes = [], [], []
                 for i, text in enumerate(texts):
+                    version = spot_of(text)
                     first: dict[bytes, int] = {}
                     for a, _, h in spans_of(sentences_of(text), sentences, words):
                         first.setdefault(h, a)
                     row += [at + i] * len(first)
-                    place += first.values()
-                    high += [int.from_bytes(h[:8], "big", signed=True) for h in first]
-                    low += [int.from_bytes(h[8:], "big", signed=True) for h in first]
-                rows = pa.array(row, pa.int64())
-                made = [batch.column("doc").take(rows), batch.column("version").take(rows), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(place, pa.int32())]
-                yield pa.RecordBatch.from_arrays(made, names=["doc", "version", "high", "low", "place"])
+                    spot += [version | a for a in first.values()]
+                    hashes += first
+                parts = np.frombuffer(b"".join(hashes), "<i4").reshape(-1, 4)
+                high = np.ascontiguousarray(parts[:, :2]).view("<i8").ravel()
+                made = [batch.column("doc").take(pa.array(row, pa.int64())), pa.array(high, pa.int64()), pa.array(parts[:, 2], pa.int32()), pa.array(spot, pa.int64())]
+                yield pa.RecordBatch.from_arrays(made, names=["doc", "high", "low", "spot"])
 
     return run
 
 
+def spot_of(text: str) -> int:
+    """The upper half of the spots of a text, as in SQL: shiftleft(crc32(text) - 2^31, 32)."""
+    return (zlib.crc32(text.encode("utf-8", "replace")) - (1 << 31)) << 32
+
+
 def _cuts(sentences: int, words: int):
     """Adds to rows with text and places (later occurrences of spans that began in other documents) what goes and stays."""
 
@@ -124,32 +137,38 @@ def _cuts(sentences: int, words: int):
     return run
 
 
-def later_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(doc, version, places, first_docs) of docs (doc, version, text): sentences where spans begin that an earlier document has.
+def later_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, sample: int = SAMPLE, heavy: int = HEAVY) -> DataFrame:
+    """(doc, version, places, first_docs) of docs (doc, text): sentences where spans begin that an earlier document has.
 
-    first_docs are the documents with the first occurrence of those spans.
+    first_docs are the documents with the first occurrence of those spans; version is the crc32 of the text.
     """
     kind = docs.schema["doc"].dataType.simpleString()
-    rows = docs.mapInArrow(_spans(sentences, words), f"doc {kind}, version bigint, high bigint, low bigint, place int")
-    rows = written(rows, "sentence-spans").withColumn("salt", F.pmod(F.xxhash64("doc", "version"), F.lit(SALTS)).cast("int"))
-    one = F.struct(F.isnull("doc").alias("none"), "doc", "version")
-    first = rows.groupBy("high", "low").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
-    salts = F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(salts, s) & 1L) = 1L)")
-    first = first.where("NOT first <=> last").select("high", "low", "first", F.explode(salts).alias("salt"))
-    later = rows.join(first, ["high", "low", "salt"]).where(~one.eqNullSafe(F.col("first")))
-    return later.groupBy("doc", "version").agg(F.collect_set("place").alias("places"), F.array_sort(F.collect_set("first.doc")).alias("first_docs"))
+    rows = written(docs.mapInArrow(_spans(sentences, words), f"doc {kind}, high bigint, low int, spot bigint"), "sentence-spans")
+    share = min(1.0, sample / max(1, rows.count()))
+    often = rows.sample(share, seed=7).groupBy("high", "low").count().where(F.col("count") >= heavy).select("high", "low")
+    often = written(often, "sentence-spans-often")
+    place = F.struct(F.isnull("doc").alias("none"), "doc", "spot")
+    first = rows.join(F.broadcast(often), ["high", "low"], "left_semi").groupBy("high", "low").agg(F.min(place).alias("first"))
+    first = written(first, "sentence-spans-first")
+    of_often = rows.join(F.broadcast(first), ["high", "low"]).select("doc", "spot", "first")
+    in_order = Window.partitionBy("high", "low").orderBy(F.isnull("doc"), "doc", "spot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_others = rows.join(F.broadcast(often), ["high", "low"], "left_anti").select("doc", "spot", F.first(place).over(in_order).alias("first"))
+    version = lambda spot: F.shiftright(spot, 32)
+    later = of_often.unionByName(of_others).where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (version(F.col("spot")) == version(F.col("first.spot")))))
+    later = later.select("doc", (version(F.col("spot")) + F.lit(1 << 31)).alias("version"), F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), F.col("first.doc").alias("first"))
+    return later.groupBy("doc", "version").agg(F.collect_set("place").alias("places"), F.array_sort(F.collect_set("first")).alias("first_docs"))
 
 
 def repeated(docs: DataFrame, doc: str = "doc_id", text: str = "text", sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """row (struct of the columns), n_sentences, n_removed, removed (spans in code points), first_docs and kept_text of each row.
 
     The first occurrence of a span is that in the smallest doc, there the leftmost; null docs come last, and texts of
-    the same doc are ordered by their hash. Rows of the same doc and text are one document and get the same result.
+    the same doc are ordered by their crc32. Rows of the same doc and text are one document and get the same result.
     Null and empty texts have no sentences; their kept_text is empty. Texts too short for a span stay whole. An empty
     table gives no rows. Other columns play no part.
     """
-    version = F.xxhash64(F.col(f"`{text}`"))
-    slim = docs.select(F.col(f"`{doc}`").alias("doc"), version.alias("version"), F.col(f"`{text}`").alias("text"))
+    version = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+    slim = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     marks = later_spans(slim, sentences, words).select(F.col("doc").alias("m_doc"), F.col("version").alias("m_version"), "places", "first_docs")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row") if len(docs.columns) > 1 else F.struct(F.lit(None).alias("none")).alias("row"), F.col(f"`{doc}`").alias("doc"), version.alias("version"), F.col(f"`{text}`").alias("text"))
     met = whole.join(marks, F.col("doc").eqNullSafe(F.col("m_doc")) & (F.col("version") == F.col("m_version")), "left")
