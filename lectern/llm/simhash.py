@@ -29,6 +29,12 @@ from .common import written
 BITS = 64
 FAN = 8
 SLICE = 2_000_000
+# With checked links: the least Jaccard similarity, as a fraction.
+SIMILAR = (4, 5)
+# Shingles with COMMON occurrences or more in a sample of about SAMPLE stand last; that decides only how many candidates there are.
+SAMPLE, COMMON = 2_000_000, 20
+PARITIES = 8
+ODD = [f"q{k}" for k in range(PARITIES)]
 
 
 # Fingerprints
@@ -50,26 +56,85 @@ def prints_of(text: str | None, shingle: int, n: int) -> list[int]:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: len(words) - shingle] + 1).tolist()] if len(words) > shingle else [0]
     ends = ends[shingle - 1 :].tolist() if len(words) > shingle else [len(line)]
+    return prints_of_hashes((np.array([h(line[a:b], 42) for a, b in zip(starts[i : i + 65_536], ends[i : i + 65_536])], dtype="<u8") for i in range(0, len(starts), 65_536)), len(starts), n)
+
+
+def prints_of_hashes(parts, count: int, n: int) -> list[int]:
+    """n fingerprints of count hashes, which come in parts."""
     total = np.zeros((n, BITS), dtype=np.int64)
-    for i in range(0, len(starts), 65_536):
-        hashes = np.array([h(line[a:b], 42) for a, b in zip(starts[i : i + 65_536], ends[i : i + 65_536])], dtype="<u8")
-        for k in range(n):
-            total[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            if k + 1 < n:
-                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                hashes ^= hashes >> np.uint64(32)
-    bits = (2 * total > len(starts)).astype(np.uint8)
+    for part in parts:
+        for i in range(0, len(part), 65_536):
+            hashes = part[i : i + 65_536]
+            for k in range(n):
+                total[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                if k + 1 < n:
+                    hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    hashes ^= hashes >> np.uint64(32)
+    bits = (2 * total > count).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprints(text: Column, shingle: int = 4, n: int = 1) -> Column:
-    """struct<fp, other>: the fingerprint, and for n = 2 a second one of the same shingles (else 0)."""
+def fingerprints(text: Column, shingle: int = 4) -> Column:
+    @F.pandas_udf("bigint")
+    def make(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.int64))
+
+    return make(text)
+
+
+def shingles_of(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct XXH64 (seed 42) of all word shingles; none without words."""
+    from xxhash import xxh64_intdigest as h
+
+    words = (text or "").encode().lower().split()
+    last = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.fromiter((h(b" ".join(words[i : i + shingle]), 42) for i in range(last)), np.uint64, last))
+
+
+def sketch_of(text: str | None, shingle: int, common: tuple[np.ndarray, np.ndarray]) -> tuple:
+    """A hash of the set of shingles (zero for none), two fingerprints of it, its size, its rare shingles, and its parities.
 
-    @F.pandas_udf("struct<fp:bigint,other:bigint>")
+    A parity says whether an odd number of the hashes have a certain remainder; sets differ in as many shingles as parities at least.
+
+    Those are the first when common ones stand last: one more than two similar sets can have outside of what they share.
+    """
+    from xxhash import xxh64_intdigest as h
+
+    hashes = shingles_of(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0, 0, 0, 0, [], *[0] * PARITIES
+    own = h(hashes.tobytes(), 42)
+    keys, counts = common
+    seen = np.zeros(n, np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        seen = np.where(keys[at] == hashes, counts[at], 0)
+    up, down = SIMILAR
+    rare = hashes[np.lexsort((hashes, seen))][: n - -(-up * n // down) + 1]
+    odd = (np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8)
+    return own - (1 << 64) if own >> 63 else own, *prints_of_hashes([hashes], n, 2), n, rare.view(np.int64).tolist(), *np.packbits(odd, bitorder="little").view("<i8").tolist()
+
+
+def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """docs with id, fp, other, n and rare of their texts; see sketch_of."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, shingle))
+
+    @F.pandas_udf("struct<id:bigint,fp:bigint,other:bigint,n:int,rare:array<bigint>," + ",".join(f"{q}:bigint" for q in ODD) + ">")
     def make(texts: pd.Series) -> pd.DataFrame:
-        rows = [prints_of(t, shingle, n) for t in texts]
-        return pd.DataFrame({"fp": np.array([r[0] for r in rows], np.int64), "other": np.array([r[1] if n > 1 else 0 for r in rows], np.int64)})
+        return pd.DataFrame([sketch_of(t, shingle, common.value) for t in texts], columns=["id", "fp", "other", "n", "rare", *ODD])
+
+    return docs.withColumn("p", make(F.col(f"`{text}`")))
+
+
+def set_id(text: Column, shingle: int) -> Column:
+    """The id of the set of shingles of a text; see sketch_of."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    @F.pandas_udf("bigint")
+    def make(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([sketch_of(t, shingle, none)[0] for t in texts], np.int64))
 
     return make(text)
 
@@ -262,6 +327,111 @@ def links(distinct: DataFrame, max_bits: int = 4, spare: int = 2, max_both: int
     return rows.mapInArrow(_links(max_bits, table, max_both), "a bigint, b bigint").distinct()
 
 
+# Candidates by rare shingles
+
+
+def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of shingles of many texts in a sample of about SAMPLE shingles, and in how many of it they are."""
+    chars = docs.agg(F.sum(F.length(f"`{text}`"))).first()[0] or 0
+    share = max(1, chars // (6 * SAMPLE))
+    some = docs.where(F.pmod(F.xxhash64(f"`{text}`"), F.lit(share)) == 0)
+    rows = shingle_sets(some, text, shingle).dropDuplicates(["id"]).select(F.explode("shingles").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON).orderBy("h").collect()
+    return np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of different labels, among them all whose sets of shingles are similar by SIMILAR.
+
+    distinct has id, n, rare (see sketch_of) and label, which is 0 where the id stands alone. Two similar sets have at
+    least SIMILAR of the greater in common, so that the first of what they share, in any order that is the same for all,
+    is among the rare of both; and behind it enough must follow in both.
+    """
+    rows = distinct.select("id", "n", "label", F.posexplode("rare").alias("pos", "h")).select("h", "label", "id", "n", "pos")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(_sharing, "a bigint, b bigint").distinct()
+
+
+def _sharing(batches):
+    up, down = SIMILAR
+
+    def solve(h, label, ids, n, pos):
+        label = np.where(label == 0, ids, label)
+        order = np.lexsort((label, h))
+        h, label, ids, n, pos = (x[order] for x in (h, label, ids, n, pos))
+        new = np.r_[True, h[1:] != h[:-1]]
+        turn = np.flatnonzero(new | np.r_[True, label[1:] != label[:-1]])
+        starts, every = np.flatnonzero(new), np.r_[turn, len(h)]
+        end = np.r_[starts[1:], len(h)][np.cumsum(new) - 1]
+        after = np.repeat(every[1:], np.diff(every))
+        row = np.flatnonzero(end > after)
+        upto = np.cumsum(end[row] - after[row])
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, side="right")))
+            own = row[at:to]
+            j = spread(after[own], end[own] - after[own])
+            i = np.repeat(own, end[own] - after[own])
+            good = (up + down) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= up * (n[i] + n[j])
+            a, b = ids[i[good]], ids[j[good]]
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            if both.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            at = to
+
+    kept = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        if kept is not None:
+            columns = [np.r_[k, c] for k, c in zip(kept, columns)]
+        if not len(columns[0]):
+            continue
+        # The last shingle may go on in the next batch.
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut:
+            yield from solve(*[c[:cut] for c in columns])
+        kept = [c[cut:] for c in columns]
+    if kept is not None:
+        yield from solve(*kept)
+
+
+# The similarity of candidates
+
+
+def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(id, shingles) of each row: the id of its sketch and the hashes of its set of shingles."""
+    from .common import text_slices
+
+    def run(batches):
+        from xxhash import xxh64_intdigest as h
+
+        for batch in batches:
+            for _, _, texts in text_slices(batch.column(0), 2_000_000):
+                sets = [shingles_of(t, shingle) for t in texts]
+                ids = np.array([h(x.tobytes(), 42) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, text: str, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least SIMILAR. distinct has id, n, parities and key, the hash of one of its texts.
+
+    Sizes and parities bound what two sets can have in common; only pairs that they leave have their sets compared.
+    """
+    up, down = SIMILAR
+    sizes = F.col("m") + F.col("n")
+    differ = sum((F.bit_count(F.col(f"a{q}").bitwiseXOR(F.col(q))) for q in ODD[1:]), F.bit_count(F.col(f"a{ODD[0]}").bitwiseXOR(F.col(ODD[0]))))
+    light = distinct.select("id", "n", *ODD)
+    pairs = pairs.join(light.toDF("a", "m", *[f"a{q}" for q in ODD]), "a").join(light.withColumnRenamed("id", "b"), "b")
+    pairs = written(pairs.where((up + down) * (sizes - differ) >= 2 * up * sizes).select("a", "b"), "simhash-pairs")
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    keys = distinct.join(named, "id", "left_semi").select("key")
+    sets = written(shingle_sets(docs.withColumn("key", F.xxhash64(f"`{text}`")).join(keys, "key", "left_semi").dropDuplicates(["key"]), text, shingle), "simhash-sets")
+    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    size = F.size("x") + F.size("y")
+    # |x and y| / |x or y| >= SIMILAR, in whole numbers.
+    return pairs.join(left, "a").join(right, "b").where((up + down) * F.size(F.array_intersect("x", "y")) >= up * size).select("a", "b")
+
+
 # Components of all links
 
 
@@ -289,19 +459,29 @@ def connected(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4, spare: int = 2, max_both: int | None = None) -> DataFrame:
     """(doc, fp, print, root, component_id) for each row: its fingerprint and print id, the least print id and the smallest doc reachable.
 
-    Links are between fingerprints of at most max_bits differing bits. With max_both there is a second fingerprint of
-    the same shingles, and both together may differ in at most that many; this keeps links sure where max_bits is wide.
-    Without it the print id is the fingerprint.
+    Links are between fingerprints of at most max_bits differing bits; the print id is the fingerprint. With max_both
+    links are between texts whose sets of shingles are similar by SIMILAR, and the print id is that of the set. Those are
+    first looked for where max_bits and max_both allow, which joins dense groups by few links, and then among all pairs
+    of what is not joined yet that share a rare shingle, which leaves no similar pair out. Every link is checked.
 
     Null and empty texts have the fingerprint zero and link like others. A null id is never smallest; a component of
     null ids alone has a null component_id. Repeated rows stay. Texts of any length are taken whole; with fewer words
     than a shingle the whole sequence is the shingle. An empty table gives no rows. Other columns play no part.
     """
-    made = docs.select(F.col(f"`{doc}`").alias("doc"), fingerprints(F.col(f"`{text}`"), shingle, 1 if max_both is None else 2).alias("p"))
-    own = F.col("p.fp") if max_both is None else F.when((F.col("p.fp") == 0) & (F.col("p.other") == 0), F.lit(0)).otherwise(F.xxhash64("p.fp", "p.other"))
-    prints = written(made.select("doc", F.col("p.fp").alias("fp"), F.col("p.other").alias("other"), own.alias("id")), "simhash")
-    least = written(prints.groupBy("id", "fp", "other").agg(F.min("doc").alias("least")), "simhash-distinct")
-    roots = connected(links(least.select("fp") if max_both is None else least, max_bits, spare, max_both))
+    if max_both is None:
+        made = docs.select(F.col(f"`{doc}`").alias("doc"), fingerprints(F.col(f"`{text}`"), shingle).alias("fp"))
+        prints = written(made.withColumn("id", F.col("fp")), "simhash")
+        least = written(prints.groupBy("id").agg(F.min("doc").alias("least")), "simhash-distinct")
+        roots = connected(links(least.select(F.col("id").alias("fp")), max_bits, spare))
+    else:
+        slim = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+        made = sketches(slim, "text", shingle).select("doc", F.xxhash64("text").alias("key"), "p.*")
+        prints = written(made, "simhash")
+        least = written(prints.groupBy("id", "fp", "other", "n").agg(F.min("doc").alias("least"), F.min("key").alias("key"), F.min("rare").alias("rare"), *[F.min(q).alias(q) for q in ODD]), "simhash-distinct")
+        sure = written(similar(links(least.select("fp", "other", "id"), max_bits, spare, max_both), slim, least, "text", shingle), "simhash-similar")
+        known = least.join(connected(sure), "id", "left").select("id", "n", "rare", F.coalesce("root", F.lit(0)).alias("label"))
+        more = similar(candidates(known), slim, least, "text", shingle)
+        roots = connected(sure.union(more))
     members = least.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = members.join(smallest, "root").select("id", "root", "component_id")
@@ -312,7 +492,7 @@ def op1_near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# For shingles of five words. Of 64 bits, texts of similarity 0.8 differ in 8.8 on average; of 128, in 17.6.
+# For shingles of five words, where links are looked for first; see groups.
 NEAR_BITS, NEAR_BOTH = 10, 20
 
 
@@ -327,9 +507,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = NEAR_BITS, ma
     kept = docs.join(once.where("count = 1").select("doc_id"), "doc_id", "left_semi")
     several = written(once.where("count > 1").select("doc_id"), "simhash-repeated")
     if not several.isEmpty() or not own.where("doc_id IS NULL").isEmpty():
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("tie"), fingerprints(F.col("text"), shingle, 2).alias("p"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("tie"), set_id(F.col("text"), shingle).alias("print"))
         rows = rows.where("doc_id IS NULL").unionByName(rows.join(several, "doc_id", "left_semi"))
-        rows = rows.withColumn("print", F.when((F.col("p.fp") == 0) & (F.col("p.other") == 0), F.lit(0)).otherwise(F.xxhash64("p.fp", "p.other")))
         rows = rows.join(found.select("print", "root", "component_id").distinct(), "print").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         first = F.row_number().over(Window.partitionBy("root").orderBy("tie", "print"))
         kept = kept.select(*docs.columns).unionByName(rows.withColumn("first", first).where("first = 1").select("row.*"))

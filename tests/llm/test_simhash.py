@@ -121,3 +121,29 @@ def test_near_copies_go_and_others_stay(spark):
             group.append(g)
     kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {group[d] for d in kept} == set(range(40)) and len(kept) <= 44
+
+
+def test_links_are_those_of_brute_force_jaccard(spark):
+    rnd = random.Random(21)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    docs = []
+    for _ in range(60):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randrange(100, 300))]
+        docs.append(base)
+        for share in (0.016, 0.021, 0.026, 0.04):
+            words = list(base)
+            for at in rnd.sample(range(len(words)), round(len(words) * share)):
+                words[at] = rnd.choice(vocabulary)
+            docs.append(words)
+    # The same word a thousand times decides every bit, but not the set.
+    docs += [["same"] * 1000 + [rnd.choice(vocabulary) for _ in range(40)] for _ in range(4)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    label, pairs = list(range(len(docs))), 0
+    for i in range(len(docs)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                pairs += 1
+                label = [min(label[i], label[j]) if x == max(label[i], label[j]) else x for x in label]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    assert pairs > 60 and len(set(label)) > 80
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == set(label)
