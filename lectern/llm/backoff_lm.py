@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch, text_slices, written
 
-ORDER = 2
-MASS = 500.0
+ORDER = 3
+MASS = 40.0
 FOLD, HELD = 7, 2
 PART_CHARS = 10_000_000
 SLICE_CHARS = 2_500_000

@@ -80,3 +80,16 @@ def test_better_than_single_words(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     r = lm.op8_scores(df).where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
     assert r.score > r.base
+
+
+def test_registered_order_sees_longer_contexts(spark):
+    # After "a b" comes c and after "x b" comes d: single words before can't tell.
+    data = [(i, "a b c " * 30 + "x b d " * 30) for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm.op8_scores(df).collect()}
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in data]
+    want = {r[0]: r[5] for r in plain(data, [not h for h in held], 3, lm.MASS)}
+    two = {r[0]: r[5] for r in plain(data, [not h for h in held], 2, lm.MASS)}
+    assert any(held)
+    for d, r in got.items():
+        assert r.score == pytest.approx(want[d]) and r.score > two[d] + 10
