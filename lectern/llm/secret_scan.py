@@ -2,8 +2,10 @@
 
 Strong spans (assign, access, hex) are reported as they are. Weak candidates are parts of credentials that alone mean
 little: a user name or client id, a short or unlabelled secret, a host or URL. Each part is an interval; the parts of a
-text are joined by interval with the parts of complementary roles in the same scope (lines without an empty one between
-them) that are at most reach code points away. A weak secret is reported if an identifier is there, a weak identifier
+text are joined by interval with the parts of complementary roles in the same scope, at any distance. A scope is lines
+without an empty one between them, or a section: from a header ([name], or a line that opens a brace) on, empty lines
+before labelled lines don't end it. Within one line more than reach code points without any label end it, so that a long
+line of prose is not one scope. A weak secret is reported if an identifier is there, a weak identifier
 if a secret is there, an endpoint if both are there. Strong spans count as parts: access as an identifier, assign and
 hex as secrets. The join is a sweep over intervals sorted by place, never over pairs.
 """
@@ -29,9 +31,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 _SAYS = r"""["']?[\x20\t]*[:=][\x20\t]*["']?"""
 WEAK_IDENTIFIER = re.compile(rf"(?<![A-Za-z0-9])(?ai:user(?:_?name)?|login|client_?id|access_?key_?id|account(?:_?id)?|uid){_SAYS}([A-Za-z0-9][A-Za-z0-9._@+-]{{2,}})")
 WEAK_SECRET = re.compile(rf"(?<![A-Za-z0-9])(?ai:password|passwd|pass|pwd|secret|token|api_?key|secret_?access_?key|private_?key|auth|credential|signature){_SAYS}([A-Za-z0-9+/_.=~!@#$%^&*-]{{6,}})")
-BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[^a-z]{0,39}[a-z])(?=[^A-Z]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(rf"""[A-Za-z][A-Za-z0-9+.-]{{1,20}}://[^\s"'<>]+|(?<![A-Za-z0-9])(?ai:host(?:_?name)?|endpoint|server|url|dsn|database){_SAYS}([A-Za-z0-9][A-Za-z0-9._:/-]{{2,}})""")
 EMPTY_LINE = re.compile(r"\n[\x20\t\r]*(?=\n)")
+LABEL = re.compile(r"""["']?(?<![A-Za-z0-9_.-])[A-Za-z_][A-Za-z0-9_.-]*["']?[\x20\t]*[:=]""")
+HEADER = re.compile(r"""(?m:^)[\x20\t]*(?:\[{1,2}[A-Za-z0-9_\x20.:/"-]+\]{1,2}|[^\n]*\{)[\x20\t\r]*(?m:$)""")
+LABELLED_LINE = re.compile(r"""\s*\n[\x20\t]*(?:export[\x20\t]+|-[\x20\t]+|[#;][^\n]*\n[\x20\t]*)*["']?[A-Za-z_][A-Za-z0-9_.-]*["']?[\x20\t]*[:=]""")
 
 ROLE = {"access": "identifier", "identifier": "identifier", "assign": "secret", "hex": "secret", "weak_secret": "secret", "endpoint": "endpoint"}
 Span = tuple[str, int, int]
@@ -48,8 +53,28 @@ def strong(text: str) -> list[Span]:
     return out
 
 
+def ends_of_scopes(text: str, parts: list[Span], reach: int) -> list[int]:
+    """Where in the text, in order, one scope ends and the next begins."""
+    out, headers, last = [], [m.start() for m in HEADER.finditer(text)], 0
+    for m in EMPTY_LINE.finditer(text):
+        headed = bisect_left(headers, last) < bisect_left(headers, m.start())
+        if not (headed and LABELLED_LINE.match(text, m.start())):
+            out.append(m.start())
+            last = m.start()
+    # Lines in which parts stand far apart.
+    places = sorted(s[1:] for s in parts)
+    for (_, b), (a, _) in zip(places, places[1:]):
+        if a - b > reach and text.find("\n", b, a) < 0:
+            at = b
+            for begin, end in [*(m.span() for m in LABEL.finditer(text, b, a)), (a, a)]:
+                if begin - at > reach:
+                    out.append(begin)
+                at = end
+    return sorted(out)
+
+
 def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """The weak candidates whose complementary parts are near in the same scope."""
+    """The weak candidates whose complementary parts are in the same scope."""
     says = "=" in text or ":" in text
     identifiers = [("identifier", *m.span()) for m in WEAK_IDENTIFIER.finditer(text)] if says else []
     if not identifiers and not any(k == "access" for k, _, _ in base):
@@ -65,10 +90,10 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     weak = [s for s in weak if (i := bisect_left(starts, s[2])) == 0 or ends[i - 1] <= s[1]]
     if not weak:
         return []
-    breaks = [m.start() for m in EMPTY_LINE.finditer(text)]
+    breaks = ends_of_scopes(text, [*base, *weak], reach)
     by_role = {r: sorted(s[1:] for s in [*base, *weak] if ROLE[s[0]] == r) for r in ("identifier", "secret")}
     starts = {r: [a for a, _ in own] for r, own in by_role.items()}
-    # With starts sorted, the greatest end so far tells whether any interval before reaches far enough.
+    # With starts sorted, the greatest end so far tells whether any interval before reaches into the scope.
     furthest = {}
     for r, own in by_role.items():
         most, furthest[r] = 0, []
@@ -76,15 +101,15 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
             most = max(most, b)
             furthest[r].append(most)
 
-    def near(role: str, a: int, b: int) -> bool:
+    def there(role: str, a: int) -> bool:
         i = bisect_right(breaks, a)
-        low = max(a - reach, breaks[i - 1] if i else 0)
-        high = min(b + reach, breaks[i] if i < len(breaks) else len(text))
+        low = breaks[i - 1] if i else 0
+        high = breaks[i] if i < len(breaks) else len(text)
         last = bisect_left(starts[role], high)
         return last > 0 and furthest[role][last - 1] > low
 
     needs = {"weak_secret": ("identifier",), "identifier": ("secret",), "endpoint": ("identifier", "secret")}
-    return [s for s in weak if all(near(r, s[1], s[2]) for r in needs[s[0]])]
+    return [s for s in weak if all(there(r, s[1]) for r in needs[s[0]])]
 
 
 def merged(found: list[Span]) -> list[tuple[int, int]]:

@@ -88,3 +88,22 @@ def test_rows(spark):
     for r in hidden.collect():
         assert r.text is None or (not plain_base(r.text) and r.n_chars == len(r.text))
     assert ss.op6_secret_scan(df.limit(0)).collect() == []
+
+
+LINES = "".join(f"option_{i} = value {i}\n" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("user: admin\n" + LINES + "pwd=hunter2!", ["identifier", "weak_secret"]),
+        ('{"user": "admin", ' + '"colour": "red and green", ' * 60 + '"pwd": "hunter2!"}', ["identifier", "weak_secret"]),
+        ("AKIA" + "B" * 16 + "\n" + LINES + "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYab", ["access", "weak_secret"]),
+        ("[default]\nuser = admin\n\n" + LINES + "\n# the other part\npwd = hunter2!", ["identifier", "weak_secret"]),
+        ("[default]\nuser = admin\n\nSome words follow.\n\npwd = hunter2!", []),
+        *[("AKIA" + "B" * 16 + " " + ("aB3+" * 20)[: n - pad] + "=" * pad, ["access", "weak_secret"]) for n, pad in ((24, 0), (44, 1), (64, 0), (80, 0))],
+    ],
+)
+def test_scope_alone_bounds_the_join(text, kinds):
+    base, more = ss.find(text)
+    assert [k for k, _, _ in sorted(base + more, key=lambda s: s[1])] == kinds
