@@ -97,16 +97,28 @@ class Lattice:
         forward = [0.0] + [-math.inf] * len(chunk)
         for at in range(1, len(chunk) + 1):
             forward[at] = max(forward[a] + s for a, s, _ in edges[at])
-        # Backward A*: agenda of (loss of the best completion, pieces so far, ids, node, score behind).
-        agenda = [(-forward[-1], 0, (), len(chunk), 0.0)]
+        # Backward A*: agenda of (loss of the best completion, pieces so far, way, node, score behind). A way is its last
+        # piece and the way behind it, so that memory follows the edges. The n best go over no node more than n times.
+        agenda = [(-forward[-1], 0, 0, len(chunk), 0.0)]
+        behind_it: list[tuple[int, tuple[int, ...]]] = [(-1, ())]
+        left = [n] * (len(chunk) + 1)
         out: list[Way] = []
         while agenda and len(out) < n:
-            _, pieces, ids, at, behind = heapq.heappop(agenda)
+            _, pieces, way, at, behind = heapq.heappop(agenda)
+            if not left[at]:
+                continue
+            left[at] -= 1
             if at == 0:
-                out.append((behind, tuple(i for own in reversed(ids) for i in own)))
+                ids: list[int] = []
+                while way > 0:
+                    way, own = behind_it[way]
+                    ids += own
+                out.append((behind, tuple(ids)))
                 continue
             for a, s, own in edges[at]:
-                heapq.heappush(agenda, (-(forward[a] + s + behind), pieces + len(own), (*ids, own), a, s + behind))
+                if left[a]:
+                    heapq.heappush(agenda, (-(forward[a] + s + behind), pieces + len(own), len(behind_it), a, s + behind))
+                    behind_it.append((way, own))
         return out
 
     def _trie(self) -> None:

@@ -166,3 +166,20 @@ def test_side_by_side_is_one_by_one(lattice):
             assert tuple(own) == ways[0][1]
         assert b"".join(lattice.text[i] for i in own) == w.replace("▁", " ").encode()
     assert at == len(flat)
+
+
+def test_unspaced_texts_take_memory_by_their_length(lattice):
+    import tracemalloc
+
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("thequickbrownfoxinganderst日本語") for _ in range(6000))
+    tracemalloc.start()
+    ways = lattice.best(text, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert len(ways) == len({w for _, w in ways}) == 4 and [s for s, _ in ways] == sorted((s for s, _ in ways), reverse=True)
+    for text in (text * 17, "ab" * 50_000):
+        known = ps.Chunks(lattice, 4)
+        ways = ps.n_best(known.numbers(lattice.chunks(text)), known)
+        assert len(ways) == 4 and all(a[0] >= b[0] for a, b in zip(ways, ways[1:]))
