@@ -8,33 +8,34 @@ down to single words: c(w) / (N + V + 1) for a known word, (V + 1) / (N + V + 1)
 tokens of V kinds. This is a hierarchical Dirichlet prior; it sums to one at every state. An arc h -> w that was seen
 weighs P(w | h); any other word takes the failure arc to h' with the weight M / (c(h) + M) and is looked for there.
 
-The model is never in one place. Documents are packed into parts of bounded size. Each part sends its own distinct n-grams
-(64-bit hashes) with its training counts, cut by hash into ranges; each range is summed over all parts in one task and
-answered to each part, in the order in which the part sent them. From the answers a part builds the arcs and failure
-arcs that its own texts can reach, and traverses them once from left to right, all of its texts side by side. Ranges
-are equal shares of the hashes, so that no frequent word or context makes one of them larger; their number follows the corpus.
+The model is never in one place. Documents are packed into parts of bounded size, kept as word numbers with the part's own
+vocabulary. Each part sends its own distinct n-grams (hashes of KEY_BITS bits) with its training counts, cut by hash into
+ranges; each range is summed over all parts in one task and answered to each part, in the order in which the part sent
+them. From the answers a part has the arcs and failure arcs that its own texts can reach, and traverses them from left to
+right, all of its texts side by side. Ranges are equal shares of the hashes, so that no frequent word or context makes one
+of them larger. Parts and ranges meet in as many rows as their product, so both sizes grow as the root of the corpus: at
+10^14 characters a part has 10^8 of them and a range about 10^8 n-grams.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_slices, written
+from .common import written
 
 ORDER = 3
 MASS = 40.0
 FOLD, HELD = 7, 2
-PART_CHARS = 10_000_000
-SLICE_CHARS = 2_500_000
-KNOWN = 300_000
-CHARS_PER_RANGE = 16_000_000
+PART_CHARS, RANGE_CHARS = 16_000_000, 16_000_000
+SLICE_BYTES = 2_000_000
+KEY_BITS = 56
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+SHIFT = np.uint64(64 - KEY_BITS)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,52 +44,89 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(tokens: np.ndarray, begins: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each place the hash of the n-gram of each length up to order that ends there. Before a text stands START.
+# Texts to hashes of words
+
+# Upper-case letters count as lower-case ones.
+BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLY)
+BYTE[65:91] = BYTE[97:123]
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+STEP = np.uint64(0xD1342543DE82EF95)
+STEP_BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts with END after each text, and where each text begins.
 
-    N-grams that would begin before START have the hash 0 and don't count.
+    The hash of a word is a sum over its bytes of random numbers times powers of a step, so that those of all words come
+    from one running sum, in stretches of about SLICE_BYTES that end where a word or text does.
     """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[at] = True
+    done, made, places = 0, [], []
+    up, down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    while done < len(data):
+        to = min(len(data), done + SLICE_BYTES)
+        # A word that goes on behind the stretch belongs to it.
+        while to < len(data) and not begins[to] and not SPACE[data[to - 1]]:
+            more = np.flatnonzero(SPACE[data[to : to + SLICE_BYTES]] | begins[to : to + SLICE_BYTES][: len(data) - to])
+            to = to + int(more[0]) + (not begins[to + int(more[0])]) if len(more) else min(len(data), to + SLICE_BYTES)
+        own, new = data[done:to], begins[done : to + 1]
+        word = ~SPACE[own]
+        first = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | new[:-1]))
+        last = np.flatnonzero(word & (np.r_[~word[1:], True] | new[1:])) + 1
+        if len(up) < len(own):
+            up, down = powers(STEP, len(own)), powers(STEP_BACK, len(own))
+        total = np.r_[np.uint64(0), np.cumsum(BYTE[own] * up[: len(own)], dtype=np.uint64)]
+        made.append(mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * MULTIPLY))
+        places.append(first + done)
+        done = to
+    flat = np.concatenate(made) if made else np.zeros(0, np.uint64)
+    place = np.concatenate(places) if places else np.zeros(0, np.int64)
+    upto = np.searchsorted(place, at[1:])
+    n = np.diff(np.r_[0, upto])
+    return np.insert(flat, upto, END), upto - n + np.arange(len(n))
+
+
+def grams(tokens: np.ndarray, begins: np.ndarray, order: int):
+    """For each length up to order the places where an n-gram of it ends, and its hashes. Before a text stands START."""
     n = len(tokens)
     since = np.arange(n) - np.repeat(begins, np.diff(np.r_[begins, n]))  # place in the own text
-    out = [mixed(tokens + np.uint64(1))]
+    key = mixed(tokens + np.uint64(1))
+    yield np.arange(n), key >> SHIFT
     for k in range(2, order + 1):
         # The n-gram of k words: that of k - 1 words, and the word k - 1 places before, or START.
-        before = np.r_[np.zeros(k - 1, np.uint64), tokens[: n - k + 1]] if n >= k - 1 else np.zeros(n, np.uint64)
-        first = np.where(since >= k - 1, before, START)
-        key = mixed(out[-1] * MULTIPLY + first + np.uint64(k))
-        out.append(np.where(since >= k - 2, key, np.uint64(0)))
-    return out
+        before = np.r_[np.zeros(min(n, k - 1), np.uint64), tokens[: max(0, n - k + 1)]]
+        key = mixed(key * MULTIPLY + np.where(since >= k - 1, before, START) + np.uint64(k))
+        real = np.flatnonzero(since >= k - 2)
+        yield real, key[real] >> SHIFT
 
 
-class Vocabulary(dict):
-    """Word to the hash of it, each made once."""
-
-    def __missing__(self, word):
-        from xxhash import xxh64_intdigest
-
-        self[word] = at = xxh64_intdigest(word, 8)
-        return at
-
-
-def token_hashes(texts: list[str], known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts with END after each text, and where each text begins."""
-    split = [t.encode().lower().split() for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter(map(known.__getitem__, (w for own in split for w in own)), np.uint64, int(n.sum()))
-    if len(known) > KNOWN:
-        known.clear()
-    ends = np.cumsum(n)
-    return np.insert(flat, ends, END), ends - n + np.arange(len(n))
+# Arrays to bytes
 
 
 def planes(x: np.ndarray) -> bytes:
     """An array packed byte by byte, so that like bytes stand together."""
-    return zlib.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T), asbytes=True)
 
 
-def from_planes(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def from_planes(data: bytes, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
 
 
 def keys_packed(keys: np.ndarray) -> bytes:
@@ -96,24 +134,18 @@ def keys_packed(keys: np.ndarray) -> bytes:
     return planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
-def keys_freed(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64)
+def keys_freed(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8", n), dtype=np.uint64)
 
 
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with their summed counts."""
-    every, of = np.concatenate(keys), np.concatenate(counts)
-    if not len(every):
-        return every, of
-    place = np.argsort(every, kind="stable")
-    every, of = every[place], of[place]
-    new = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-    return every[new], np.add.reduceat(of, new)
+def starts_of(ordered: np.ndarray) -> np.ndarray:
+    """Where in a sorted array each distinct value begins."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
 
 
 def cuts_of(keys: np.ndarray, cuts: int) -> np.ndarray:
     """Where sorted keys go from one range to the next."""
-    bounds = np.array([i * (1 << 64) // cuts for i in range(1, cuts)], np.uint64)
+    bounds = np.array([i * (1 << KEY_BITS) // cuts for i in range(1, cuts)], np.uint64)
     return np.r_[0, np.searchsorted(keys, bounds), len(keys)]
 
 
@@ -125,84 +157,104 @@ def rows_of(batch: pa.RecordBatch):
 
 # Parts
 
-PARTS = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("size", pa.int32()), ("cut", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("data", pa.binary())])
-PARTS_SQL = "part bigint, kind string, size int, cut int, n bigint, keys binary, data binary"
+PARTS = pa.schema([("part", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("trained", pa.int64()), ("words", pa.binary()), ("ids", pa.binary()), ("docs", pa.binary())])
+PARTS_SQL = "part bigint, n_tokens bigint, n_words bigint, trained bigint, words binary, ids binary, docs binary"
 
 
-def parts_of(docs: DataFrame, order: int, cuts: int, part_chars: int) -> str:
-    """The path of a table in folders by kind. Rows of kind 'grams': of each part, n-gram length (size) and range (cut) the sorted keys and training counts.
-
-    Rows of kind 'texts': slices of the part's documents, n of whose tokens are for training.
-    """
-    rows = docs.select("doc", F.coalesce("text", F.lit("")).alias("text"), "train")
+def parts_of(docs: DataFrame, part_chars: int) -> DataFrame:
+    """A row for each part: its distinct words by falling frequency (hashes), its tokens as their numbers, its documents."""
+    rows = docs.select("doc", "text", "train")
 
     def run(batches):
         from pyspark import TaskContext
 
-        known, part, size, n_slices = Vocabulary(), TaskContext.get().partitionId() << 32, 0, 0
-        empty = lambda: [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(order)]
-        own = empty()
+        part = TaskContext.get().partitionId() << 32
+        held, size = [], 0
 
         def closed():
-            for k, (keys, counts) in enumerate(own):
-                at = cuts_of(keys, cuts)
-                for cut in np.flatnonzero(np.diff(at)):
-                    a, b = at[cut], at[cut + 1]
-                    yield pa.RecordBatch.from_pylist([{"part": part, "kind": "grams", "size": k + 1, "cut": int(cut), "n": int(b - a), "keys": keys_packed(keys[a:b]), "data": planes(counts[a:b].astype("<u4"))}], PARTS)
+            tokens = np.concatenate([t for t, _, _ in held])
+            words, ids, seen = np.unique(tokens, return_inverse=True, return_counts=True)
+            del tokens
+            order = np.argsort(-seen, kind="stable")
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            docs = pa.concat_tables([d for _, _, d in held])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(docs)
+            row = {"part": part, "n_tokens": len(ids), "n_words": len(words), "trained": sum(n for _, n, _ in held), "words": planes(words[order]), "ids": planes(number[ids]), "docs": sink.getvalue().to_pybytes()}
+            return pa.RecordBatch.from_pylist([row], PARTS)
 
         for batch in batches:
-            ids, train = batch.column(0), np.array(batch.column(2).to_pylist(), bool)
-            for at, to, texts in text_slices(batch.column(1), SLICE_CHARS):
-                tokens, begins = token_hashes(texts, known)
-                taught = np.repeat(train[at:to], np.diff(np.r_[begins, len(tokens)])).astype(np.int64)
-                for k, keys in enumerate(grams(tokens, begins, order)):
-                    real = keys != 0
-                    more = summed([keys[real]], [taught[real]])
-                    own[k] = summed([own[k][0], more[0]], [own[k][1], more[1]])
-                sink = pa.BufferOutputStream()
-                table = pa.table({"doc": ids.slice(at, to - at), "text": batch.column(1).slice(at, to - at), "train": pa.array(train[at:to])})
-                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(table)
-                yield pa.RecordBatch.from_pylist([{"part": part, "kind": "texts", "size": 0, "cut": n_slices, "n": int(taught.sum()), "keys": None, "data": sink.getvalue().to_pybytes()}], PARTS)
-                n_slices, size = n_slices + 1, size + sum(map(len, texts))
+            length = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto, at = np.r_[0, np.cumsum(length)], 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE_BYTES, side="right")) - 1)
+                tokens, begins = token_hashes(batch.column(1).slice(at, to - at))
+                n, taught = np.diff(np.r_[begins, len(tokens)]), batch.column(2).slice(at, to - at)
+                held.append((tokens, int(n[taught.to_numpy(zero_copy_only=False).astype(bool)].sum()), pa.table({"doc": batch.column(0).slice(at, to - at), "train": taught, "n": pa.array(n, pa.int64())})))
+                size += int(upto[to] - upto[at])
+                at = to
                 if size >= part_chars:
-                    yield from closed()
-                    own, part, size, n_slices = empty(), part + 1, 0, 0
-        if n_slices:
-            yield from closed()
+                    yield closed()
+                    held, size, part = [], 0, part + 1
+        if held:
+            yield closed()
+
+    return written(rows.mapInArrow(run, PARTS_SQL), "lm-parts")
+
+
+def opened(r: dict) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The documents of a part, their tokens, and where each begins."""
+    docs = pa.ipc.open_stream(r["docs"]).read_all()
+    n = docs.column("n").to_numpy()
+    return docs, from_planes(r["words"], "<u8", r["n_words"])[from_planes(r["ids"], "<u4", r["n_tokens"])], np.cumsum(n) - n
 
-    at = scratch(docs.sparkSession, "lm-parts")
-    rows.mapInArrow(run, PARTS_SQL).write.partitionBy("kind").parquet(at)
-    return at
 
+GRAMS = pa.schema([("part", pa.int64()), ("size", pa.int32()), ("cut", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERS = pa.schema([("part", pa.int64()), ("size", pa.int32()), ("cut", pa.int32()), ("n", pa.int64()), ("kinds", pa.int64()), ("counts", pa.binary())])
 
-def of_kind(spark: SparkSession, at: str, kind: str) -> DataFrame:
-    """The rows of one kind; none if none was written."""
-    schema = ", ".join(x for x in PARTS_SQL.split(", ") if not x.startswith("kind "))
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/kind={kind}")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    rows = spark.read.schema(schema).parquet(f"{at}/kind={kind}") if there else spark.createDataFrame([], schema)
-    return rows.withColumn("kind", F.lit(kind)).select(*PARTS.names)
 
+def asked(parts: DataFrame, order: int, cuts: int) -> DataFrame:
+    """Of each part, n-gram length and range the sorted keys and how often each is in the part's training texts."""
 
-def dropped(spark: SparkSession, at: str, kind: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/kind={kind}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def run(batches):
+        for batch in batches:
+            for r in rows_of(batch):
+                docs, tokens, begins = opened(r)
+                train = np.repeat(docs.column("train").to_numpy().astype(np.uint64), docs.column("n").to_numpy())
+                for k, (places, keys) in enumerate(grams(tokens, begins, order)):
+                    # The training flag is the last bit of what is sorted.
+                    ordered = np.sort(keys << np.uint64(1) | train[places])
+                    del keys
+                    first = starts_of(ordered >> np.uint64(1))
+                    counts = np.add.reduceat(ordered & np.uint64(1), first).astype("<u4") if len(first) else np.zeros(0, "<u4")
+                    ordered = ordered[first] >> np.uint64(1)
+                    at = cuts_of(ordered, cuts)
+                    yield pa.RecordBatch.from_pylist([{"part": r["part"], "size": k + 1, "cut": int(c), "n": int(at[c + 1] - at[c]), "keys": keys_packed(ordered[at[c] : at[c + 1]]), "counts": planes(counts[at[c] : at[c + 1]])} for c in np.flatnonzero(np.diff(at))], GRAMS)
 
+    return parts.mapInArrow(run, "part bigint, size int, cut int, n bigint, keys binary, counts binary")
 
-def answered(grams: DataFrame, cuts: int, order: int) -> DataFrame:
-    """For each row of kind 'grams' one of kind 'answer' with the counts over all parts; n is how many of the range's keys were trained, on one row of each range."""
-    asked = grams.repartition(cuts * order, "size", "cut").sortWithinPartitions("size", "cut", "part")
+
+def answered(grams_: DataFrame, cuts: int, order: int) -> DataFrame:
+    """For each row of asked() the counts over all parts; kinds is how many of the range's keys were trained, on one row of each range."""
+    rows = grams_.repartition(cuts * order, "size", "cut").sortWithinPartitions("size", "cut", "part")
 
     def run(batches):
         held, of = [], None
 
         def answers():
-            keys, totals = summed([keys_freed(r[1]) for r in held], [from_planes(r[2], "<u4").astype(np.int64) for r in held])
-            trained = int((totals > 0).sum())
-            for i, (part, own, _) in enumerate(held):
-                counts = totals[np.searchsorted(keys, keys_freed(own))]
-                yield pa.RecordBatch.from_pylist([{"part": part, "kind": "answer", "size": of[0], "cut": of[1], "n": 0 if i else trained, "keys": None, "data": planes(counts.astype("<u8"))}], PARTS)
+            every = np.concatenate([k for _, k, _ in held])
+            counts = np.concatenate([c for _, _, c in held])
+            place = np.argsort(every)
+            first = starts_of(every[place])
+            totals = np.add.reduceat(counts[place], first)
+            counts[place] = np.repeat(totals, np.diff(np.r_[first, len(every)]))
+            at = 0
+            for i, (part, keys, _) in enumerate(held):
+                own = counts[at : at + len(keys)]
+                at += len(keys)
+                yield pa.RecordBatch.from_pylist([{"part": part, "size": of[0], "cut": of[1], "n": len(own), "kinds": 0 if i else int((totals > 0).sum()), "counts": planes(own.astype("<u8"))}], ANSWERS)
 
         for batch in batches:
             for r in rows_of(batch):
@@ -210,123 +262,100 @@ def answered(grams: DataFrame, cuts: int, order: int) -> DataFrame:
                     yield from answers()
                     held = []
                 of = (r["size"], r["cut"])
-                held.append((r["part"], r["keys"], r["data"]))
+                held.append((r["part"], keys_freed(r["keys"], r["n"]), from_planes(r["counts"], "<u4", r["n"]).astype(np.int64)))
         if held:
             yield from answers()
 
-    return written(asked.mapInArrow(run, PARTS_SQL), "lm-answers")
+    return written(rows.mapInArrow(run, "part bigint, size int, cut int, n bigint, kinds bigint, counts binary"), "lm-answers")
 
 
 # The automaton of a part
 
 
 class Automaton:
-    """Arcs and failure arcs that the texts of a part can reach.
+    """Arcs and failure arcs that the texts of a part can reach, laid out by the places of their words.
 
-    arc[k - 1][i]: the arc of the k-gram that ends at place i. seen, weight: of each arc, whether it was trained, and its
-    log10 probability. fail: of each k-gram as a state, the log10 weight of its failure arc. unknown: the log10
-    probability of a word that was not trained.
+    seen, weight: of the k-gram that ends at a place, whether it was trained, and the log10 probability of its arc.
+    fail: of the k-gram that ends at a place, as a state, the log10 weight of its failure arc; index 0 is START.
+    unknown: the log10 probability of a word that was not trained.
     """
 
-    def __init__(self, at: list[np.ndarray], counts: list[np.ndarray], begins: np.ndarray, n_texts: int, n_tokens: int, n_kinds: int, mass: float):
-        self.arc, self.begins, self.unknown = at, begins, np.log10((n_kinds + 1) / (n_tokens + n_kinds + 1))
+    def __init__(self, counts: list[np.ndarray], begins: np.ndarray, n_texts: int, n_tokens: int, n_kinds: int, mass: float):
+        self.begins, self.unknown, n = begins, np.log10((n_kinds + 1) / (n_tokens + n_kinds + 1)), len(counts[0])
+        self.opens = np.zeros(n, bool)
+        self.opens[begins] = True
         self.seen = [c > 0 for c in counts]
-        self.fail = [np.log10(mass / (c + mass)) for c in counts]
-        self.start_fail = np.log10(mass / (n_texts + mass))
+        self.start = np.log10(mass / (n_texts + mass))
+        self.fail = [np.log10(mass / (c + mass)) for c in counts[:-1]]
         p = np.where(self.seen[0], counts[0], n_kinds + 1) / (n_tokens + n_kinds + 1)
         self.weight = [np.log10(p)]
-        n = len(at[0])
-        place = np.arange(n)
-        since = place - np.repeat(begins, np.diff(np.r_[begins, n]))
-        for k in range(2, len(at) + 1):
-            # One place where each k-gram ends; its context ends one place before, or is the start of the text.
-            some = np.zeros(len(counts[k - 1]), np.int64)
-            real = np.flatnonzero(since >= k - 2)
-            some[at[k - 1][real]] = real
-            of_context = np.where(since[some] == 0, n_texts, counts[k - 2][at[k - 2][np.maximum(some - 1, 0)]]) if n else counts[k - 2][:0]
-            p = (counts[k - 1] + mass * p[at[k - 2][some]]) / (of_context + mass)
+        for k in range(2, len(counts) + 1):
+            # The context ends one place before, or is START.
+            context = np.r_[np.int64(0), counts[k - 2][:-1]] if n else counts[k - 2]
+            context = np.where(self.opens, n_texts, context)
+            p = (counts[k - 1] + mass * p) / (context + mass)
             self.weight.append(np.log10(p))
 
     def scores(self) -> np.ndarray:
-        """The log10 probability of each text: one pass from left to right over all texts, with the state of each."""
-        order = len(self.arc)
-        n = np.diff(np.r_[self.begins, len(self.arc[0])])
-        longest = np.argsort(-n, kind="stable")
-        live = np.searchsorted(-n[longest], -np.arange(1, int(n.max(initial=0)) + 1), side="right")
-        first, total = self.begins[longest], np.zeros(len(n))
-        # The state of a text is the trained n-gram that ends before the place, of this many words; at first the start.
-        level = np.full(len(n), min(1, order - 1))
-        for step, m in enumerate(live):
-            place, state, gained = first[:m] + step, level[:m], np.zeros(m)
-            open_ = np.ones(m, bool)
-            reached = np.zeros(m, np.int64)
-            for k in range(order, 0, -1):
-                here = np.flatnonzero(open_ & (state >= k - 1))
-                if not len(here):
-                    continue
-                arc = self.arc[k - 1][place[here]]
-                taken = self.seen[k - 1][arc]
-                took, failed = here[taken], here[~taken]
-                gained[took] += self.weight[k - 1][arc[taken]]
-                reached[took] = k
-                open_[took] = False
-                if k > 1:
-                    gained[failed] += self.start_fail if step == 0 else self.fail[k - 2][self.arc[k - 2][place[failed] - 1]]
-                else:
-                    gained[failed] += self.unknown
-            total[:m] += gained
-            level[:m] = np.minimum(reached, order - 1)
-        out = np.zeros(len(n))
-        out[longest] = total
-        return out
+        """The log10 probability of each text.
+
+        The beginning of a trained n-gram is trained as well, so that the state behind a place is the longest trained
+        n-gram that ends there, of order - 1 words at most. Carried on by one place, it is where the next word is looked
+        for: it takes its arc there, or failure arcs until a state has one.
+        """
+        order, n = len(self.seen), len(self.opens)
+        level = np.zeros(n, np.int8)
+        for k in range(1, order + 1):
+            level[self.seen[k - 1]] = k
+        state = np.minimum(np.r_[np.int8(0), level[:-1]] if n else level, np.int8(order - 1))
+        state[self.opens] = min(1, order - 1)
+        gained = np.where(level == 0, self.unknown, 0.0)
+        for k in range(order, 0, -1):
+            took = np.flatnonzero(level == k)
+            gained[took] += self.weight[k - 1][took]
+            if k > 1:
+                failed = np.flatnonzero((state >= k - 1) & (level < k))
+                gained[failed] += np.where(self.opens[failed], self.start, self.fail[k - 2][failed - 1])
+        return np.add.reduceat(gained, self.begins) if len(self.begins) else gained
 
 
 SCORES = pa.schema([("doc", pa.string()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def scored(texts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tokens: int, n_kinds: int, mass: float) -> DataFrame:
-    rows = texts.unionByName(answers)
-    rows = rows.withColumn("rank", F.when(F.col("kind") == "texts", 1).otherwise(0))
-    rows = rows.repartition(F.col("part")).sortWithinPartitions("part", "rank", "size", "cut").select(*PARTS.names)
+def scored(parts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tokens: int, n_kinds: int, mass: float) -> DataFrame:
+    rows = parts.unionByName(answers, allowMissingColumns=True)
+    # The answers of a part come in order, and then the part.
+    rows = rows.repartition("part").sortWithinPartitions("part", F.col("size").asc_nulls_last(), "cut")
 
     def run(batches):
-        known = Vocabulary()
-        counts, slices_, of = [[] for _ in range(order)], [], None
-
-        def of_part():
-            total = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in counts]
-            tables = [pa.ipc.open_stream(t).read_all() for t in slices_]
-            several = [token_hashes(t.column("text").to_pylist(), known) for t in tables]
-            tokens = np.concatenate([t for t, _ in several])
-            base = np.cumsum([0, *[len(t) for t, _ in several]])
-            begins = np.concatenate([b + a for (_, b), a in zip(several, base)])
-            at = []
-            for k, keys in enumerate(grams(tokens, begins, order)):
-                real = keys != 0
-                distinct = np.unique(keys[real])
-                if len(distinct) != len(total[k]):
+        counts: list[list] = [[] for _ in range(order)]
+
+        def of_part(r):
+            docs, tokens, begins = opened(r)
+            by_place = []
+            for (places, keys), told in zip(grams(tokens, begins, order), counts):
+                place = np.argsort(keys)
+                first = starts_of(keys[place])
+                total = np.concatenate(told) if told else np.zeros(0, np.int64)
+                if len(first) != len(total):
                     raise ValueError("the answers aren't those of this part")
-                at.append(np.where(real, np.searchsorted(distinct, keys), 0).astype(np.int32))
-            machine = Automaton(at, total, begins, n_texts, n_tokens, n_kinds, mass)
-            c = total[0][at[0]]
-            n = np.diff(np.r_[begins, len(tokens)])
+                own = np.zeros(len(tokens), np.int64)
+                own[places[place]] = np.repeat(total, np.diff(np.r_[first, len(keys)]))
+                by_place.append(own)
+            c = by_place[0]
             sums = lambda x: np.add.reduceat(x, begins) if len(begins) else x[:0]
             base_score = sums(np.log10((c + 1) / (n_tokens + n_kinds + 1)))
-            docs, train = [pa.concat_arrays([x for t in tables for x in t.column(name).chunks]) for name in ("doc", "train")]
-            yield pa.RecordBatch.from_arrays([docs.cast(pa.string()), train, pa.array(n, pa.int64()), pa.array(sums((c > 0).astype(np.int64))), pa.array(base_score), pa.array(machine.scores())], schema=SCORES)
+            made = Automaton(by_place, begins, n_texts, n_tokens, n_kinds, mass).scores()
+            doc, train, n = (docs.column(x).combine_chunks() for x in ("doc", "train", "n"))
+            return pa.RecordBatch.from_arrays([doc.cast(pa.string()), train, n, pa.array(sums((c > 0).astype(np.int64))), pa.array(base_score), pa.array(made)], schema=SCORES)
 
         for batch in batches:
             for r in rows_of(batch):
-                if of is not None and r["part"] != of:
-                    yield from of_part()
-                    counts, slices_ = [[] for _ in range(order)], []
-                of = r["part"]
-                if r["kind"] == "texts":
-                    slices_.append(r["data"])
+                if r["docs"] is None:
+                    counts[r["size"] - 1].append(from_planes(r["counts"], "<u8", r["n"]).astype(np.int64))
                 else:
-                    counts[r["size"] - 1].append(from_planes(r["data"], "<u8").astype(np.int64))
-        if of is not None:
-            yield from of_part()
+                    yield of_part(r)
+                    counts = [[] for _ in range(order)]
 
     return rows.mapInArrow(run, "doc string, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
@@ -338,19 +367,14 @@ def score(docs: DataFrame, train, doc: str = "doc_id", text: str = "text", order
     train is false. Without training rows every token is the unknown one, of probability one. No rows give no rows.
     """
     own = docs.select(F.col(f"`{doc}`").cast("string").alias("doc"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    total, n_texts = own.agg(F.sum(F.length("text").cast("long")), F.count_if("train")).first()
-    cuts = max(1, -(-(total or 0) // CHARS_PER_RANGE))
-    # Parts and ranges meet in as many rows as their product, so that for a very large corpus both grow as its root.
-    part_chars = part_chars or max(PART_CHARS, int((total or 0) ** 0.5 * 50))
-    spark = docs.sparkSession
-    at = parts_of(own, order, cuts, part_chars)
-    texts = of_kind(spark, at, "texts")
-    n_tokens = texts.agg(F.sum("n")).first()[0] or 0
-    answers = answered(of_kind(spark, at, "grams"), cuts, order)
-    # The answers are a table of their own; what was asked is large and no longer needed.
-    dropped(spark, at, "grams")
-    n_kinds = answers.where("size = 1").agg(F.sum("n")).first()[0] or 0
-    out = scored(texts, answers, order, n_texts, n_tokens, n_kinds, mass)
+    total, n_texts = own.agg(F.sum(F.octet_length("text").cast("long")), F.count_if("train")).first()
+    root = (total or 0) ** 0.5
+    cuts = max(1, -(-(total or 0) // int(max(RANGE_CHARS, 40 * root))))
+    parts = parts_of(own, part_chars or max(PART_CHARS, int(10 * root)))
+    n_tokens = parts.agg(F.sum("trained")).first()[0] or 0
+    answers = answered(asked(parts, order, cuts), cuts, order)
+    n_kinds = answers.where("size = 1").agg(F.sum("kinds")).first()[0] or 0
+    out = scored(parts, answers, order, n_texts, n_tokens, n_kinds, mass)
     kind = docs.schema[doc].dataType
     return out.select(F.col("doc").cast(kind).alias(doc), "train", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
