@@ -21,11 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import FOLDED, MULTIPLY, byte_slices, mixed, span_hashes, utf8_of, written
 
 ORDER = 3
 MASS = 40.0
@@ -33,72 +32,26 @@ FOLD, HELD = 7, 2
 PART_CHARS, RANGE_CHARS = 16_000_000, 16_000_000
 SLICE_BYTES = 2_000_000
 KEY_BITS = 56
-START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
-MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+START, END = np.uint64(0x9AE16A3B2F9040), np.uint64(0xC3A5C85C97CB31)
 SHIFT = np.uint64(64 - KEY_BITS)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 # Texts to hashes of words
 
-# Upper-case letters count as lower-case ones.
-BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLY)
-BYTE[65:91] = BYTE[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-STEP = np.uint64(0xD1342543DE82EF95)
-STEP_BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
 
 
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts with END after each text, and where each text begins.
-
-    The hash of a word is a sum over its bytes of random numbers times powers of a step, so that those of all words come
-    from one running sum, in stretches of about SLICE_BYTES that end where a word or text does.
-    """
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    at = at - at[0]
-    begins = np.zeros(len(data) + 1, bool)
-    begins[at] = True
-    done, made, places = 0, [], []
-    up, down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    while done < len(data):
-        to = min(len(data), done + SLICE_BYTES)
-        # A word that goes on behind the stretch belongs to it.
-        while to < len(data) and not begins[to] and not SPACE[data[to - 1]]:
-            more = np.flatnonzero(SPACE[data[to : to + SLICE_BYTES]] | begins[to : to + SLICE_BYTES][: len(data) - to])
-            to = to + int(more[0]) + (not begins[to + int(more[0])]) if len(more) else min(len(data), to + SLICE_BYTES)
-        own, new = data[done:to], begins[done : to + 1]
-        word = ~SPACE[own]
-        first = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | new[:-1]))
-        last = np.flatnonzero(word & (np.r_[~word[1:], True] | new[1:])) + 1
-        if len(up) < len(own):
-            up, down = powers(STEP, len(own)), powers(STEP_BACK, len(own))
-        total = np.r_[np.uint64(0), np.cumsum(BYTE[own] * up[: len(own)], dtype=np.uint64)]
-        made.append(mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * MULTIPLY))
-        places.append(first + done)
-        done = to
-    flat = np.concatenate(made) if made else np.zeros(0, np.uint64)
-    place = np.concatenate(places) if places else np.zeros(0, np.int64)
-    upto = np.searchsorted(place, at[1:])
+    """Hashes of the lower-cased words of all texts with END after each text, and where each text begins."""
+    data, at = utf8_of(texts)
+    word, new = ~SPACE[data], np.zeros(len(data) + 1, bool)
+    new[at] = True
+    first = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | new[:-1])) if len(data) else np.zeros(0, np.int64)
+    last = np.flatnonzero(word & (np.r_[~word[1:], True] | new[1:])) + 1 if len(data) else first
+    upto = np.searchsorted(first, at[1:])
     n = np.diff(np.r_[0, upto])
-    return np.insert(flat, upto, END), upto - n + np.arange(len(n))
+    return np.insert(span_hashes(data, first, last, FOLDED) >> SHIFT, upto, END), upto - n + np.arange(len(n))
 
 
 def grams(tokens: np.ndarray, begins: np.ndarray, order: int):
@@ -186,15 +139,11 @@ def parts_of(docs: DataFrame, part_chars: int) -> DataFrame:
             return pa.RecordBatch.from_pylist([row], PARTS)
 
         for batch in batches:
-            length = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            upto, at = np.r_[0, np.cumsum(length)], 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE_BYTES, side="right")) - 1)
+            for at, to in byte_slices(batch.column(1), SLICE_BYTES):
                 tokens, begins = token_hashes(batch.column(1).slice(at, to - at))
                 n, taught = np.diff(np.r_[begins, len(tokens)]), batch.column(2).slice(at, to - at)
                 held.append((tokens, int(n[taught.to_numpy(zero_copy_only=False).astype(bool)].sum()), pa.table({"doc": batch.column(0).slice(at, to - at), "train": taught, "n": pa.array(n, pa.int64())})))
-                size += int(upto[to] - upto[at])
-                at = to
+                size += batch.column(1).slice(at, to - at).nbytes
                 if size >= part_chars:
                     yield closed()
                     held, size, part = [], 0, part + 1
@@ -237,7 +186,7 @@ def asked(parts: DataFrame, order: int, cuts: int) -> DataFrame:
 
 
 def answered(grams_: DataFrame, cuts: int, order: int) -> DataFrame:
-    """For each row of asked() the counts over all parts; kinds is how many of the range's keys were trained, on one row of each range."""
+    """For each row of asked() the counts in all other parts; kinds is how many of the range's keys were trained, on one row of each range."""
     rows = grams_.repartition(cuts * order, "size", "cut").sortWithinPartitions("size", "cut", "part")
 
     def run(batches):
@@ -249,7 +198,7 @@ def answered(grams_: DataFrame, cuts: int, order: int) -> DataFrame:
             place = np.argsort(every)
             first = starts_of(every[place])
             totals = np.add.reduceat(counts[place], first)
-            counts[place] = np.repeat(totals, np.diff(np.r_[first, len(every)]))
+            counts[place] = np.repeat(totals, np.diff(np.r_[first, len(every)])) - counts[place]
             at = 0
             for i, (part, keys, _) in enumerate(held):
                 own = counts[at : at + len(keys)]
@@ -333,12 +282,15 @@ def scored(parts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tok
         def of_part(r):
             docs, tokens, begins = opened(r)
             by_place = []
+            train = np.repeat(docs.column("train").to_numpy().astype(np.int64), docs.column("n").to_numpy())
             for (places, keys), told in zip(grams(tokens, begins, order), counts):
                 place = np.argsort(keys)
                 first = starts_of(keys[place])
                 total = np.concatenate(told) if told else np.zeros(0, np.int64)
                 if len(first) != len(total):
                     raise ValueError("the answers aren't those of this part")
+                if len(first):
+                    total += np.add.reduceat(train[places[place]], first)
                 own = np.zeros(len(tokens), np.int64)
                 own[places[place]] = np.repeat(total, np.diff(np.r_[first, len(keys)]))
                 by_place.append(own)

@@ -54,6 +54,66 @@ def text_slices(column: pa.Array, most_chars: int):
         at = to
 
 
+def byte_slices(column: pa.Array, most: int):
+    """(from, to) for stretches of a text column of about most bytes; a longer text is a stretch of its own."""
+    upto, at = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))], 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def utf8_of(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts, an Arrow array or a list, one after the other, and where each begins, with the end of the last. Nulls are empty."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+STEP = 0xD1342543DE82EF95
+BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLY)
+FOLDED = BYTE.copy()
+FOLDED[65:91] = BYTE[97:123]
+WINDOW = 1 << 21
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, byte: np.ndarray = BYTE) -> np.ndarray:
+    """64-bit hashes of the spans [first, last) of bytes, which are in order and don't overlap.
+
+    A hash is a sum over the bytes of random numbers times powers of a step, so that those of all spans come from one
+    running sum. It is made by windows of about WINDOW bytes that end where a span does.
+    """
+    up, down = in_worker("powers", lambda: (powers(STEP, 2 * WINDOW), powers(pow(STEP, -1, 1 << 64), 2 * WINDOW)))
+    out, done = [np.zeros(0, np.uint64)], 0
+    while done < len(first):
+        to = max(done + 1, int(np.searchsorted(last, first[done] + WINDOW, side="right")))
+        a, b = int(first[done]), int(last[to - 1])
+        if b - a > len(up):
+            up, down = powers(STEP, b - a), powers(pow(STEP, -1, 1 << 64), b - a)
+        total = np.r_[np.uint64(0), np.cumsum(byte[data[a:b]] * up[: b - a], dtype=np.uint64)]
+        f, e = first[done:to] - a, last[done:to] - a
+        out.append(mixed((total[e] - total[f]) * down[f] + (e - f).astype(np.uint64) * MULTIPLY))
+        done = to
+    return np.concatenate(out)
+
+
 def in_worker(key, make):
     """make() once in each Python worker."""
     kept = sys.__dict__.setdefault("_lectern_kept", {})
