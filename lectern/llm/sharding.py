@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def before(df: DataFrame, keys: list[str], bucket: str, span: int = 1000) -> DataFrame:
-    """(keys, bucket, _x_before): for each bucket the rows of lower ones with the same keys.
+def before(df: DataFrame, keys: list[str], bucket: str, size: str | None = None, span: int = 1000) -> DataFrame:
+    """(keys, bucket, _x_before): for each bucket the rows of lower ones with the same keys, or the sum of their sizes.
 
     Buckets are summed by spans of so many, and spans before each other, so that no task sorts more than span buckets
     or one row for each span.
     """
-    counts = df.groupBy(*keys, bucket).agg(F.count("*").alias("_x_c")).withColumn("_x_span", F.floor(F.col(bucket) / span))
+    counts = df.groupBy(*keys, bucket).agg((F.sum(size) if size else F.count("*")).alias("_x_c")).withColumn("_x_span", F.floor(F.col(bucket) / span))
     lower = lambda keys, by: F.coalesce(F.sum("_x_c").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = counts.groupBy(*keys, "_x_span").agg(F.sum("_x_c").alias("_x_c")).withColumn("_x_whole", lower(keys, "_x_span")).drop("_x_c")
     inside = counts.withColumn("_x_part", lower([*keys, "_x_span"], bucket))

@@ -8,8 +8,8 @@
    with the bit offset of every STRIDE-th id. Blocks and the stretches between checkpoints decode without each other.
 4. Readers decode all stretches of a file at once, one id of each per step, by a table of 2^LIMIT entries.
 
-Words are encoded once in each task: text is cut before single spaces, where the tokenizer cuts as well, and the ids of
-the pieces are looked up in a bounded table.
+Words are encoded once in each worker: texts are cut where the tokenizer's own first step cuts as well, and the ids of the
+pieces are looked up in a bounded table.
 """
 
 from __future__ import annotations
@@ -24,60 +24,97 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_worker, scratch, text_slices, written
+from .common import byte_slices, in_worker, scratch, span_hashes, utf8_of, written
+from .sharding import before
 
 LIMIT = 18
 BLOCK = 1 << 16
 STRIDE = 1 << 9
 END = 2
 MAGIC = b"LTF1"
-KNOWN, KEPT = 450_000, 250_000
+KNOWN, KEPT = 1_000_000, 600_000
 AT_ONCE = 5_000
-SLICE_CHARS = 2_000_000
-# After other white space a space is a place to cut only if a word follows.
-UNCUT = re.compile(r"\s\x20(?:\s|\Z)")
-AFTER_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
-NEAR_BREAK = re.compile(r"\n\s|[^\S\n]\n").search
-AFTER_NO_WORD = re.compile(r"[\W_][,.]").search
-# A word and the punctuation after it are always apart.
-PUNCTUATED = re.compile(r"(\x20?[^\W_]+)([!-/:-@\[-`{-~]+)")
+SLICE_BYTES = 4_000_000
 
 
 # Text to ids
 
-
-class Pieces(dict):
-    """Piece of text to number, with the ids of each piece in one array."""
+# The pre-tokenizer's classes of bytes in plain texts: white space, ASCII letters and those of Latin-1, digits, punctuation.
+WHITE, LETTER, DIGIT, MARK, HIGH, OTHER = range(6)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[32, *range(9, 14)]] = WHITE
+CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+CLASS[48:58] = DIGIT
+CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = MARK
+CLASS[128:] = HIGH
+ONE_CLASS = re.compile(rb"\x20?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-/:-@\[-`{-~]+)").fullmatch
+# White space beyond ASCII, in UTF-8.
+ODD_WHITE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHAR = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - PRINTED))}
+
+
+def piece_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where pieces begin in plain texts (UTF-8, one after the other, from begins on): nowhere but where the pre-tokenizer cuts too.
+
+    It cuts before a space and a word, around other white space but for the last character of a run, and between letters,
+    digits and punctuation. After an apostrophe letters may belong to it, and characters beyond Latin-1 have no known
+    class, so that there is no cut beside them.
+    """
+    kind = CLASS[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    letters = after[~np.isin(data[after], (0x97, 0xB7))]
+    kind[letters] = kind[letters - 1] = LETTER
+    white = kind == WHITE
+    first = np.zeros(len(data) + 1, bool)
+    first[begins] = True
+    last = np.zeros(len(data), bool)
+    last[np.r_[begins[1:], len(data)][begins < len(data)] - 1] = True
+    was, will = np.r_[False, white[:-1]] & ~first[:-1], np.r_[white[1:], False] & ~last
+    known = (kind >= LETTER) & (kind <= MARK)
+    turn = np.r_[False, known[:-1] & known[1:] & (kind[:-1] != kind[1:]) & ~((data[:-1] == 39) & (kind[1:] == LETTER))]
+    start = first[:-1] | turn
+    start |= white & ~was  # a run of white space begins
+    start |= white & ~will & ~last  # its last character, before something else
+    start |= ~white & was & np.r_[False, data[:-1] != 32]  # what follows it, unless that is a space
+    return np.flatnonzero(start)
+
+
+class Pieces:
+    """The ids of the pieces of texts. Pieces are found by their hashes in arrays; the most used stay known."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.new = Tokenizer.from_file(path), []
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, piece):
-        self[piece] = at = len(self)
-        self.new.append(piece)
-        return at
-
-    def cut(self, text: str) -> list[str]:
-        """The text cut before spaces and around line breaks, where the tokenizer cuts as well."""
-        if "\0" in text or any(s in text for s in self.special) or (any(s in text for s in AFTER_SPACE) and UNCUT.search(text)):
-            return [text]
-        marked = text.replace(" ", "\0 ")
-        # A line break between words or punctuation stands alone.
-        if "\n" in text and not NEAR_BREAK(text):
-            marked = marked.replace("\n", "\0\n\0")
-        # So does a comma or full stop between a word and a cut.
-        if not AFTER_NO_WORD(text):
-            marked = marked.replace(",\0", "\0,\0").replace(".\0", "\0.\0")
-        own = marked.split("\0")
-        return own if own[0] and own[-1] else [p for p in own if p]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.start, self.n, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self):
+        return len(self.keys)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        # What the library returns of a piece is large, so that not many are encoded at once.
+        return [e.ids for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Ids of new pieces with sorted keys. Those of one class are what the pre-tokenizer would leave whole."""
+        tokenize = self.tokenizer.model.tokenize
+        coded = [[t.id for t in tokenize(p.decode("latin-1").translate(BYTE_CHAR))] if ONE_CLASS(p) else None for p in pieces]
+        several = [i for i, c in enumerate(coded) if c is None]
+        for i, c in zip(several, self._whole([pieces[i].decode() for i in several])):
+            coded[i] = c
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(n.sum()))
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.number = np.insert(self.keys, place, keys), np.insert(self.number, place, np.arange(len(self.n), len(self.n) + len(n)))
+        self.start = np.r_[self.start, len(self.flat) + np.cumsum(n) - n]
+        self.n, self.flat, self.used = np.r_[self.n, n], np.r_[self.flat, flat], np.r_[self.used, np.zeros(len(n), np.int64)]
 
     def gathered(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of pieces, one after the other."""
@@ -85,50 +122,58 @@ class Pieces(dict):
         ends = np.cumsum(n)
         return self.flat[np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n - self.start[numbers], n)]
 
-    def _placed(self, numbers: np.ndarray, n: np.ndarray, flat: np.ndarray) -> None:
-        self.start[numbers], self.n[numbers] = np.cumsum(n) - n + len(self.flat), n
-        self.flat = np.concatenate([self.flat, flat])
-
-    def _learn(self) -> None:
-        """Ids of the new pieces. A word with punctuation after it is the word and the punctuation."""
-        new, self.new = self.new, []
-        at = self[new[0]]
-        parted, plain = [], []
-        for i, p in enumerate(new):
-            if m := PUNCTUATED.fullmatch(p):
-                parted.append((at + i, self[m[1]], self[m[2]]))
-            else:
-                plain.append(i)
-        numbers = np.array([at + i for i in plain] + list(range(at + len(new), len(self))), np.int64)
-        texts = [new[i] for i in plain] + self.new
-        self.new = []
-        more = np.zeros(len(self) - len(self.n), np.int64)
-        self.start, self.n = np.concatenate([self.start, more]), np.concatenate([self.n, more])
-        # What the library returns of a piece is large, so that not many are encoded at once.
-        coded = [e.ids for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
-        n = np.fromiter(map(len, coded), np.int64, len(coded))
-        self._placed(numbers, n, np.fromiter(chain.from_iterable(coded), np.uint32, n.sum()))
-        if parted:
-            parted = np.array(parted, np.int64)
-            self._placed(parted[:, 0], self.n[parted[:, 1:]].sum(axis=1), self.gathered(parted[:, 1:].ravel()))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and how many each text has."""
-        cut = [self.cut(t) for t in texts]
-        count = np.fromiter(map(len, cut), np.int64, len(cut))
-        got = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, int(count.sum()))
-        if self.new:
-            self._learn()
-        ids = self.gathered(got)
-        upto = np.r_[0, np.cumsum(self.n[got])][np.r_[0, np.cumsum(count)]]
-        if len(self) > KNOWN:
-            # Frequent pieces were met first.
-            for piece in [p for p, i in self.items() if i >= KEPT]:
-                del self[piece]
-            numbers = np.arange(KEPT)
-            flat, n = self.gathered(numbers), self.n[:KEPT].copy()
-            self.flat, self.start, self.n = flat, np.cumsum(n) - n, n
-        return ids, np.diff(upto)
+    def _trimmed(self) -> None:
+        if len(self) > KNOWN or len(self.flat) > 8 * KNOWN:
+            most = np.sort(np.argsort(-self.used, kind="stable")[:KEPT])
+            most = most[np.cumsum(self.n[most]) <= 4 * KNOWN]
+            key_of = np.empty(len(self.n), np.uint64)
+            key_of[self.number] = self.keys
+            flat, n, keys = self.gathered(most), self.n[most], key_of[most]
+            order = np.argsort(keys)
+            self.flat, self.n, self.start, self.used = flat, n, np.cumsum(n) - n, self.used[most] // 2
+            self.keys, self.number = keys[order], order
+
+    def _plain(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain texts, which begin at begins, in one array, and how many each has."""
+        first = piece_starts(data, begins)
+        last = np.r_[first[1:], len(data)]
+        keys, one, of, seen = np.unique(span_hashes(data, first, last), return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero((at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != keys)) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            whole = data.tobytes()
+            self._learn(keys[new], [whole[a:b] for a, b in zip(first[one[new]].tolist(), last[one[new]].tolist())])
+            at = np.searchsorted(self.keys, keys)
+        numbers = self.number[at]
+        self.used[numbers] += seen
+        numbers = numbers[of]
+        ids, upto = self.gathered(numbers), np.r_[0, np.cumsum(self.n[numbers])]
+        edge = upto[np.searchsorted(first, np.r_[begins, len(data)])]
+        self._trimmed()
+        return ids, np.diff(edge)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (an Arrow array or list; null is empty) in one array, and how many each text has."""
+        data, at = utf8_of(texts)
+        whole = data.tobytes()
+        odd = np.flatnonzero(CLASS[data] == OTHER)
+        found = [m.start() for p in (ODD_WHITE, *map(re.compile, map(re.escape, self.special))) for m in p.finditer(whole)]
+        # Other texts go through the library whole.
+        others = np.unique(np.searchsorted(at, np.r_[odd, np.array(found, np.int64)], side="right") - 1)
+        if not len(others):
+            return self._plain(data, at[:-1])
+        out, n = [], np.zeros(len(at) - 1, np.int64)
+        done = 0
+        for i in [*others.tolist(), len(n)]:
+            if i > done:
+                ids, n[done:i] = self._plain(data[at[done] : at[i]], at[done:i] - at[done])
+                out.append(ids)
+            if i < len(n):
+                ids = self._whole([whole[at[i] : at[i + 1]].decode()])[0]
+                out.append(np.array(ids, np.uint32))
+                n[i] = len(ids)
+            done = i + 1
+        return np.concatenate(out), n
 
 
 # Codes
@@ -286,8 +331,8 @@ def blocks_of(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text
                 continue
             part = batch.column(0)[0].as_py()
             keys = batch.column(1).to_pylist()
-            for at, _, texts in text_slices(batch.column(2), SLICE_CHARS):
-                ids, n = known.encode(texts)
+            for at, to in byte_slices(batch.column(2), SLICE_BYTES):
+                ids, n = known.encode(batch.column(2).slice(at, to - at))
                 ids, n = np.insert(ids, np.cumsum(n), end), n + 1
                 first = np.cumsum(n) - n
                 # Documents that begin in the same stretch of BLOCK ids share a block.
@@ -330,10 +375,10 @@ def ids_of(data, n: int) -> np.ndarray:
 def write(blocks: DataFrame, folder: str) -> DataFrame:
     """Writes the blocks to files in folder; (path, part, block, n_ids, n_bytes) of each."""
     lengths = code_lengths(counted(blocks))
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # One row for each part, of which there are as many as tasks.
-    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = blocks.join(F.broadcast(before), "part").select("part", "block", (F.col("before") + F.col("part_start")).alias("start"), "part_start", "n_ids", "ids", "docs")
+    # A row for each part; written, so that Spark knows its size when it chooses the join.
+    starts = written(before(blocks.select("part", "n_ids"), [], "part", "n_ids"), "token-starts")
+    rows = blocks.join(starts, "part").sortWithinPartitions("part", "block")
+    rows = rows.select("part", "block", (F.col("_x_before") + F.col("part_start")).alias("start"), "part_start", "n_ids", "ids", "docs")
     schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
     def run(batches):
