@@ -224,26 +224,21 @@ def answered(grams_: DataFrame, cuts: int, order: int) -> DataFrame:
 class Automaton:
     """Arcs and failure arcs that the texts of a part can reach, laid out by the places of their words.
 
-    seen, weight: of the k-gram that ends at a place, whether it was trained, and the log10 probability of its arc.
-    fail: of the k-gram that ends at a place, as a state, the log10 weight of its failure arc; index 0 is START.
-    unknown: the log10 probability of a word that was not trained.
+    counts: of the k-gram that ends at a place, how often it was trained. An arc of weight log10 P leads to each trained
+    k-gram from its beginning; the failure arc of a state weighs log10 (M / (c + M)). n_texts counts the state START.
     """
 
     def __init__(self, counts: list[np.ndarray], begins: np.ndarray, n_texts: int, n_tokens: int, n_kinds: int, mass: float):
-        self.begins, self.unknown, n = begins, np.log10((n_kinds + 1) / (n_tokens + n_kinds + 1)), len(counts[0])
-        self.opens = np.zeros(n, bool)
+        self.counts, self.begins, self.n_texts, self.n_tokens, self.n_kinds, self.mass = counts, begins, n_texts, n_tokens, n_kinds, mass
+        self.opens = np.zeros(len(counts[0]), bool)
         self.opens[begins] = True
-        self.seen = [c > 0 for c in counts]
-        self.start = np.log10(mass / (n_texts + mass))
-        self.fail = [np.log10(mass / (c + mass)) for c in counts[:-1]]
-        p = np.where(self.seen[0], counts[0], n_kinds + 1) / (n_tokens + n_kinds + 1)
-        self.weight = [np.log10(p)]
-        for k in range(2, len(counts) + 1):
-            # The context ends one place before, or is START.
-            context = np.r_[np.int64(0), counts[k - 2][:-1]] if n else counts[k - 2]
-            context = np.where(self.opens, n_texts, context)
-            p = (counts[k - 1] + mass * p) / (context + mass)
-            self.weight.append(np.log10(p))
+
+    def behind(self, k: int) -> np.ndarray:
+        """The count of the state of k words one place before each place; before the first word that is START."""
+        out = np.empty_like(self.counts[k - 1])
+        out[1:] = self.counts[k - 1][:-1]
+        out[self.opens] = self.n_texts
+        return out
 
     def scores(self) -> np.ndarray:
         """The log10 probability of each text.
@@ -252,19 +247,24 @@ class Automaton:
         n-gram that ends there, of order - 1 words at most. Carried on by one place, it is where the next word is looked
         for: it takes its arc there, or failure arcs until a state has one.
         """
-        order, n = len(self.seen), len(self.opens)
+        order, n, all_ = len(self.counts), len(self.opens), self.n_tokens + self.n_kinds + 1
         level = np.zeros(n, np.int8)
         for k in range(1, order + 1):
-            level[self.seen[k - 1]] = k
-        state = np.minimum(np.r_[np.int8(0), level[:-1]] if n else level, np.int8(order - 1))
+            level[self.counts[k - 1] > 0] = k
+        state = np.zeros(n, np.int8)
+        state[1:] = np.minimum(level[:-1], order - 1)
         state[self.opens] = min(1, order - 1)
-        gained = np.where(level == 0, self.unknown, 0.0)
-        for k in range(order, 0, -1):
+        p = np.where(level > 0, self.counts[0], self.n_kinds + 1) / all_
+        gained = np.where(level <= 1, np.log10(p), 0.0)
+        for k in range(2, order + 1):
+            behind = self.behind(k - 1)
+            p *= self.mass
+            p += self.counts[k - 1]
+            p /= behind + self.mass
             took = np.flatnonzero(level == k)
-            gained[took] += self.weight[k - 1][took]
-            if k > 1:
-                failed = np.flatnonzero((state >= k - 1) & (level < k))
-                gained[failed] += np.where(self.opens[failed], self.start, self.fail[k - 2][failed - 1])
+            gained[took] += np.log10(p[took])
+            failed = np.flatnonzero((state >= k - 1) & (level < k))
+            gained[failed] += np.log10(self.mass / (behind[failed] + self.mass))
         return np.add.reduceat(gained, self.begins) if len(self.begins) else gained
 
 
@@ -281,7 +281,7 @@ def scored(parts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tok
 
         def of_part(r):
             docs, tokens, begins = opened(r)
-            by_place = []
+            r, by_place = None, []
             train = np.repeat(docs.column("train").to_numpy().astype(np.int64), docs.column("n").to_numpy())
             for (places, keys), told in zip(grams(tokens, begins, order), counts):
                 place = np.argsort(keys)
@@ -294,6 +294,9 @@ def scored(parts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tok
                 own = np.zeros(len(tokens), np.int64)
                 own[places[place]] = np.repeat(total, np.diff(np.r_[first, len(keys)]))
                 by_place.append(own)
+                told.clear()
+                del place, places, keys, total, own
+            del tokens, train
             c = by_place[0]
             sums = lambda x: np.add.reduceat(x, begins) if len(begins) else x[:0]
             base_score = sums(np.log10((c + 1) / (n_tokens + n_kinds + 1)))

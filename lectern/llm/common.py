@@ -85,7 +85,7 @@ STEP = 0xD1342543DE82EF95
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLY)
 FOLDED = BYTE.copy()
 FOLDED[65:91] = BYTE[97:123]
-WINDOW = 1 << 21
+WINDOW = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
