@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, MULTIPLY, byte_slices, mixed, span_hashes, utf8_of, written
+from .common import FOLDED, MULTIPLY, byte_slices, mixed, span_hashes, utf8_of, words_of, written
 
 ORDER = 3
 MASS = 40.0
@@ -36,21 +36,11 @@ START, END = np.uint64(0x9AE16A3B2F9040), np.uint64(0xC3A5C85C97CB31)
 SHIFT = np.uint64(64 - KEY_BITS)
 
 
-# Texts to hashes of words
-
-SPACE = np.zeros(256, bool)
-SPACE[[32, *range(9, 14)]] = True
-
-
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts with END after each text, and where each text begins."""
     data, at = utf8_of(texts)
-    word, new = ~SPACE[data], np.zeros(len(data) + 1, bool)
-    new[at] = True
-    first = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | new[:-1])) if len(data) else np.zeros(0, np.int64)
-    last = np.flatnonzero(word & (np.r_[~word[1:], True] | new[1:])) + 1 if len(data) else first
-    upto = np.searchsorted(first, at[1:])
-    n = np.diff(np.r_[0, upto])
+    first, last, n = words_of(data, at)
+    upto = np.cumsum(n)
     return np.insert(span_hashes(data, first, last, FOLDED) >> SHIFT, upto, END), upto - n + np.arange(len(n))
 
 

@@ -74,6 +74,21 @@ def utf8_of(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+
+def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of texts (see utf8_of) begin and end, and how many each text has."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(len(at) - 1, np.int64),)
+    word, new = ~SPACE[data], np.zeros(len(data) + 1, bool)
+    new[at] = True
+    first = np.flatnonzero(word & (np.r_[True, ~word[:-1]] | new[:-1]))
+    last = np.flatnonzero(word & (np.r_[~word[1:], True] | new[1:])) + 1
+    return first, last, np.diff(np.r_[0, np.searchsorted(first, at[1:])])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

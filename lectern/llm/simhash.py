@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import FOLDED, MULTIPLY, byte_slices, mixed, span_hashes, utf8_of, words_of, written
 
 BITS = 64
 FAN = 8
@@ -34,6 +34,10 @@ SIMILAR = (4, 5)
 # Shingles with COMMON occurrences or more in a sample of about SAMPLE stand last; that decides only how many candidates there are.
 SAMPLE, COMMON = 2_000_000, 20
 PARITIES = 8
+SURE = 6.5
+SLICE_BYTES = 2_000_000
+# As many blocks are spare as make a node of the index hold about NODE fingerprints on average.
+NODE = 4096
 ODD = [f"q{k}" for k in range(PARITIES)]
 
 
@@ -83,58 +87,76 @@ def fingerprints(text: Column, shingle: int = 4) -> Column:
     return make(text)
 
 
-def shingles_of(text: str | None, shingle: int) -> np.ndarray:
-    """The sorted distinct XXH64 (seed 42) of all word shingles; none without words."""
-    from xxhash import xxh64_intdigest as h
-
-    words = (text or "").encode().lower().split()
-    last = max(1, len(words) - shingle + 1) if words else 0
-    return np.unique(np.fromiter((h(b" ".join(words[i : i + shingle]), 42) for i in range(last)), np.uint64, last))
+def shingle_hashes(texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of texts, and how many each text has. Fewer words than a shingle are one; none have none."""
+    data, at = utf8_of(texts)
+    first, last, n = words_of(data, at)
+    words = span_hashes(data, first, last, FOLDED)
+    place, end = np.arange(len(words)), np.repeat(np.cumsum(n), n)
+    key = words.copy()
+    for j in range(1, shingle):
+        more = np.flatnonzero(place + j < end)
+        key[more] = mixed(key[more] * MULTIPLY + words[more + j])
+    whole = (place + shingle <= end) | (place == end - np.repeat(n, n))
+    return key[whole], np.where(n, np.maximum(1, n - shingle + 1), 0)
 
 
-def sketch_of(text: str | None, shingle: int, common: tuple[np.ndarray, np.ndarray]) -> tuple:
-    """A hash of the set of shingles (zero for none), two fingerprints of it, its size, its rare shingles, and its parities.
+def shingle_sets_of(texts, shingle: int):
+    """(id, sorted distinct hashes) of each text. The id is a hash of the set, zero for none."""
+    from xxhash import xxh64_intdigest as h
 
-    A parity says whether an odd number of the hashes have a certain remainder; sets differ in as many shingles as parities at least.
+    hashes, n = shingle_hashes(texts, shingle)
+    ends = np.cumsum(n)
+    for a, b in zip((ends - n).tolist(), ends.tolist()):
+        own = np.unique(hashes[a:b])
+        yield h(own.tobytes(), 42) if len(own) else 0, own
 
-    Those are the first when common ones stand last: one more than two similar sets can have outside of what they share.
-    """
-    from xxhash import xxh64_intdigest as h
 
-    hashes = shingles_of(text, shingle)
-    n = len(hashes)
-    if not n:
-        return 0, 0, 0, 0, [], *[0] * PARITIES
-    own = h(hashes.tobytes(), 42)
-    keys, counts = common
-    seen = np.zeros(n, np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        seen = np.where(keys[at] == hashes, counts[at], 0)
-    up, down = SIMILAR
-    rare = hashes[np.lexsort((hashes, seen))][: n - -(-up * n // down) + 1]
-    odd = (np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8)
-    return own - (1 << 64) if own >> 63 else own, *prints_of_hashes([hashes], n, 2), n, rare.view(np.int64).tolist(), *np.packbits(odd, bitorder="little").view("<i8").tolist()
+SKETCH = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("rare", pa.list_(pa.int64())), *[(q, pa.int64()) for q in ODD]])
 
 
 def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """docs with id, fp, other, n and rare of their texts; see sketch_of."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, shingle))
+    """doc and key (a hash of the text) of docs, with a sketch of the set of shingles of each whole text.
 
-    @F.pandas_udf("struct<id:bigint,fp:bigint,other:bigint,n:int,rare:array<bigint>," + ",".join(f"{q}:bigint" for q in ODD) + ">")
-    def make(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch_of(t, shingle, common.value) for t in texts], columns=["id", "fp", "other", "n", "rare", *ODD])
+    id is a hash of the set; fp and other are two fingerprints, n its size. rare are its rare shingles: the first when
+    common ones stand last, one more than two similar sets can have outside of what they share. Parities say whether an
+    odd number of the hashes have a certain remainder; sets differ in as many shingles as parities at least.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, shingle))
+    slim = docs.select("doc", F.xxhash64(f"`{text}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    up, down = SIMILAR
 
-    return docs.withColumn("p", make(F.col(f"`{text}`")))
+    def run(batches):
+        keys, counts = common.value
+        for batch in batches:
+            for at, to in byte_slices(batch.column(2), SLICE_BYTES):
+                ids, prints, sizes, rares, odds = [], [], [], [], []
+                for own, hashes in shingle_sets_of(batch.column(2).slice(at, to - at), shingle):
+                    n = len(hashes)
+                    seen = np.zeros(n, np.int64)
+                    if len(keys) and n:
+                        place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                        seen = np.where(keys[place] == hashes, counts[place], 0)
+                    ids.append(own)
+                    prints.append(prints_of_hashes([hashes], n, 2) if n else [0, 0])
+                    sizes.append(n)
+                    rares.append(hashes[np.lexsort((hashes, seen))][: n - -(-up * n // down) + 1].view(np.int64) if n else [])
+                    odds.append(np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1)
+                odd = np.packbits(np.array(odds, np.uint8), axis=1, bitorder="little").view("<i8")
+                fp = np.array(prints, np.int64)
+                made = [np.array(ids, np.uint64).view(np.int64), fp[:, 0], fp[:, 1], np.array(sizes, np.int32), pa.array(rares, pa.list_(pa.int64())), *[odd[:, k] for k in range(PARITIES)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), *map(pa.array, made)], names=["doc", "key", *SKETCH.names])
+
+    kind = slim.schema["doc"].dataType.simpleString()
+    return slim.mapInArrow(run, f"doc {kind}, key bigint, id bigint, fp bigint, other bigint, n int, rare array<bigint>, " + ", ".join(f"{q} bigint" for q in ODD))
 
 
 def set_id(text: Column, shingle: int) -> Column:
-    """The id of the set of shingles of a text; see sketch_of."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """The id of the set of shingles of a text; see sketches."""
 
     @F.pandas_udf("bigint")
     def make(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([sketch_of(t, shingle, none)[0] for t in texts], np.int64))
+        return pd.Series(np.array([i for i, _ in shingle_sets_of(pa.array(texts, pa.string(), from_pandas=True), shingle)], np.uint64).view(np.int64))
 
     return make(text)
 
@@ -266,6 +288,14 @@ def masks(max_bits: int, spare: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in whole]
 
 
+def spare_for(n: int, max_bits: int) -> int:
+    """How many blocks to leave out of max_bits + spare, so that nodes don't grow with the number n of fingerprints: their masks get longer."""
+    spare = 1
+    while spare < max_bits and n >> round(BITS * spare / (max_bits + spare)) > NODE:
+        spare += 1
+    return spare
+
+
 def _links(max_bits: int, table: list[int], max_both: int | None):
     """Rows (node, fp) or (node, fp, other, id), all of a node together, to links (a, b) that join the components below each node."""
 
@@ -339,22 +369,73 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarra
     return np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
+def shared(prints: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h, id, n, pos): the rare shingles that several sets have, of one row of prints for each set."""
+    one = prints.join(distinct.select(F.col("id").alias("i"), "least"), (F.col("id") == F.col("i")) & F.col("doc").eqNullSafe(F.col("least")), "left_semi")
+    rows = one.select("id", "n", F.posexplode("rare").alias("pos", "h")).select("h", "id", "n", "pos")
+    return rows.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_several, "h bigint, id bigint, n int, pos int")
+
+
+def _several(batches):
+    """Of rows sorted by (h, id) those whose h has several ids, each once."""
+    kept, with_before = None, False  # the last row, and whether the one before it has its h
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks().to_batches()[0]
+        h, ids = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        new = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])]
+        rows, h = rows.filter(pa.array(new)), h[new]
+        same = h[1:] == h[:-1]
+        good = np.r_[with_before, same[:-1]] | same if len(h) > 1 else same
+        yield rows.slice(0, len(h) - 1).filter(pa.array(good))
+        kept, with_before = rows.slice(len(h) - 1), bool(same[-1]) if len(h) > 1 else with_before
+    if kept is not None and with_before:
+        yield kept
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different labels: of each shingle the set that comes first by a hash with each other one."""
+    rows = rows.select("h", F.xxhash64("h", "id").alias("turn"), "label", "id", "n", "pos")
+
+    def run(batches):
+        own = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, _, label, ids, n, pos = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            start = np.r_[own is None or own[0] != h[0], h[1:] != h[:-1]]
+            first = np.maximum.accumulate(np.where(start, np.arange(len(h)), -1))
+            at = lambda x, k: np.where(first < 0, own[k] if own else 0, x[np.maximum(first, 0)])
+            good = (at(label, 1) != label) & may_be_similar(at(n, 3), at(pos, 4), n, pos)
+            a, b = at(ids, 2)[good], ids[good]
+            if start.any():
+                k = int(first[-1])
+                own = (h[k], label[k], ids[k], n[k], pos[k])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.repartition("h").sortWithinPartitions("h", "turn").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def may_be_similar(m, at, n, pos):
+    """Whether sets of m and n shingles can be similar if they share those at these places among the rare ones and none before."""
+    up, down = SIMILAR
+    return (up + down) * np.minimum(m - at, n - pos) >= up * (m + n)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of ids of different labels, among them all whose sets of shingles are similar by SIMILAR.
 
-    distinct has id, n, rare (see sketch_of) and label, which is 0 where the id stands alone. Two similar sets have at
-    least SIMILAR of the greater in common, so that the first of what they share, in any order that is the same for all,
-    is among the rare of both; and behind it enough must follow in both.
+    rows are those of shared() with labels. Two similar sets have at least SIMILAR of the greater in common, so that the
+    first of what they share, in any order that is the same for all, is among the rare of both; and behind it enough must
+    follow in both.
     """
-    rows = distinct.select("id", "n", "label", F.posexplode("rare").alias("pos", "h")).select("h", "label", "id", "n", "pos")
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(_sharing, "a bigint, b bigint").distinct()
+    return rows.select("h", "label", "id", "n", "pos").repartition("h").sortWithinPartitions("h").mapInArrow(_sharing, "a bigint, b bigint").distinct()
 
 
 def _sharing(batches):
-    up, down = SIMILAR
-
     def solve(h, label, ids, n, pos):
-        label = np.where(label == 0, ids, label)
         order = np.lexsort((label, h))
         h, label, ids, n, pos = (x[order] for x in (h, label, ids, n, pos))
         new = np.r_[True, h[1:] != h[:-1]]
@@ -370,7 +451,7 @@ def _sharing(batches):
             own = row[at:to]
             j = spread(after[own], end[own] - after[own])
             i = np.repeat(own, end[own] - after[own])
-            good = (up + down) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= up * (n[i] + n[j])
+            good = may_be_similar(n[i], pos[i], n[j], pos[j])
             a, b = ids[i[good]], ids[j[good]]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             if both.shape[1]:
@@ -398,16 +479,12 @@ def _sharing(batches):
 
 def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """(id, shingles) of each row: the id of its sketch and the hashes of its set of shingles."""
-    from .common import text_slices
 
     def run(batches):
-        from xxhash import xxh64_intdigest as h
-
         for batch in batches:
-            for _, _, texts in text_slices(batch.column(0), 2_000_000):
-                sets = [shingles_of(t, shingle) for t in texts]
-                ids = np.array([h(x.tobytes(), 42) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
+            for at, to in byte_slices(batch.column(0), SLICE_BYTES):
+                ids, sets = zip(*shingle_sets_of(batch.column(0).slice(at, to - at), shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "id bigint, shingles array<bigint>")
 
@@ -415,21 +492,33 @@ def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 def similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, text: str, shingle: int) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least SIMILAR. distinct has id, n, parities and key, the hash of one of its texts.
 
-    Sizes and parities bound what two sets can have in common; only pairs that they leave have their sets compared.
+    Sets of s shingles together are similar if they differ in s (down - up) / (down + up) at most. Parities that differ in
+    more rule a pair out. With D differing shingles, m parities of them differ in m (1 - (1 - 2/m)^D) / 2 on average, with
+    a variance known as exactly; if a pair's differ in SURE standard deviations less than that for the least D that is
+    too much, it is similar (a dissimilar pair would have so few once in 10^10). Only the pairs between the two have
+    their sets compared.
     """
     up, down = SIMILAR
-    sizes = F.col("m") + F.col("n")
+    m = 64 * PARITIES
+    s = F.col("m") + F.col("n")
     differ = sum((F.bit_count(F.col(f"a{q}").bitwiseXOR(F.col(q))) for q in ODD[1:]), F.bit_count(F.col(f"a{ODD[0]}").bitwiseXOR(F.col(ODD[0]))))
     light = distinct.select("id", "n", *ODD)
     pairs = pairs.join(light.toDF("a", "m", *[f"a{q}" for q in ODD]), "a").join(light.withColumnRenamed("id", "b"), "b")
-    pairs = written(pairs.where((up + down) * (sizes - differ) >= 2 * up * sizes).select("a", "b"), "simhash-pairs")
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    keys = distinct.join(named, "id", "left_semi").select("key")
+    too_much = F.floor(s * (down - up) / (down + up)) + 1
+    one, two = F.pow(F.lit(1 - 2 / m), too_much), F.pow(F.lit(1 - 4 / m), too_much)
+    spread_ = F.sqrt(F.greatest(F.lit(0.0), m + m * (m - 1) * two - m * m * one * one)) / 2
+    pairs = pairs.select("a", "b", differ.alias("differ"), s.alias("s"), (m * (1 - one) / 2 - SURE * spread_ - 1).alias("few"))
+    pairs = pairs.where((up + down) * F.col("differ") <= (down - up) * F.col("s")).select("a", "b", (F.col("differ") <= F.col("few")).alias("sure"))
+    pairs = written(pairs, "simhash-pairs")
+    unsure = pairs.where("NOT sure").select("a", "b")
+    named = unsure.select(F.col("a").alias("id")).union(unsure.select("b")).distinct()
+    keys = written(distinct.join(named, "id", "left_semi").select("key"), "simhash-keys")
     sets = written(shingle_sets(docs.withColumn("key", F.xxhash64(f"`{text}`")).join(keys, "key", "left_semi").dropDuplicates(["key"]), text, shingle), "simhash-sets")
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     size = F.size("x") + F.size("y")
     # |x and y| / |x or y| >= SIMILAR, in whole numbers.
-    return pairs.join(left, "a").join(right, "b").where((up + down) * F.size(F.array_intersect("x", "y")) >= up * size).select("a", "b")
+    compared = unsure.join(left, "a").join(right, "b").where((up + down) * F.size(F.array_intersect("x", "y")) >= up * size).select("a", "b")
+    return pairs.where("sure").select("a", "b").unionByName(compared)
 
 
 # Components of all links
@@ -456,13 +545,14 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
 
 
-def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4, spare: int = 2, max_both: int | None = None) -> DataFrame:
+def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4, spare: int | None = None, max_both: int | None = None) -> DataFrame:
     """(doc, fp, print, root, component_id) for each row: its fingerprint and print id, the least print id and the smallest doc reachable.
 
     Links are between fingerprints of at most max_bits differing bits; the print id is the fingerprint. With max_both
     links are between texts whose sets of shingles are similar by SIMILAR, and the print id is that of the set. Those are
-    first looked for where max_bits and max_both allow, which joins dense groups by few links, and then among all pairs
-    of what is not joined yet that share a rare shingle, which leaves no similar pair out. Every link is checked.
+    first looked for where max_bits and max_both allow, then between one set of each rare shingle and the others, which
+    joins dense groups by few links, and then among all pairs of what is not joined yet that share a rare shingle, which
+    leaves no similar pair out. Every link is checked.
 
     Null and empty texts have the fingerprint zero and link like others. A null id is never smallest; a component of
     null ids alone has a null component_id. Repeated rows stay. Texts of any length are taken whole; with fewer words
@@ -472,16 +562,19 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
         made = docs.select(F.col(f"`{doc}`").alias("doc"), fingerprints(F.col(f"`{text}`"), shingle).alias("fp"))
         prints = written(made.withColumn("id", F.col("fp")), "simhash")
         least = written(prints.groupBy("id").agg(F.min("doc").alias("least")), "simhash-distinct")
-        roots = connected(links(least.select(F.col("id").alias("fp")), max_bits, spare))
+        roots = connected(links(least.select(F.col("id").alias("fp")), max_bits, spare or spare_for(least.count(), max_bits)))
     else:
         slim = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-        made = sketches(slim, "text", shingle).select("doc", F.xxhash64("text").alias("key"), "p.*")
-        prints = written(made, "simhash")
-        least = written(prints.groupBy("id", "fp", "other", "n").agg(F.min("doc").alias("least"), F.min("key").alias("key"), F.min("rare").alias("rare"), *[F.min(q).alias(q) for q in ODD]), "simhash-distinct")
-        sure = written(similar(links(least.select("fp", "other", "id"), max_bits, spare, max_both), slim, least, "text", shingle), "simhash-similar")
-        known = least.join(connected(sure), "id", "left").select("id", "n", "rare", F.coalesce("root", F.lit(0)).alias("label"))
-        more = similar(candidates(known), slim, least, "text", shingle)
-        roots = connected(sure.union(more))
+        prints = written(sketches(slim, "text", shingle), "simhash")
+        least = written(prints.groupBy("id", "fp", "other", "n", *ODD).agg(F.min("doc").alias("least"), F.min("key").alias("key")), "simhash-distinct")
+        index = links(least.select("fp", "other", "id"), max_bits, spare or spare_for(least.count(), max_bits), max_both)
+        sure = written(similar(index, slim, least, "text", shingle), "simhash-similar")
+        rows = written(shared(prints, least), "simhash-shared")
+        for pairs_of in (stars, candidates):
+            known = connected(sure).withColumnRenamed("root", "label")
+            pairs = pairs_of(rows.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")))
+            sure = written(sure.unionByName(similar(pairs, slim, least, "text", shingle)), "simhash-similar")
+        roots = connected(sure)
     members = least.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = members.join(smallest, "root").select("id", "root", "component_id")
@@ -493,7 +586,7 @@ def op1_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 # For shingles of five words, where links are looked for first; see groups.
-NEAR_BITS, NEAR_BOTH = 10, 20
+NEAR_BITS, NEAR_BOTH = 6, 14
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = NEAR_BITS, max_both: int = NEAR_BOTH) -> DataFrame:
