@@ -47,15 +47,19 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def grams(tokens: np.ndarray, begins: np.ndarray, order: int):
     """For each length up to order the places where an n-gram of it ends, and its hashes. Before a text stands START."""
     n = len(tokens)
-    since = np.arange(n) - np.repeat(begins, np.diff(np.r_[begins, n]))  # place in the own text
+    since = np.arange(n, dtype=np.int32) - np.repeat(begins.astype(np.int32), np.diff(np.r_[begins, n]))  # place in the own text
     key = mixed(tokens + np.uint64(1))
-    yield np.arange(n), key >> SHIFT
+    yield slice(None), key >> SHIFT
     for k in range(2, order + 1):
         # The n-gram of k words: that of k - 1 words, and the word k - 1 places before, or START.
-        before = np.r_[np.zeros(min(n, k - 1), np.uint64), tokens[: max(0, n - k + 1)]]
-        key = mixed(key * MULTIPLY + np.where(since >= k - 1, before, START) + np.uint64(k))
-        real = np.flatnonzero(since >= k - 2)
-        yield real, key[real] >> SHIFT
+        key *= MULTIPLY
+        key[k - 1 :] += tokens[: max(0, n - k + 1)]
+        early = np.flatnonzero(since < k - 1)
+        key[early] -= np.where(early >= k - 1, tokens[np.maximum(early - k + 1, 0)], np.uint64(0)) - START
+        key += np.uint64(k)
+        key = mixed(key)
+        places = slice(None) if k == 2 else np.flatnonzero(since >= k - 2)
+        yield places, key[places] >> SHIFT
 
 
 # Arrays to bytes
@@ -161,14 +165,16 @@ def asked(parts: DataFrame, order: int, cuts: int) -> DataFrame:
         for batch in batches:
             for r in rows_of(batch):
                 docs, tokens, begins = opened(r)
-                train = np.repeat(docs.column("train").to_numpy().astype(np.uint64), docs.column("n").to_numpy())
+                train = np.repeat(docs.column("train").to_numpy().astype(np.uint8), docs.column("n").to_numpy())
                 for k, (places, keys) in enumerate(grams(tokens, begins, order)):
                     # The training flag is the last bit of what is sorted.
-                    ordered = np.sort(keys << np.uint64(1) | train[places])
-                    del keys
-                    first = starts_of(ordered >> np.uint64(1))
-                    counts = np.add.reduceat(ordered & np.uint64(1), first).astype("<u4") if len(first) else np.zeros(0, "<u4")
-                    ordered = ordered[first] >> np.uint64(1)
+                    keys <<= np.uint64(1)
+                    keys |= train[places]
+                    keys.sort()
+                    first = starts_of(keys >> np.uint64(1))
+                    counts = np.add.reduceat(keys & np.uint64(1), first).astype("<u4") if len(first) else np.zeros(0, "<u4")
+                    ordered = keys[first] >> np.uint64(1)
+                    del keys, first
                     at = cuts_of(ordered, cuts)
                     yield pa.RecordBatch.from_pylist([{"part": r["part"], "size": k + 1, "cut": int(c), "n": int(at[c + 1] - at[c]), "keys": keys_packed(ordered[at[c] : at[c + 1]]), "counts": planes(counts[at[c] : at[c + 1]])} for c in np.flatnonzero(np.diff(at))], GRAMS)
 
@@ -266,30 +272,34 @@ def scored(parts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tok
     # The answers of a part come in order, and then the part.
     rows = rows.repartition("part").sortWithinPartitions("part", F.col("size").asc_nulls_last(), "cut")
 
+    kind = np.int32 if n_tokens < 1 << 31 else np.int64
+
     def run(batches):
         counts: list[list] = [[] for _ in range(order)]
 
         def of_part(r):
             docs, tokens, begins = opened(r)
-            r, by_place = None, []
-            train = np.repeat(docs.column("train").to_numpy().astype(np.int64), docs.column("n").to_numpy())
+            by_place = []
+            train = np.repeat(docs.column("train").to_numpy().astype(np.uint8), docs.column("n").to_numpy())
             for (places, keys), told in zip(grams(tokens, begins, order), counts):
                 place = np.argsort(keys)
                 first = starts_of(keys[place])
-                total = np.concatenate(told) if told else np.zeros(0, np.int64)
+                total = np.concatenate([from_planes(c, "<u8", n).astype(kind) for c, n in told]) if told else np.zeros(0, kind)
                 if len(first) != len(total):
                     raise ValueError("the answers aren't those of this part")
+                of = place if isinstance(places, slice) else places[place]
                 if len(first):
-                    total += np.add.reduceat(train[places[place]], first)
-                own = np.zeros(len(tokens), np.int64)
-                own[places[place]] = np.repeat(total, np.diff(np.r_[first, len(keys)]))
+                    total += np.add.reduceat(train[of], first, dtype=kind)
+                first = np.diff(np.r_[first, len(keys)])
+                del keys, place
+                own = np.zeros(len(tokens), kind)
+                own[of] = np.repeat(total, first)
                 by_place.append(own)
-                told.clear()
-                del place, places, keys, total, own
+                del of, first, total, own, places
             del tokens, train
             c = by_place[0]
             sums = lambda x: np.add.reduceat(x, begins) if len(begins) else x[:0]
-            base_score = sums(np.log10((c + 1) / (n_tokens + n_kinds + 1)))
+            base_score = sums(np.log10((c + 1.0) / (n_tokens + n_kinds + 1)))
             made = Automaton(by_place, begins, n_texts, n_tokens, n_kinds, mass).scores()
             doc, train, n = (docs.column(x).combine_chunks() for x in ("doc", "train", "n"))
             return pa.RecordBatch.from_arrays([doc.cast(pa.string()), train, n, pa.array(sums((c > 0).astype(np.int64))), pa.array(base_score), pa.array(made)], schema=SCORES)
@@ -297,7 +307,7 @@ def scored(parts: DataFrame, answers: DataFrame, order: int, n_texts: int, n_tok
         for batch in batches:
             for r in rows_of(batch):
                 if r["docs"] is None:
-                    counts[r["size"] - 1].append(from_planes(r["counts"], "<u8", r["n"]).astype(np.int64))
+                    counts[r["size"] - 1].append((r["counts"], r["n"]))
                 else:
                     yield of_part(r)
                     counts = [[] for _ in range(order)]

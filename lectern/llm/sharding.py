@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+SALT = 64
+
 
 def before(df: DataFrame, keys: list[str], bucket: str, size: str | None = None, span: int = 1000) -> DataFrame:
     """(keys, bucket, _x_before): for each bucket the rows of lower ones with the same keys, or the sum of their sizes.
@@ -48,7 +50,12 @@ def interleave(df: DataFrame, stratum: str = "source", ids: tuple[str, ...] = ("
     buckets = max(1, -(-total // rows_per_bucket))
     # 28 bits of the hash, as a share of the range
     place = F.conv(F.substring("_x_o", 1, 7), 16, 10).cast("long")
-    keyed = keyed.join(sizes, "_x_s").withColumn("_x_b", F.floor(place * F.ceil(F.col("_x_n") / rows_per_bucket) / F.lit(1 << 28)).cast("long"))
+    # The sizes go to a source's rows by SALT keys, so that a source with a third of all rows isn't one task's.
+    salted = sizes.withColumn("_x_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    keyed = keyed.withColumn("_x_salt", F.pmod(F.hash("_x_o"), F.lit(SALT))).join(salted, ["_x_s", "_x_salt"]).drop("_x_salt")
+    keyed = keyed.withColumn("_x_b", F.floor(place * F.ceil(F.col("_x_n") / rows_per_bucket) / F.lit(1 << 28)).cast("long"))
+    # By buckets, whatever the join has dealt the rows by.
+    keyed = keyed.repartition("_x_s", "_x_b")
     in_bucket = Window.partitionBy("_x_s", "_x_b").orderBy("_x_o", *[F.col(f"`{c}`").asc_nulls_first() for c in ids])
     first = (
         keyed.withColumn("_x_r", F.row_number().over(in_bucket) - 1)
