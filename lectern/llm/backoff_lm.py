@@ -31,8 +31,9 @@ MASS = 40.0
 FOLD, HELD = 7, 2
 PART_CHARS, RANGE_CHARS = 16_000_000, 16_000_000
 SLICE_BYTES = 2_000_000
-KEY_BITS = 56
-START, END = np.uint64(0x9AE16A3B2F9040), np.uint64(0xC3A5C85C97CB31)
+# Of 10^13 kinds of n-grams one in 2,000 would share its hash.
+KEY_BITS = 54
+START, END = np.uint64(0x1AE16A3B2F9040), np.uint64(0x23A5C85C97CB31)
 SHIFT = np.uint64(64 - KEY_BITS)
 
 
@@ -77,7 +78,7 @@ def from_planes(data: bytes, kind: str, n: int) -> np.ndarray:
 
 
 def keys_packed(keys: np.ndarray) -> bytes:
-    """Sorted keys by their differences."""
+    """Keys, sorted but for few places, by their differences."""
     return planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
@@ -129,7 +130,7 @@ def parts_of(docs: DataFrame, part_chars: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(docs)
-            row = {"part": part, "n_tokens": len(ids), "n_words": len(words), "trained": sum(n for _, n, _ in held), "words": planes(words[order]), "ids": planes(number[ids]), "docs": sink.getvalue().to_pybytes()}
+            row = {"part": part, "n_tokens": len(ids), "n_words": len(words), "trained": sum(n for _, n, _ in held), "words": keys_packed(words[order]), "ids": planes(number[ids]), "docs": sink.getvalue().to_pybytes()}
             return pa.RecordBatch.from_pylist([row], PARTS)
 
         for batch in batches:
@@ -151,7 +152,7 @@ def opened(r: dict) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """The documents of a part, their tokens, and where each begins."""
     docs = pa.ipc.open_stream(r["docs"]).read_all()
     n = docs.column("n").to_numpy()
-    return docs, from_planes(r["words"], "<u8", r["n_words"])[from_planes(r["ids"], "<u4", r["n_tokens"])], np.cumsum(n) - n
+    return docs, keys_freed(r["words"], r["n_words"])[from_planes(r["ids"], "<u4", r["n_tokens"])], np.cumsum(n) - n
 
 
 GRAMS = pa.schema([("part", pa.int64()), ("size", pa.int32()), ("cut", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
