@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ KNOWN, KEPT = 400_000, 150_000
 AT_ONCE = 200_000
 SLICE_CHARS = 3_000_000
 UNKNOWN_LOSS = 10.0
+# Longer chunks are searched one by one.
+LONG = 4096
 
 Way = tuple[float, tuple[int, ...]]
 
@@ -69,56 +72,66 @@ class Lattice:
         self.begins = {p[:k] for p in self.piece for k in range(1, len(p) + 1)}
         self.text = {i: m.id_to_piece(i).replace(SPACE, " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.byte.items()}
 
-    def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each node the edges that end there: (where it begins, score, ids)."""
-        n = len(chunk)
-        out: list[list] = [[] for _ in range(n + 1)]
+    def edges(self, chunk: str) -> tuple[array, array, array, array]:
+        """The edges by the node where they end: upto (of node k: edges upto[k] to upto[k + 1]), where each begins, score, piece or -1."""
+        # Beginnings of pieces, from each node on; an edge is known where it begins and wanted where it ends.
+        n, ends = len(chunk), [[] for _ in range(min(self.longest, len(chunk)) + 1)]
+        upto, begin, weight, piece = array("q", [0, 0]), array("q"), array("d"), array("q")
         for a in range(n):
-            alone = False
+            own, alone = ends, False
             for b in range(a + 1, min(n, a + self.longest) + 1):
                 part = chunk[a:b]
                 if part not in self.begins:
                     break
                 if part in self.piece:
                     i, s = self.piece[part]
-                    out[b].append((a, s, (i,)))
+                    own[b % len(own)].append((a, s, i))
                     alone |= b == a + 1
             if not alone:
-                out[a + 1].append((a, self.unknown, self.spelled_unknown(chunk[a])))
-        return out
+                own[(a + 1) % len(own)].append((a, self.unknown, -1))
+            for x, s, i in own[(a + 1) % len(own)]:
+                begin.append(x)
+                weight.append(s)
+                piece.append(i)
+            own[(a + 1) % len(own)] = []
+            upto.append(len(begin))
+        return upto, begin, weight, piece
 
     def spelled_unknown(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte[x] for x in char.encode()) if self.byte else (self.unk_id,)
 
     def best(self, chunk: str, n: int) -> list[Way]:
         """The n best segmentations of a chunk as (score, ids), best first."""
-        edges = self.edges(chunk)
+        upto, begin, weight, piece = self.edges(chunk)
         # Forward Viterbi: the best score from the beginning to each node.
-        forward = [0.0] + [-math.inf] * len(chunk)
+        forward = array("d", [0.0]) + array("d", bytes(8 * len(chunk)))
         for at in range(1, len(chunk) + 1):
-            forward[at] = max(forward[a] + s for a, s, _ in edges[at])
-        # Backward A*: agenda of (loss of the best completion, pieces so far, way, node, score behind). A way is its last
-        # piece and the way behind it, so that memory follows the edges. The n best go over no node more than n times.
-        agenda = [(-forward[-1], 0, 0, len(chunk), 0.0)]
-        behind_it: list[tuple[int, tuple[int, ...]]] = [(-1, ())]
-        left = [n] * (len(chunk) + 1)
+            forward[at] = max(forward[begin[e]] + weight[e] for e in range(upto[at], upto[at + 1]))
+        # Backward A*. The loss of a partial way is what its best completion scores less than the best way: a sum over its
+        # edges, each exactly nothing where Viterbi's best goes. Of equal losses that nearest to the beginning is first,
+        # so that a best way is gone straight through. The n best go over no node more than n times.
+        agenda, back, edge = [(0.0, len(chunk), 0)], array("q", [-1]), array("q", [-1])
+        left = bytearray([min(n, 255)]) * (len(chunk) + 1)
         out: list[Way] = []
         while agenda and len(out) < n:
-            _, pieces, way, at, behind = heapq.heappop(agenda)
+            lost, at, way = heapq.heappop(agenda)
             if not left[at]:
                 continue
             left[at] -= 1
             if at == 0:
                 ids: list[int] = []
                 while way > 0:
-                    way, own = behind_it[way]
-                    ids += own
-                out.append((behind, tuple(ids)))
+                    e = edge[way]
+                    ids += (piece[e],) if piece[e] >= 0 else self.spelled_unknown(chunk[begin[e]])
+                    way = back[way]
+                out.append((forward[-1] - lost, tuple(ids)))
                 continue
-            for a, s, own in edges[at]:
+            for e in range(upto[at], upto[at + 1]):
+                a = begin[e]
                 if left[a]:
-                    heapq.heappush(agenda, (-(forward[a] + s + behind), pieces + len(own), len(behind_it), a, s + behind))
-                    behind_it.append((way, own))
+                    heapq.heappush(agenda, (lost + (forward[at] - (forward[a] + weight[e])), a, len(back)))
+                    back.append(way)
+                    edge.append(e)
         return out
 
     def _trie(self) -> None:
@@ -259,18 +272,28 @@ class Chunks(dict):
         got = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         at = 0
         while at < len(self.new):
+            if len(self.new[at]) > LONG:
+                # Beside others a long chunk would only add steps of its own.
+                found = self.lattice.best(self.new[at], max(2, self.n))
+                self.several[len(self.chunk) + at] = found[: self.n]
+                lost = found[0][0] - found[1][0] if len(found) > 1 else np.inf
+                self._add(np.array([found[0][0]]), np.array([lost]), np.array([len(found[0][1])]), np.array(found[0][1], np.int32))
+                at += 1
+                continue
             chars, to = 0, at
-            while to < len(self.new) and (to == at or chars < AT_ONCE):
+            while to < len(self.new) and (to == at or chars < AT_ONCE) and len(self.new[to]) <= LONG:
                 chars += len(self.new[to])
                 to += 1
-            score, loss, size, flat = self.lattice.viterbi(self.new[at:to])
-            self.first = np.r_[self.first, np.cumsum(size) - size + len(self.flat)]
-            self.score, self.loss, self.size, self.flat = np.r_[self.score, score], np.r_[self.loss, loss], np.r_[self.size, size], np.r_[self.flat, flat]
+            self._add(*self.lattice.viterbi(self.new[at:to]))
             at = to
         self.chunk += self.new
         self.new = []
         return got
 
+    def _add(self, score: np.ndarray, loss: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        self.first = np.r_[self.first, np.cumsum(size) - size + len(self.flat)]
+        self.score, self.loss, self.size, self.flat = np.r_[self.score, score], np.r_[self.loss, loss], np.r_[self.size, size], np.r_[self.flat, flat]
+
     def best_ids(self, number: int) -> tuple[int, ...]:
         return tuple(self.flat[self.first[number] : self.first[number] + self.size[number]].tolist())
 
@@ -327,11 +350,16 @@ def ids_of(numbers: np.ndarray, known: Chunks, differing: dict[int, int] | None
         size = known.size[numbers]
         ends = np.cumsum(size)
         return known.flat[np.arange(ends[-1] if len(size) else 0) - np.repeat(ends - size - known.first[numbers], size)]
-    own = [known.ways(c)[differing[i]][1] if i in differing else known.best_ids(c) for i, c in enumerate(numbers.tolist())]
-    return np.array([i for w in own for i in w], np.int32)
+    # The best one's ids with those of few chunks replaced.
+    best, upto = ids_of(numbers, known), np.r_[0, np.cumsum(known.size[numbers])]
+    out, at = [], 0
+    for i in sorted(differing):
+        out += [best[at : upto[i]], np.array(known.ways(int(numbers[i]))[differing[i]][1], np.int32)]
+        at = upto[i + 1]
+    return np.concatenate([*out, best[at:]])
 
 
-ENCODED = "n_pieces bigint, score double, best_scores array<double>, ids array<int>, alternatives array<array<int>>, round_trip boolean, ids_crc32 bigint"
+ENCODED = "n_pieces bigint, score double, best_scores array<double>, ids array<int>, alternatives array<array<int>>, round_trip boolean, ids_crc32 bigint, best_crc32 array<bigint>"
 
 
 def encoded(docs: DataFrame, path: str, n: int = N_BEST, doc: str = "doc_id", text: str = "text", with_ids: bool = True, with_alternatives: bool = False) -> DataFrame:
@@ -340,7 +368,8 @@ def encoded(docs: DataFrame, path: str, n: int = N_BEST, doc: str = "doc_id", te
     ids is the best segmentation, best_scores has the scores of the n best (fewer where there are fewer), alternatives
     the ids of all of them if with_alternatives. round_trip says whether the ids of each, decoded, are the text. Null and
     empty texts have no pieces and score 0. Texts of any length are taken whole. Repeated rows each give a row, null
-    ids too; no rows give no rows. ids_crc32 is of the ids as little-endian 32-bit integers.
+    ids too; no rows give no rows. ids_crc32 is of the ids as little-endian 32-bit
+    integers, best_crc32 of those of each of the n best.
     """
     slim = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
 
@@ -352,7 +381,7 @@ def encoded(docs: DataFrame, path: str, n: int = N_BEST, doc: str = "doc_id", te
                 several = [lattice.chunks(t) for t in texts]
                 numbers = known.numbers([c for own in several for c in own])
                 cuts = np.cumsum([0, *map(len, several)])
-                pieces, scores, bests, ids, others, trips, crcs = [], [], [], [], [], [], []
+                pieces, scores, bests, ids, others, trips, crcs, sums = [], [], [], [], [], [], [], []
                 for i, t in enumerate(texts):
                     own = numbers[cuts[i] : cuts[i + 1]]
                     ways = n_best(own, known)
@@ -365,13 +394,15 @@ def encoded(docs: DataFrame, path: str, n: int = N_BEST, doc: str = "doc_id", te
                     scores.append(ways[0][0])
                     bests.append([s for s, _ in ways])
                     ids.append(first if with_ids else None)
-                    others.append([ids_of(own, known, d).tolist() for _, d in ways] if with_alternatives else None)
                     trips.append(good)
-                    crcs.append(zlib.crc32(first.astype("<u4").tobytes()))
+                    several_ids = [first, *(ids_of(own, known, d) for _, d in ways[1:])]
+                    sums.append([zlib.crc32(x.astype("<u4").tobytes()) for x in several_ids])
+                    crcs.append(sums[-1][0])
+                    others.append([x.tolist() for x in several_ids] if with_alternatives else None)
                 known.trimmed()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(pieces, pa.int64()), pa.array(scores, pa.float64()), pa.array(bests, pa.list_(pa.float64())), pa.array(ids, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.list_(pa.int32()))), pa.array(trips, pa.bool_()), pa.array(crcs, pa.int64())],
-                    names=["doc", "n_pieces", "score", "best_scores", "ids", "alternatives", "round_trip", "ids_crc32"],
+                    [batch.column(0).slice(at, to - at), pa.array(pieces, pa.int64()), pa.array(scores, pa.float64()), pa.array(bests, pa.list_(pa.float64())), pa.array(ids, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.list_(pa.int32()))), pa.array(trips, pa.bool_()), pa.array(crcs, pa.int64()), pa.array(sums, pa.list_(pa.int64()))],
+                    names=["doc", "n_pieces", "score", "best_scores", "ids", "alternatives", "round_trip", "ids_crc32", "best_crc32"],
                 )
 
     kind = slim.schema["doc"].dataType.simpleString()
@@ -383,5 +414,5 @@ def _spelled(lattice: Lattice, ids) -> bytes:
 
 
 def op10_pieces(docs: DataFrame, path: str) -> DataFrame:
-    """Per document the pieces and scores of its N best segmentations, a checksum of the best, and whether all decode to the text."""
-    return encoded(docs, path, with_ids=False).select("doc_id", "n_pieces", "score", "best_scores", "ids_crc32", "round_trip")
+    """Per document the pieces and scores of its N best segmentations, a checksum of the ids of each, and whether all decode to the text."""
+    return encoded(docs, path, with_ids=False).select("doc_id", "n_pieces", "score", "best_scores", "ids_crc32", "best_crc32", "round_trip")

@@ -183,3 +183,28 @@ def test_unspaced_texts_take_memory_by_their_length(lattice):
         known = ps.Chunks(lattice, 4)
         ways = ps.n_best(known.numbers(lattice.chunks(text)), known)
         assert len(ways) == 4 and all(a[0] >= b[0] for a, b in zip(ways, ways[1:]))
+
+
+def test_a_million_characters_without_spaces(lattice):
+    import time
+
+    rnd = random.Random(5)
+    phrase = "".join(rnd.choice("日本語の文章therunningofing") for _ in range(35))
+    began = time.process_time()
+    spent = []
+    for n in (100_000, 1_000_000):
+        text = (phrase * (n // 35 + 1))[:n]
+        known = ps.Chunks(lattice, 4)
+        numbers = known.numbers(lattice.chunks(text))
+        ways = ps.n_best(numbers, known)
+        assert len(ways) == 4 and all(a[0] >= b[0] for a, b in zip(ways, ways[1:]))
+        assert all(lattice.decode(ps.ids_of(numbers, known, d).tolist()) == text for _, d in ways)
+        spent.append(time.process_time() - began - sum(spent))
+    assert spent[1] < 25 * spent[0]
+
+
+def test_checksums_are_those_of_the_alternatives(spark):
+    df = spark.createDataFrame([(1, "the running of a lattice"), (2, None), (3, "a")], "doc_id bigint, text string")
+    for r in ps.encoded(df, PATH, with_alternatives=True).collect():
+        assert r.best_crc32 == [zlib.crc32(np.array(a, "<u4").tobytes()) for a in r.alternatives]
+        assert len(r.best_crc32) == len(r.best_scores)
