@@ -34,7 +34,8 @@ SIMILAR = (4, 5)
 # Shingles with COMMON occurrences or more in a sample of about SAMPLE stand last; that decides only how many candidates there are.
 SAMPLE, COMMON = 2_000_000, 20
 PARITIES = 8
-SURE = 6.5
+SURE = 5.0
+APART, FEW, SEEN = 45, 32, 1_000_000
 SLICE_BYTES = 2_000_000
 # As many blocks are spare as make a node of the index hold about NODE fingerprints on average.
 NODE = 4096
@@ -360,20 +361,48 @@ def links(distinct: DataFrame, max_bits: int = 4, spare: int = 2, max_both: int
 # Candidates by rare shingles
 
 
+def _whole_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for at, to in byte_slices(batch.column(0), SLICE_BYTES):
+                ids, sets = zip(*shingle_sets_of(batch.column(0).slice(at, to - at), shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
 def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted hashes of shingles of many texts in a sample of about SAMPLE shingles, and in how many of it they are."""
     chars = docs.agg(F.sum(F.length(f"`{text}`"))).first()[0] or 0
     share = max(1, chars // (6 * SAMPLE))
     some = docs.where(F.pmod(F.xxhash64(f"`{text}`"), F.lit(share)) == 0)
-    rows = shingle_sets(some, text, shingle).dropDuplicates(["id"]).select(F.explode("shingles").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON).orderBy("h").collect()
+    rows = _whole_sets(some, text, shingle).dropDuplicates(["id"]).select(F.explode("shingles").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON).orderBy("h").collect()
     return np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
 
 
-def shared(prints: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h, id, n, pos): the rare shingles that several sets have, of one row of prints for each set."""
-    one = prints.join(distinct.select(F.col("id").alias("i"), "least"), (F.col("id") == F.col("i")) & F.col("doc").eqNullSafe(F.col("least")), "left_semi")
-    rows = one.select("id", "n", F.posexplode("rare").alias("pos", "h")).select("h", "id", "n", "pos")
-    return rows.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_several, "h bigint, id bigint, n int, pos int")
+def shared(prints: DataFrame) -> DataFrame:
+    """(h, id, n, pos): the rare shingles that several sets of prints have. Of equal sets each task sends one on."""
+
+    def exploded(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            new = []
+            for row, i in enumerate(ids.tolist()):
+                if i not in seen:
+                    seen.add(i)
+                    new.append(row)
+            if len(seen) > SEEN:
+                seen.clear()
+            rare = batch.column(2).take(pa.array(new, pa.int64()))
+            size = np.diff(rare.offsets.to_numpy())
+            ends = np.cumsum(size)
+            pos = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+            yield pa.RecordBatch.from_arrays([rare.flatten(), pa.array(np.repeat(ids[new], size)), pa.array(np.repeat(n[new], size)), pa.array(pos.astype(np.int32))], names=["h", "id", "n", "pos"])
+
+    kinds = "h bigint, id bigint, n int, pos int"
+    rows = prints.select("id", "n", "rare").mapInArrow(exploded, kinds)
+    return rows.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_several, kinds)
 
 
 def _several(batches):
@@ -394,50 +423,58 @@ def _several(batches):
         yield kept
 
 
+def may_be_similar(one: tuple, other: tuple) -> np.ndarray:
+    """Whether sets can be similar, given (n, pos, fp, other) of both: if they share those shingles at pos among the rare ones and none before.
+
+    Fingerprints of similar sets differ in 15 of 100 bits on average, so that those of FEW shingles and more that differ
+    in over APART of 128 bits are not of similar ones (one in 10^9 would be).
+    """
+    up, down = SIMILAR
+    (m, at, x, x2), (n, pos, y, y2) = one, other
+    apart = differing((x ^ y).view(np.uint64)) + differing((x2 ^ y2).view(np.uint64))
+    return ((up + down) * np.minimum(m - at, n - pos) >= up * (m + n)) & ((apart <= APART) | (np.minimum(m, n) < FEW))
+
+
+PAIR = "h", "label", "id", "n", "pos", "fp", "other"
+
+
 def stars(rows: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of different labels: of each shingle the set that comes first by a hash with each other one."""
-    rows = rows.select("h", F.xxhash64("h", "id").alias("turn"), "label", "id", "n", "pos")
 
     def run(batches):
         own = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, _, label, ids, n, pos = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-            start = np.r_[own is None or own[0] != h[0], h[1:] != h[:-1]]
-            first = np.maximum.accumulate(np.where(start, np.arange(len(h)), -1))
-            at = lambda x, k: np.where(first < 0, own[k] if own else 0, x[np.maximum(first, 0)])
-            good = (at(label, 1) != label) & may_be_similar(at(n, 3), at(pos, 4), n, pos)
-            a, b = at(ids, 2)[good], ids[good]
-            if start.any():
-                k = int(first[-1])
-                own = (h[k], label[k], ids[k], n[k], pos[k])
+            h, *values = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[: len(PAIR)])
+            first = np.maximum.accumulate(np.where(np.r_[own is None or own[0] != h[0], h[1:] != h[:-1]], np.arange(len(h)), -1))
+            # The row that comes first with the same h may be one of the batch before.
+            star = [np.where(first < 0, own[k + 1] if own else 0, x[np.maximum(first, 0)]) for k, x in enumerate(values)]
+            good = (star[0] != values[0]) & may_be_similar(star[2:], values[2:])
+            a, b = star[1][good], values[1][good]
+            if first[-1] >= 0:
+                own = (h[-1], *(x[first[-1]] for x in values))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return rows.repartition("h").sortWithinPartitions("h", "turn").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def may_be_similar(m, at, n, pos):
-    """Whether sets of m and n shingles can be similar if they share those at these places among the rare ones and none before."""
-    up, down = SIMILAR
-    return (up + down) * np.minimum(m - at, n - pos) >= up * (m + n)
+    turn = F.xxhash64("h", "id").alias("turn")
+    return rows.select(*PAIR, turn).repartition("h").sortWithinPartitions("h", "turn").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of ids of different labels, among them all whose sets of shingles are similar by SIMILAR.
 
-    rows are those of shared() with labels. Two similar sets have at least SIMILAR of the greater in common, so that the
-    first of what they share, in any order that is the same for all, is among the rare of both; and behind it enough must
-    follow in both.
+    rows are those of shared() with labels and fingerprints. Two similar sets have at least SIMILAR of the greater in
+    common, so that the first of what they share, in any order that is the same for all, is among the rare of both; and
+    behind it enough must follow in both.
     """
-    return rows.select("h", "label", "id", "n", "pos").repartition("h").sortWithinPartitions("h").mapInArrow(_sharing, "a bigint, b bigint").distinct()
+    return rows.select(*PAIR).repartition("h").sortWithinPartitions("h").mapInArrow(_sharing, "a bigint, b bigint").distinct()
 
 
 def _sharing(batches):
-    def solve(h, label, ids, n, pos):
+    def solve(h, label, *values):
         order = np.lexsort((label, h))
-        h, label, ids, n, pos = (x[order] for x in (h, label, ids, n, pos))
+        h, label, ids, *values = (x[order] for x in (h, label, *values))
         new = np.r_[True, h[1:] != h[:-1]]
         turn = np.flatnonzero(new | np.r_[True, label[1:] != label[:-1]])
         starts, every = np.flatnonzero(new), np.r_[turn, len(h)]
@@ -451,7 +488,7 @@ def _sharing(batches):
             own = row[at:to]
             j = spread(after[own], end[own] - after[own])
             i = np.repeat(own, end[own] - after[own])
-            good = may_be_similar(n[i], pos[i], n[j], pos[j])
+            good = may_be_similar([x[i] for x in values], [x[j] for x in values])
             a, b = ids[i[good]], ids[j[good]]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             if both.shape[1]:
@@ -478,24 +515,33 @@ def _sharing(batches):
 
 
 def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(id, shingles) of each row: the id of its sketch and the hashes of its set of shingles."""
+    """(id, shingles) of rows: the id of the sketch and the upper 32 bits of the hashes of the set. Of equal sets each task makes one."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for at, to in byte_slices(batch.column(0), SLICE_BYTES):
-                ids, sets = zip(*shingle_sets_of(batch.column(0).slice(at, to - at), shingle))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
+                ids, sets = [], []
+                for i, own in shingle_sets_of(batch.column(0).slice(at, to - at), shingle):
+                    if i not in seen:
+                        seen.add(i)
+                        ids.append(i)
+                        sets.append(np.unique(own >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))], names=["id", "shingles"])
 
-    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "id bigint, shingles array<bigint>")
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "id bigint, shingles array<int>")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, text: str, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least SIMILAR. distinct has id, n, parities and key, the hash of one of its texts.
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least SIMILAR. docs has doc; distinct has id, n, parities, and key and least, the
+    hash of one of its texts and the least doc.
 
     Sets of s shingles together are similar if they differ in s (down - up) / (down + up) at most. Parities that differ in
     more rule a pair out. With D differing shingles, m parities of them differ in m (1 - (1 - 2/m)^D) / 2 on average, with
     a variance known as exactly; if a pair's differ in SURE standard deviations less than that for the least D that is
-    too much, it is similar (a dissimilar pair would have so few once in 10^10). Only the pairs between the two have
+    too much, it is similar (a dissimilar pair would have so few once in 3 million). Only the pairs between the two have
     their sets compared.
     """
     up, down = SIMILAR
@@ -512,8 +558,9 @@ def similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, text: str, s
     pairs = written(pairs, "simhash-pairs")
     unsure = pairs.where("NOT sure").select("a", "b")
     named = unsure.select(F.col("a").alias("id")).union(unsure.select("b")).distinct()
-    keys = written(distinct.join(named, "id", "left_semi").select("key"), "simhash-keys")
-    sets = written(shingle_sets(docs.withColumn("key", F.xxhash64(f"`{text}`")).join(keys, "key", "left_semi").dropDuplicates(["key"]), text, shingle), "simhash-sets")
+    keys = written(distinct.join(named, "id", "left_semi").select("key", "least"), "simhash-keys")
+    one = docs.withColumn("k", F.xxhash64(f"`{text}`")).join(keys, (F.col("k") == F.col("key")) & F.col("doc").eqNullSafe(F.col("least")), "left_semi")
+    sets = written(shingle_sets(one, text, shingle).dropDuplicates(["id"]), "simhash-sets")
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     size = F.size("x") + F.size("y")
     # |x and y| / |x or y| >= SIMILAR, in whole numbers.
@@ -566,13 +613,14 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
     else:
         slim = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
         prints = written(sketches(slim, "text", shingle), "simhash")
-        least = written(prints.groupBy("id", "fp", "other", "n", *ODD).agg(F.min("doc").alias("least"), F.min("key").alias("key")), "simhash-distinct")
+        least = prints.groupBy("id", "fp", "other", "n", *ODD).agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "key")).alias("of"))
+        least = written(least.select("id", "fp", "other", "n", *ODD, F.col("of.doc").alias("least"), F.col("of.key").alias("key")), "simhash-distinct")
         index = links(least.select("fp", "other", "id"), max_bits, spare or spare_for(least.count(), max_bits), max_both)
         sure = written(similar(index, slim, least, "text", shingle), "simhash-similar")
-        rows = written(shared(prints, least), "simhash-shared")
+        rows = written(shared(prints), "simhash-shared")
         for pairs_of in (stars, candidates):
-            known = connected(sure).withColumnRenamed("root", "label")
-            pairs = pairs_of(rows.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")))
+            known = least.select("id", "fp", "other").join(connected(sure), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+            pairs = pairs_of(rows.join(known, "id"))
             sure = written(sure.unionByName(similar(pairs, slim, least, "text", shingle)), "simhash-similar")
         roots = connected(sure)
     members = least.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
