@@ -42,12 +42,6 @@ def caps_softening(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace(spanish.soft_capitals("text"), "[^A-Z]", "")).alias("capitals"))
 
 
-@query("ipa_words")
-def ipa_words(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").where("lang = 'es'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zñáéíóúü]+"), F.lit(0))).alias("word")).distinct()
-    return words.select("word", spanish.ipa_words("word").alias("ipa"))
-
-
 def heard_turns(spark, sf_dir):
     """Each turn as it would be heard with every eleventh word left out and every seventeenth changed."""
     said = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
