@@ -50,14 +50,8 @@ def _strength(kind: Column) -> Column:
     return F.when(kind == "section", SECTION).when(kind == "paragraph", PARAGRAPH).when(kind == "verse", VERSE).when(kind == "line", LINE).otherwise(NONE)
 
 
-def units(rows: DataFrame, work: list[str], order: list[str], doc: list[str]) -> DataFrame:
-    """(work, book_no, book, chapter_no, chapter, unit, verse, text, brk, starts, implicit, sections, omitted, marked)
-
-    A unit is the text between two events that break it: a verse, a line, a paragraph, a heading, or the end of a
-    document. Its break is the strongest of the events before it; the first of a chapter has the break of a heading.
-    Text before any verse number is verse 1, or 0 where the chapter has a verse 1 of its own; then it is implicit.
-    Headings and absent verses before a unit are listed with it.
-    """
+def _parts(rows: DataFrame, work: list[str], order: list[str], doc: list[str]) -> DataFrame:
+    """(work, book_no, chapter_no, _part, real, book, chapter, origin, strength, label, text, section, absent): what stands between two breaks; real if it has text."""
     group = [*work, "book_no", "chapter_no"]
     line = Window.partitionBy(*group).orderBy(*order)
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
@@ -68,36 +62,61 @@ def units(rows: DataFrame, work: list[str], order: list[str], doc: list[str]) ->
     # Breaks without text between them count once: a run of text begins with the first text after a break.
     rows = rows.withColumns({"_text": text, "_break": breaks | new_doc})
     rows = rows.withColumn("_part", F.sum(F.col("_break").cast("int")).over(upto))
-    rows = rows.withColumn("_real", F.max((F.col("kind") == "text").cast("int")).over(Window.partitionBy(*group, "_part")))
-    # The number of parts with text so far: events of a part without any belong to the next one that has.
-    parts = rows.groupBy(*group, "_part").agg(
-        F.max("_real").alias("real"),
+    return rows.groupBy(*group, "_part").agg(
+        F.max((F.col("kind") == "text").cast("int")).alias("real"),
         F.first("book").alias("book"),
         F.first("chapter").alias("chapter"),
+        F.min(F.struct(*doc)).alias("origin"),
         F.max(_strength(F.col("kind"))).alias("strength"),
         F.max(F.when(F.col("kind") == "verse", F.col("value"))).alias("label"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_text"), F.struct(*order, "value")))), lambda x: x["value"]), "").alias("text"),
         F.max(F.when(F.col("kind") == "section", F.col("value"))).alias("section"),
         F.max(F.when(F.col("kind") == "omitted", F.col("value"))).alias("absent"),
     )
+
+
+def empty_verses(rows: DataFrame, work: list[str], order: list[str], doc: list[str]) -> DataFrame:
+    """(work, book, chapter, verse) of verse numbers without text before the next number or the end of the chapter."""
+    group = [*work, "book_no", "chapter_no"]
+    line = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    own = _parts(rows, work, order, doc).withColumn("_verse", F.count("label").over(line)).where("_verse > 0")
+    verses = own.groupBy(*group, "_verse").agg(F.first("book").alias("book"), F.coalesce(F.first("chapter"), F.lit(1)).alias("chapter"), F.max("label").alias("verse"), F.max("real").alias("_real"))
+    return verses.where("_real = 0").select(*work, "book", "chapter", "verse")
+
+
+def units(rows: DataFrame, work: list[str], order: list[str], doc: list[str]) -> DataFrame:
+    """(work, book_no, book, chapter_no, chapter, unit, verse, text, brk, starts, implicit, sections, omitted, marked, origin)
+
+    A unit is the text between two events that break it: a verse, a line, a paragraph, a heading, or the end of a
+    document. Its break is the strongest of the events before it; the first of a chapter has the break of a heading.
+    Text before any verse number is verse 1, or 0 where the chapter has a verse 1 of its own; then it is implicit.
+    Headings and absent verses before a unit are listed with it; headings after the last text of a chapter go to the next
+    one of the book that has text. origin is the document that the chapter begins in.
+    """
+    group = [*work, "book_no", "chapter_no"]
+    parts = _parts(rows, work, order, doc)
     line = Window.partitionBy(*group).orderBy("_part")
-    before = F.coalesce(F.sum("real").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("unit", before)
+    in_book = Window.partitionBy(*work, "book_no").orderBy("chapter_no", "_part")
+    before = lambda over: F.coalesce(F.sum("real").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The number of parts with text so far: events of a part without any belong to the next one that has.
+    parts = parts.withColumns({"unit": before(line), "_turn": before(in_book)})
     open_verse = F.last("label", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
     parts = parts.withColumn("open", open_verse)
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("_part", c)))), lambda x: x[c])
+    ordered = lambda c, *by: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(*by, c)))), lambda x: x[c])
+    heads = parts.groupBy(*work, "book_no", "_turn").agg(ordered("section", "chapter_no", "_part").alias("sections"))
     made = parts.groupBy(*group, "unit").agg(
         F.max("real").alias("real"),
+        F.max("_turn").alias("_turn"),
         F.first("book").alias("book"),
         F.first("chapter").alias("chapter"),
+        F.min("origin").alias("origin"),
         F.max("strength").alias("strength"),
         F.max_by("open", "_part").alias("verse"),
         F.max(F.col("label").isNotNull().cast("int")).alias("starts"),
         F.max(F.when(F.col("real") == 1, F.col("text"))).alias("text"),
-        ordered("section").alias("sections"),
-        ordered("absent").alias("omitted"),
+        ordered("absent", "_part").alias("omitted"),
     )
-    made = made.where("real = 1").withColumn("text", clean(F.col("text")))
+    made = made.where("real = 1").join(heads, [*work, "book_no", "_turn"], "left").withColumn("text", clean(F.col("text")))
     whole = Window.partitionBy(*group)
     has_one = F.max((F.col("verse") == "1").cast("int")).over(whole)
     first = F.row_number().over(whole.orderBy("unit")) == 1
@@ -113,9 +132,10 @@ def units(rows: DataFrame, work: list[str], order: list[str], doc: list[str]) ->
         F.when(first, SECTION).otherwise(F.col("strength")).alias("brk"),
         ((F.col("starts") == 1) | (implicit & first)).alias("starts"),
         implicit.alias("implicit"),
-        "sections",
+        F.coalesce("sections", F.array().cast("array<string>")).alias("sections"),
         "omitted",
         (F.col("chapter_no") > 0).alias("marked"),
+        F.to_json(F.min("origin").over(whole)).alias("origin"),
     )
 
 
@@ -128,13 +148,19 @@ def valid_pieces(made: DataFrame, work: list[str]) -> tuple[DataFrame, DataFrame
     return rows.where("numbered > 0"), gone
 
 
+# What titles a prologue, and how many verses of how many characters it has.
+PROLOGUE = "(?i)pr[óo]logo|prefacio|proemio"
+PROLOGUE_VERSES, PROLOGUE_CHARS = 10, 300
+
+
 def resolved(pieces: DataFrame, work: list[str]) -> tuple[DataFrame, DataFrame]:
     """Several pieces of one chapter: those that belong together, and a report of the others.
 
-    (units with piece order, report of (work, book, chapter, chapter_no, fate, labels)). Fates: merged, noise (without
-    a mark, few numbered verses, where a marked piece is there), repeated (no new label), lost (its labels overlap too much).
-    The most solid piece is the nucleus; the others are taken in reading order. Only labels go to the grouped function,
-    and a group is one chapter.
+    (units with piece order, report of (work, book, chapter, chapter_no, fate, labels)). Fates: merged; prologue (a piece
+    titled so, without a mark, with a numbering of its own before a marked chapter 1 that begins with verse 1: it becomes
+    chapter 0); noise (without a mark, few numbered verses, where a marked piece is there), repeated (no new label), lost
+    (its labels overlap too much, or a single verse from another document). The most solid piece is the nucleus; the
+    others are taken in reading order. Only labels go to the grouped function, and a group is one chapter.
     """
     import pandas as pd
 
@@ -144,36 +170,45 @@ def resolved(pieces: DataFrame, work: list[str]) -> tuple[DataFrame, DataFrame]:
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(numbered, F.struct("unit", "verse")))), lambda x: x["verse"])).alias("labels"),
         F.count_if(numbered).alias("numbered"),
         F.sum(F.length("text")).alias("characters"),
+        F.min("origin").alias("origin"),
+        F.max(F.exists("sections", lambda t: t.rlike(PROLOGUE))).alias("titled"),
     )
 
     def fates(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["book_no", "chapter_no"], kind="stable").reset_index(drop=True)
-        fate = ["" for _ in range(len(own))]
+        labels, fate = [set(x) for x in own["labels"]], ["" for _ in range(len(own))]
+        mark = own["marked"].to_numpy().argmax() if own["marked"].any() else 0
+        if own["chapter"].iloc[0] == 1 and mark and "1" in labels[mark]:
+            for i in range(mark):
+                solid = len(labels[i]) >= PROLOGUE_VERSES and "1" in labels[i] and own["characters"][i] <= PROLOGUE_CHARS * max(1, own["numbered"][i])
+                fate[i] = "prologue" if solid and own["titled"][i] else ""
         for i in range(len(own)):
-            if own["marked"].any() and not own["marked"][i] and own["numbered"][i] < 3:
+            if not fate[i] and own["marked"].any() and not own["marked"][i] and own["numbered"][i] < 3:
                 fate[i] = "noise"
         left = [i for i in range(len(own)) if not fate[i]]
-        nucleus = max(left, key=lambda i: (own["marked"][i], len(own["labels"][i]), -own["characters"][i] / max(1, len(own["labels"][i]))))
-        seen = set(own["labels"][nucleus])
+        nucleus = max(left, key=lambda i: (own["marked"][i], len(labels[i]), -own["characters"][i] / max(1, len(labels[i]))))
+        seen, origins = set(labels[nucleus]), {own["origin"][nucleus]}
         fate[nucleus] = "merged"
         for i in left:
-            labels = set(own["labels"][i])
             if i == nucleus:
                 continue
-            common = labels & seen
-            if not labels - seen:
+            new, common = labels[i] - seen, labels[i] & seen
+            near = own["origin"][i] in origins or own["numbered"][i] >= 2
+            if not new:
                 fate[i] = "repeated"
-            elif not common or (len(common) <= max(1, len(labels) // 10) and len(labels - seen) > len(common)):
+            elif near and (not common or (len(common) <= max(1, len(labels[i]) // 10) and len(new) > len(common))):
                 fate[i] = "merged"
-                seen |= labels
+                seen |= labels[i]
+                origins.add(own["origin"][i])
             else:
                 fate[i] = "lost"
         return own.assign(fate=fate)[[*key, "book_no", "chapter_no", "fate", "labels"]]
 
     kinds = ", ".join(f"`{k}` {meta.schema[k].dataType.simpleString()}" for k in [*key, "book_no", "chapter_no"])
     decided = meta.groupBy(*key).applyInPandas(fates, f"{kinds}, fate string, labels array<string>")
-    report = decided.where("fate <> 'merged'").drop("book_no")
-    kept = pieces.join(decided.where("fate = 'merged'").select(*key, "book_no", "chapter_no"), [*key, "book_no", "chapter_no"])
+    report = decided.where("fate NOT IN ('merged', 'prologue')").drop("book_no")
+    kept = pieces.join(decided.where("fate IN ('merged', 'prologue')").select(*key, "book_no", "chapter_no", "fate"), [*key, "book_no", "chapter_no"])
+    kept = kept.withColumn("chapter", F.when(F.col("fate") == "prologue", 0).otherwise(F.col("chapter")))
     place = Window.partitionBy(*key).orderBy("book_no", "chapter_no", "unit")
     first_of_piece = F.row_number().over(Window.partitionBy(*key, "book_no", "chapter_no").orderBy("unit")) == 1
     later = F.row_number().over(place) > 1

@@ -112,9 +112,9 @@ def test_faults(spark, tmp_path, text, fault):
 
 def test_pieces_of_a_chapter(spark):
     def piece(no, labels, marked=True, size=20):
-        return [("e", 1, no, "b", 3, i, v, "x" * size, 4 if i == 0 else 2, True, False, [], [], marked, len(labels)) for i, v in enumerate(labels)]
+        return [("e", 1, no, "b", 3, i, v, "x" * size, 4 if i == 0 else 2, True, False, [], [], marked, len(labels), "d1") for i, v in enumerate(labels)]
 
-    schema = "epub string, book_no int, chapter_no int, book string, chapter int, unit int, verse string, text string, brk int, starts boolean, implicit boolean, sections array<string>, omitted array<string>, marked boolean, numbered int"
+    schema = "epub string, book_no int, chapter_no int, book string, chapter int, unit int, verse string, text string, brk int, starts boolean, implicit boolean, sections array<string>, omitted array<string>, marked boolean, numbered int, origin string"
     rows = piece(1, ["3", "4"]) + piece(2, ["1", "2", "5"]) + piece(3, ["1", "2"]) + piece(4, ["9"], marked=False) + piece(5, ["1", "2", "3", "6"])
     whole, report = assembly.resolved(spark.createDataFrame(rows, schema), ["epub"])
     got = whole.orderBy("unit").collect()
@@ -130,3 +130,35 @@ def test_pages(spark, sf):
     kinds = {r.kind for r in events.select("kind").distinct().collect()}
     assert {"text", "paragraph", "line"} <= kinds
     assert events.where("value LIKE '%track(%'").count() == 0
+
+
+def laid(spark, marks):
+    """Units and empty verses of one book from (document, kind, value)."""
+    rows = [("e", d, i, k, v) for i, (d, k, v) in enumerate([(1, "book", "b"), *marks])]
+    events = spark.createDataFrame(rows, "work string, doc int, ev int, kind string, value string")
+    placed = assembly.placed(events, ["work"], ["doc", "ev"])
+    made = assembly.units(placed, ["work"], ["doc", "ev"], ["doc"])
+    return made, assembly.empty_verses(placed, ["work"], ["doc", "ev"], ["doc"])
+
+
+def test_headings_go_to_the_next_chapter(spark):
+    say = lambda *kinds: [(1, *k.partition(":")[::2]) for k in kinds]
+    made, empty = laid(spark, say("section:Before", "chapter:1", "verse:1", "text:one", "verse:2", "section:In", "text:two", "verse:3", "section:End", "section:Last", "chapter:2", "verse:1", "text:x", "verse:2", "line:", "text:y", "section:Lost"))
+    got = [(r.chapter, r.verse, r.sections) for r in made.orderBy("chapter_no", "unit").collect()]
+    assert got == [(1, "1", ["Before"]), (1, "2", ["In"]), (2, "1", ["End", "Last"]), (2, "2", [])]
+    assert [(r.chapter, r.verse) for r in empty.collect()] == [(1, "3")]
+
+
+def test_prologues_and_pieces_of_other_documents(spark):
+    verses = lambda doc, labels, n=20: [e for v in labels for e in ((doc, "verse", str(v)), (doc, "text", "x" * n))]
+    titled = [(1, "section", "Prólogo del traductor"), *verses(1, range(1, 12)), (2, "chapter", "1"), *verses(2, range(1, 6))]
+    other = [*titled, (3, "chapter", "1"), *verses(3, [9]), (4, "chapter", "1"), *verses(4, [7, 8])]
+    made, _ = laid(spark, other)
+    whole, report = assembly.resolved(assembly.valid_pieces(made, ["work"])[0], ["work"])
+    got = {c: [r.verse for r in whole.where(f"chapter = {c}").orderBy("unit").collect()] for c in (0, 1)}
+    assert got == {0: [str(i) for i in range(1, 12)], 1: ["1", "2", "3", "4", "5", "7", "8"]}
+    assert [(r.fate, r.labels) for r in report.collect()] == [("lost", ["9"])]
+    # Without such a title the piece is one of the chapter's.
+    made, _ = laid(spark, titled[1:])
+    whole, report = assembly.resolved(assembly.valid_pieces(made, ["work"])[0], ["work"])
+    assert whole.where("chapter = 0").count() == 0 and report.count() == 1
