@@ -28,7 +28,7 @@ from .common import FOLDED, MULTIPLY, byte_slices, mixed, span_hashes, utf8_of,
 
 BITS = 64
 FAN = 8
-SLICE = 2_000_000
+SLICE, PAIRS = 1_000_000, 300_000
 # With checked links: the least Jaccard similarity, as a fraction.
 SIMILAR = (4, 5)
 # Shingles with COMMON occurrences or more in a sample of about SAMPLE stand last; that decides only how many candidates there are.
@@ -484,7 +484,7 @@ def _sharing(batches):
         upto = np.cumsum(end[row] - after[row])
         at = 0
         while at < len(row):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, side="right")))
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
             own = row[at:to]
             j = spread(after[own], end[own] - after[own])
             i = np.repeat(own, end[own] - after[own])
