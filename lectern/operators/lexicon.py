@@ -43,7 +43,8 @@ def rewritten(text: Column, words: dict[str, str]) -> Column:
         return text
     between, found = F.split(text, pattern(words), -1), F.regexp_extract_all(text, F.lit(pattern(words)), F.lit(0))
     table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
-    return F.concat_ws("", F.transform(between, lambda part, i: F.concat(part, F.coalesce(table[F.get(found, i)], F.lit("")))))
+    # One more stretch between than found: the last has nothing after it.
+    return F.array_join(F.zip_with(between, F.transform(found, lambda w: table[w]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def occurrences(text: Column, words: dict[str, str]) -> Column:

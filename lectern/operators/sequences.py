@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +72,52 @@ def jumps(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataF
 def rising(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """(keys, rising): the length of the longest strictly increasing subsequence.
 
-    The least last value for each length is kept in an array, which aggregate() carries over the ordered values.
+    Rows come sorted, and of a group only the least last value for each length is kept, never its rows.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("long").alias("_v")))), lambda x: x["_v"])
-    at = lambda tails, v: F.size(F.filter(tails, lambda t: t < v))
-    put = lambda tails, v: F.concat(F.slice(tails, 1, at(tails, v)), F.array(v), F.slice(tails, at(tails, v) + 2, F.size(tails) + 1))
-    return df.groupBy(*keys).agg(ordered.alias("_line")).select(*keys, F.size(F.aggregate("_line", F.array().cast("array<bigint>"), put)).alias("rising"))
+    import numpy as np
+    import pyarrow as pa
+
+    rows = df.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("long").alias("_v")).where("_v IS NOT NULL")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{i}" for i in range(len(order))]).select(*keys, "_v")
+
+    def run(batches):
+        of, tails = None, []
+        done: list[tuple] = []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            values = batch.column(len(keys)).to_numpy(zero_copy_only=False)
+            if not len(values):
+                continue
+            new = np.zeros(len(values), bool)
+            for c in columns:
+                new[1:] |= np.fromiter((x != y for x, y in zip(c, c[1:])), bool, len(c) - 1)
+            new[0] = of is None or tuple(c[0] for c in columns) != of
+            edges = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), len(values)]
+            for a, b in zip(edges, edges[1:]):
+                if new[a]:
+                    if of is not None:
+                        done.append((*of, len(tails)))
+                    of, tails = tuple(c[a] for c in columns), []
+                for v in values[a:b].tolist():
+                    at = bisect_left(tails, v)
+                    tails[at : at + 1] = [v]
+            if len(done) >= 10_000:
+                yield batch_of(done)
+                done = []
+        if of is not None:
+            done.append((*of, len(tails)))
+        if done:
+            yield batch_of(done)
+
+    kinds = rows.select(*keys).schema
+
+    def batch_of(found):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in kinds.fields] + [pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), types)], names=[*keys, "rising"])
+
+    return rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields], "rising int"]))
 
 
 def chapter_likeness(df: DataFrame, keys: list[str], order: list[str], value: str, expected: str) -> DataFrame:

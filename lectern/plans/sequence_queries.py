@@ -139,9 +139,9 @@ def turn_clock(spark, sf_dir):
 def first_match_asof(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("next_ts"), F.col("value").alias("next_value"))
-    found = timing.asof_forward(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "next_ts", ["next_value"])
-    at = timing.asof_forward(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought.withColumn("at", F.col("next_ts")), ["user_id"], "ts", "next_ts", ["at"])
-    return found.join(at.select("event_id", F.col("at").alias("next_ts")), "event_id").select("event_id", "next_value", "next_ts")
+    asked = events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts")
+    found = timing.asof_forward(asked, bought.withColumn("at", F.col("next_ts")), ["user_id"], "ts", "next_ts", ["next_value", "at"])
+    return found.select("event_id", "next_value", F.col("at").alias("next_ts"))
 
 
 @query(

@@ -25,10 +25,17 @@ def chunk_plan(spark, sf_dir):
     return chunks.select("doc_id", "chunk", F.length("text").alias("chars"), "units", F.size("verses").alias("verses"), "pause_ms")
 
 
-@query("chunk_invariants", "SELECT doc_id, true AS within, true AS all_verses FROM documents WHERE regexp_matches(text, '[^ \\t\\n]')")
+@query(
+    "chunk_invariants",
+    """SELECT doc_id, true AS within, true AS all_verses, md5(regexp_replace(text, '\\s+', '', 'g')) AS letters FROM documents WHERE regexp_matches(text, '[^ \\t\\n]')""",
+)
 def chunk_invariants(spark, sf_dir):
+    """Whether chunks are short enough and have every verse once, and a digest of all their letters in order."""
     units = chapter_units(spark, sf_dir)
-    return chunking.plan_checks(chunking.planned(units, ["doc_id"], "unit"), units, ["doc_id"])
+    chunks = chunking.planned(units, ["doc_id"], "unit")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "")
+    letters = chunks.groupBy("doc_id").agg(F.md5(F.regexp_replace(said, r"\s+", "").cast("binary")).alias("letters"))
+    return chunking.plan_checks(chunks, units, ["doc_id"]).join(letters, "doc_id")
 
 
 @query("number_words")
@@ -55,10 +62,17 @@ def benchmark_align(spark, sf_dir):
     return alignment.verified(heard_turns(spark, sf_dir)).select("conv_id", "turn", "substitutions", "omissions", "insertions", "omission_run", "insertion_run", "wer", "flagged")
 
 
-@query("wer_by_doc", "SELECT conv_id, turn, 0.0::DOUBLE AS wer, false AS flagged FROM conversations")
+@query(
+    "wer_by_doc",
+    """WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM conversations),
+    n AS (SELECT conv_id, turn, len(w) AS n, len(list_filter(range(len(w)), lambda i: i % 11 = 10)) AS o, len(list_filter(range(len(w)), lambda i: i % 17 = 16 AND i % 11 <> 10)) AS c FROM w)
+    SELECT conv_id, turn, c::INTEGER AS substitutions, o::INTEGER AS omissions, round((o + c) / greatest(1, n), 4) AS wer, (o + c) / greatest(1, n) > 0.25 AS flagged FROM n""",
+)
 def wer_by_doc(spark, sf_dir):
-    turns = heard_turns(spark, sf_dir).withColumn("heard", F.col("said"))
-    return alignment.verified(turns).select("conv_id", "turn", "wer", "flagged")
+    """Turns whose words are told apart by their places, so that what was left out and changed is known."""
+    turns = heard_turns(spark, sf_dir).withColumn("said", F.transform("said", lambda w, i: F.concat_ws("_", w, i)))
+    heard = F.transform(F.filter(F.transform("said", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["i"] % 11 != 10), lambda x: F.when(x["i"] % 17 == 16, F.concat(F.lit("changed"), x["w"])).otherwise(x["w"]))
+    return alignment.verified(turns.withColumn("heard", heard)).select("conv_id", "turn", "substitutions", "omissions", "wer", "flagged")
 
 
 @query("turn_verse_times")

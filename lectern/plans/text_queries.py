@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import content, lexicon, titles
+from lectern.operators import content, lexicon
 
 from .catalogue import query, table
 
@@ -35,9 +35,16 @@ def long_unit_warnings(spark, sf_dir):
 LOOSE = "(^|[.!?] )[0-9]{1,3} [A-ZÁÉÍÓÚÑ]|^[0-9]+$"
 
 
-@query("loose_number_warnings", f"SELECT doc_id, (i - 1)::INTEGER AS unit FROM ({UNITS}) WHERE regexp_matches(t, '{LOOSE}')")
+@query(
+    "loose_number_warnings",
+    f"""SELECT doc_id, (i - 1)::INTEGER AS unit FROM (SELECT doc_id, i, CASE i % 9 WHEN 2 THEN i::VARCHAR || ' ' || t WHEN 3 THEN 'x' || i::VARCHAR || ' ' || t WHEN 4 THEN i::VARCHAR ELSE t END AS t FROM ({UNITS}))
+    WHERE regexp_matches(t, '{LOOSE}')""",
+)
 def loose_number_warnings(spark, sf_dir):
-    return units(spark, sf_dir).where(F.col("text").rlike(LOOSE)).select("doc_id", "unit")
+    """Units some of which have a number before them, as a verse number that wasn't recognised."""
+    i = F.col("unit") + 1
+    marked = F.when(i % 9 == 2, F.concat(i.cast("string"), F.lit(" "), "text")).when(i % 9 == 3, F.concat(F.lit("x"), i.cast("string"), F.lit(" "), "text")).when(i % 9 == 4, i.cast("string")).otherwise(F.col("text"))
+    return units(spark, sf_dir).where(marked.rlike(LOOSE)).select("doc_id", "unit")
 
 
 @query("non_latin_warnings", "SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '[Ͱ-Ͽἀ-῿֐-׿]')) AS warned, count(*) AS n FROM documents GROUP BY lang")
@@ -76,19 +83,6 @@ def lexicon_rewrite(spark, sf_dir):
     return docs.select("doc_id", F.md5(lexicon.rewritten(F.col("text"), words).cast("binary")).alias("digest"), lexicon.occurrences(F.col("text"), words).alias("n"))
 
 
-@query(
-    "title_to_dimension",
-    """WITH t AS (SELECT page_id, lower(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1)) AS title FROM pages),
-    d AS (SELECT DISTINCT w, len(w) AS n FROM (SELECT lower(unnest(string_split(title, ' '))) AS w FROM t) WHERE regexp_matches(w, '^[a-z]{5,}$'))
-    SELECT page_id, w AS base FROM (SELECT page_id, w, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, w) AS r FROM
-      (SELECT DISTINCT page_id, w, n FROM (SELECT page_id, unnest(regexp_extract_all(title, '[a-z]+')) AS x FROM t) JOIN d ON x = w)) WHERE r = 1""",
-)
-def title_to_dimension(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("html", r"<h1[^>]*>(.*?)</h1>", 1)).alias("title"))
-    words = pages.select(F.explode(F.split("title", " ")).alias("base")).where(F.col("base").rlike("^[a-z]{5,}$")).distinct()
-    return titles.longest_base(pages, "page_id", "title", words, "base")
-
-
 @query(
     "page_tag_profile",
     """SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag""",
