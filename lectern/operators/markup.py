@@ -44,12 +44,29 @@ class Node:
     classes: frozenset = frozenset()
     types: frozenset = frozenset()
     children: list = field(default_factory=list)
+    # Made once the tree is complete, from the leaves up.
+    length: int = 0
+    blocks: bool = False
+
+    def strings(self) -> Iterator[str]:
+        open_ = [iter(self.children)]
+        while open_:
+            for c in open_[-1]:
+                if not isinstance(c, str):
+                    open_.append(iter(c.children))
+                    break
+                yield c
+            else:
+                open_.pop()
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(self.strings())
 
     def has_block(self) -> bool:
-        return any(not isinstance(c, str) and (c.tag in BLOCKS or c.has_block()) for c in self.children)
+        return self.blocks
+
+    def signature(self) -> str:
+        return ".".join([self.tag, *sorted(self.classes)])
 
 
 class Tree(HTMLParser):
@@ -85,6 +102,26 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
+    def elements(self) -> list[Node]:
+        """All nodes in order, with length and blocks made from the leaves up."""
+        out, todo = [], [self.root]
+        while todo:
+            n = todo.pop()
+            out.append(n)
+            todo += [c for c in reversed(n.children) if not isinstance(c, str)]
+        for n in reversed(out):
+            n.length = sum(len(c) if isinstance(c, str) else c.length for c in n.children)
+            n.blocks = any(not isinstance(c, str) and (c.tag in BLOCKS or c.blocks) for c in n.children)
+        return out
+
+
+def parsed(html: str | None) -> tuple[Node, list[Node]]:
+    """The root of a document and all its nodes in order."""
+    tree = Tree()
+    tree.feed(html or "")
+    tree.close()
+    return tree.root, tree.elements()
+
 
 def matcher(selectors: str):
     """Whether a node is one of tag, .class or tag.class, separated by commas."""
@@ -126,8 +163,10 @@ class Walk:
     def kept(self, n: Node) -> bool:
         if n.tag in ("script", "style", "head") or self.is_["remove"](n) or n.types & NOTES:
             return False
+        if n.tag not in ("sup", "a") or self.is_["verse"](n):
+            return True
         said = tidy(n.text())
-        return not (n.tag in ("sup", "a") and not self.is_["verse"](n) and said and self.mark.match(said))
+        return not (said and self.mark.match(said))
 
     def events(self, n: Node) -> Iterator[tuple[str, str]]:
         for c in n.children:
@@ -140,7 +179,9 @@ class Walk:
                 yield from self.node(c)
 
     def node(self, n: Node) -> Iterator[tuple[str, str]]:
-        said = tidy(n.text())
+        leaf = n.tag in BLOCKS and not n.has_block()
+        # Of what is neither a mark nor a block of text the text isn't asked.
+        said = tidy(n.text()) if leaf or any(self.is_[k](n) for k in ("book", "chapter", "verse", "section")) else ""
         if self.is_["book"](n):
             if said:
                 yield "book", said
@@ -163,7 +204,7 @@ class Walk:
             if said:
                 yield "section", said
             return
-        if n.tag in BLOCKS and not n.has_block() and re.fullmatch(r"[IVXLC]+\.?", said):
+        if leaf and re.fullmatch(r"[IVXLC]+\.?", said):
             yield "section", said
             return
         if n.tag == "br":
@@ -174,7 +215,7 @@ class Walk:
         if self.is_["line"](n):
             yield "line", ""
         elif n.tag in BLOCKS:
-            short = bool(self.s.short_line) and not n.has_block() and 0 < len(said) <= self.s.short_line
+            short = bool(self.s.short_line) and leaf and 0 < len(said) <= self.s.short_line
             yield ("line" if short and self.after_short else "paragraph"), ""
             self.after_short = short
         yield from self.events(n)
@@ -183,10 +224,7 @@ class Walk:
 
 
 def events_of(html: str | None, s: Selectors) -> list[tuple[str, str]]:
-    tree = Tree()
-    tree.feed(html or "")
-    tree.close()
-    return list(Walk(s).events(tree.root))
+    return list(Walk(s).events(parsed(html)[0]))
 
 
 def events(docs: DataFrame, keys: list[str], html: str, selectors: Selectors = Selectors()) -> DataFrame:
@@ -203,3 +241,57 @@ def events(docs: DataFrame, keys: list[str], html: str, selectors: Selectors = S
             yield pd.DataFrame(out, columns=[*keys, "ev", "kind", "value"])
 
     return docs.select(*keys, html).mapInPandas(run, schema)
+
+
+# Leaf blocks that are looked at, headings, and how a chapter mark with a word or an abbreviation before its number looks.
+LEAVES = frozenset("p div li blockquote dd td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PREFIXED = re.compile(r"^\s*(?:(?:cap[ií]tulo|salmos?)\s+|(?:[1-3]\s*)?[^\W\d_]{1,4}\.?\s+)(\d{1,3})\s*$", re.IGNORECASE)
+MARK_CHARS = 40
+PROFILE = "kind string, signature string, pos int, value int, starts boolean, ends boolean, classes array<string>, sample string"
+
+
+def profile_of(html: str | None, s: Selectors) -> list[tuple]:
+    """Rows of PROFILE: number and heading marks of all elements, leaf blocks of the cleaned document, and its size in elements."""
+    root, nodes = parsed(html)
+    walk, out = Walk(s), []
+    for pos, n in enumerate(nodes[1:]):
+        # Text that is long without its white space is no mark.
+        said = tidy(n.text()) if n.length < 10 * MARK_CHARS else None
+        if said and re.fullmatch(r"\d{1,3}", said):
+            out.append(("number", n.signature(), pos, int(said), None, None, None, said))
+        elif said is not None and len(said) < MARK_CHARS:
+            found = PREFIXED.match(said)
+            number = found[1] if found else None
+            if number is None and (n.tag in HEADINGS or n.tag in ("p", "div")) and (found := walk.number.search(said)):
+                number = next(g for g in found.groups() if g)
+            if number is not None:
+                out.append(("heading", n.signature(), pos, int(number), None, None, None, said))
+    todo, clean = [root], []
+    while todo:
+        n = todo.pop()
+        clean.append(n)
+        todo += [c for c in reversed(n.children) if not isinstance(c, str) and walk.kept(c)]
+    for pos, n in enumerate(clean[1:]):
+        if n.tag in LEAVES and not n.has_block() and (said := tidy(n.text())):
+            first = next((x for x in map(tidy, n.strings()) if x), "")
+            starts, ends = re.fullmatch(r"\d{1,3}[a-z]?", first) is not None, re.search(r"[.!?…][\"'»”’)\]]*$", said) is not None
+            out.append(("block", n.signature(), pos, len(said), starts, ends, sorted(n.classes), said[:MARK_CHARS]))
+    out.append(("size", "", 0, len(nodes), None, None, None, ""))
+    return out
+
+
+def profile(docs: DataFrame, keys: list[str], html: str, selectors: Selectors = Selectors()) -> DataFrame:
+    """(keys, PROFILE): what each document has of marks and blocks. A null document has its size alone."""
+    schema = ", ".join([*[f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys], PROFILE])
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for row in zip(*[frame[k] for k in keys], frame[html]):
+                content = decoded(bytes(row[-1])) if isinstance(row[-1], (bytes, bytearray)) else row[-1]
+                out += [(*row[:-1], *made) for made in profile_of(content, selectors)]
+            made = pd.DataFrame(out, columns=[*keys, "kind", "signature", "pos", "value", "starts", "ends", "classes", "sample"])
+            yield made.astype({"starts": "boolean", "ends": "boolean"})
+
+    return docs.select(*keys, html).mapInPandas(run, schema)
