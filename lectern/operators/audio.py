@@ -72,10 +72,15 @@ def wrapped(pcm: bytes, rate: int) -> bytes:
     return b"".join([*head, b"data", len(pcm).to_bytes(4, "little"), pcm])
 
 
-@F.pandas_udf(WAV)
-def read_wav(content: pd.Series) -> pd.DataFrame:
-    rows = pd.DataFrame([wav(c) for c in content], columns=[c.split(" ")[0] for c in WAV.split(", ")])
-    return rows.astype({c: "Int32" for c in ("rate", "channels", "width", "format")})
+def read_wav(content: str | Column) -> Column:
+    """wav() of a binary column, as a struct of WAV."""
+
+    @F.pandas_udf(WAV)
+    def read(values: pd.Series) -> pd.DataFrame:
+        rows = pd.DataFrame([wav(c) for c in values], columns=[c.split(" ")[0] for c in WAV.split(", ")])
+        return rows.astype({c: "Int32" for c in ("rate", "channels", "width", "format")})
+
+    return read(content)
 
 
 def trim(threshold_db: float = -45.0, margin_ms: int = 40):

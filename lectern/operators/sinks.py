@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def cached(new: DataFrame, path: str, key: str = "key") -> DataFrame:
 
     A key is written once, whatever the rows repeat. The path may not exist yet.
     """
-    spark = new.sparkSession
-    rows = new.dropDuplicates([key]).withColumn("shard", F.substring(key, 1, 2))
+    spark, run = new.sparkSession, uuid.uuid4().hex
+    rows = new.dropDuplicates([key]).withColumns({"run": F.lit(run), "shard": F.substring(key, 1, 2)})
     try:
         old = spark.read.schema(rows.schema).parquet(path).select(key)
         old.isEmpty()
@@ -27,9 +29,8 @@ def cached(new: DataFrame, path: str, key: str = "key") -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = spark.createDataFrame([], f"{key} string")
-    own = rows.join(old, key, "left_anti").cache()
-    own.write.mode("append").partitionBy("shard").parquet(path)
-    return own.drop("shard")
+    rows.join(old, key, "left_anti").write.mode("append").partitionBy("shard").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).where(F.col("run") == run).select(*new.columns)
 
 
 def chapter_index(verses: DataFrame, keys: list[str], sections: DataFrame, seconds: DataFrame) -> DataFrame:
