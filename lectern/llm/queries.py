@@ -76,8 +76,16 @@ dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS p
        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT dw.doc_id, item_id, dw.i, dw.k FROM dw JOIN bw ON dw.p = bw.p AND dw.k = bw.k),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id)
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id),
+r AS (SELECT DISTINCT doc_id, item_id, i, i + k AS e FROM m),
+g AS (SELECT *, coalesce(i > max(e) OVER (PARTITION BY doc_id, item_id ORDER BY i, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM r),
+j AS (SELECT doc_id, item_id, min(i) AS a, max(e) AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, item_id ORDER BY i, e) AS n FROM g) GROUP BY doc_id, item_id, n),
+p AS (SELECT doc_id, i, length(x) AS n, sum(length(s) + length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS e
+      FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x, unnest(s[1:len(w)]) AS s
+            FROM (SELECT doc_id, w, string_split_regex({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS s FROM d JOIN documents USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM m)))),
+z AS (SELECT j.doc_id, string_agg(item_id || ':' || (f.e - f.n)::BIGINT || ':' || l.e::BIGINT, ',' ORDER BY f.e - f.n, l.e, item_id::VARCHAR) AS spans
+      FROM j JOIN p f ON f.doc_id = j.doc_id AND f.i = j.a JOIN p l ON l.doc_id = j.doc_id AND l.i = j.b - 1 GROUP BY j.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id""",
 }

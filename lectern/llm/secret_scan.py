@@ -168,9 +168,11 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def hide(texts: pd.Series) -> pd.Series:
         def one(t):
             base, more = find(t)
-            for a, b in reversed(merged(base + more)):
-                t = t[:a] + mark + t[b:]
-            return t
+            out, at = [], 0
+            for a, b in merged(base + more):
+                out += [t[at:a], mark]
+                at = b
+            return "".join([*out, t[at:]])
 
         return texts.map(one, na_action="ignore")
 

@@ -59,7 +59,13 @@ def test_matches_brute_force(spark, max_chars):
             own = [words_of(t) for i, t in items if str(i) == s.item_id]
             assert any(inside[: min(10, len(w))] == w[j : j + min(10, len(w))] for w in own for j in range(len(w)))
     if max_chars > 1000:
-        assert sorted((tuple(r) for r in dc.op3_decontaminate(df, bench).collect()), key=repr) == plain(docs, items)
+        found = dc.op3_decontaminate(df, bench)
+        assert sorted((tuple(r) for r in found.drop("spans").collect()), key=repr) == plain(docs, items)
+        whole = {(r.doc_id, r.spans) for r in found.collect()}
+    else:
+        # In parts the spans are those of one automaton.
+        whole = {(r.doc_id, r.spans) for r in dc.op3_decontaminate(df, bench).collect()}
+    assert {(r.doc_id, ",".join(f"{s.item_id}:{s.start}:{s.end}" for s in r.spans)) for r in got} == whole
     clean = dc.without_contaminated(df, bench, max_chars=max_chars)
     assert clean.columns == df.columns
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((p[0] for p in plain(docs, items) if not p[-1]), key=repr)
@@ -70,3 +76,12 @@ def test_nothing(spark):
     df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert dc.op3_decontaminate(df.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in dc.op3_decontaminate(df, bench.limit(0)).collect())
+
+
+def test_runs_have_all_windows_and_bounded_patterns():
+    text = " ".join(f"w{i}" for i in range(500))
+    runs = list(dc.runs_of(text, 10, 400))
+    assert len(runs) > 20 and all(n <= 400 for _, n in runs)
+    assert set(dc.patterns([("i", text)], 10)) == {p for run, _ in runs for p in dc.patterns([("i", run)], 10)}
+    assert sum(len(p) for p in dc.patterns([("i", runs[0][0])], 10)) == runs[0][1]
+    assert [r for r, _ in dc.runs_of("just three words", 10, 5)] == ["just three words"] and list(dc.runs_of("--", 10, 5)) == []
