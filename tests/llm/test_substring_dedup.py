@@ -9,17 +9,19 @@ from lectern.llm import substring_dedup as sd
 def plain(docs, sentences=sd.SENTENCES, words=sd.WORDS):
     """Spans of all documents in one dictionary, by brute force."""
     first, runs = {}, {}
+    weight = lambda w: max(1, (sum("\u3000" <= c <= "\ud7ff" for c in w.decode()) + 1) // 2)
     order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0))
     for i in order:
         own = sd.sentences_of(docs[i][1] or "")
-        runs[i] = []
-        for a in range(len(own)):
-            for b in range(a + sentences, len(own) + 1):
-                if sum(len(w) for _, _, w in own[a:b]) >= words:
-                    key = tuple(x for _, _, w in own[a:b] for x in w)
-                    first.setdefault(key, (docs[i][:2], a))
-                    runs[i].append((a, b, key))
-                    break
+        upto = [0]
+        for _, _, w in own:
+            upto.append(upto[-1] + sum(map(weight, w)))
+        good = lambda a, b: b - a >= sentences and upto[b] - upto[a] >= words
+        found = {(a, b) for a in range(len(own)) for b in [next((b for b in range(a + sentences, len(own) + 1) if good(a, b)), 0)] if b}
+        found |= {(a, b) for b in range(len(own) + 1) for a in [next((a for a in range(b - sentences, -1, -1) if good(a, b)), -1)] if a >= 0}
+        runs[i] = [(a, b, tuple(x for _, _, w in own[a:b] for x in w)) for a, b in sorted(found)]
+        for a, b, key in runs[i]:
+            first.setdefault(key, (docs[i][:2], a))
     out = []
     for i, (d, t, *_) in enumerate(docs):
         own, gone, origin = sd.sentences_of(t or ""), set(), set()
@@ -86,3 +88,28 @@ def test_rows_keep_their_columns(spark):
     again = sd.op7_repeated_spans(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     assert again.agg(F.sum("n_removed")).first()[0] < 60
     assert sd.op7_repeated_spans(docs.limit(0)).collect() == [] and sd.without_repeats(docs.limit(0)).collect() == []
+
+
+def test_sentences():
+    text = 'One two. "Three four!" he said.) Five\nsix… seven  第一句。第二句！ end'
+    got = sd.sentences_of(text)
+    assert [text[a:b] for a, b, _ in got] == ["One two. ", '"Three four!" ', "he said.) ", "Five\n", "six… ", "seven  第一句。", "第二句！ ", "end"]
+    assert [w for _, _, w in got][:2] == [[b"one", b"two."], [b'"three', b'four!"']]
+    assert "".join(text[a:b] for a, b, _ in got) == text
+    assert sd.sentences_of("") == [] and sd.sentences_of(" \n ") == []
+
+
+def test_unspaced_passages_and_ends_of_stretches(spark):
+    rnd = random.Random(13)
+    cjk = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n)) + "。"
+    passage = "".join(cjk(9) for _ in range(8))
+    say = lambda n, k: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n - 1)) + f" end{k}{rnd.randrange(10**6)}."
+    stretch = " ".join(say(n, "t") for n in (11, 3, 3, 3, 3, 3))
+    docs = [(i, cjk(12) + passage + cjk(14), "x") for i in range(3)] + [(10 + i, f"{say(9, 'a')} {stretch} {say(8, 'b')} {say(9, 'c')}", "x") for i in range(3)]
+    got = {r.doc_id: r for r in sd.op7_repeated_spans(frame(spark, docs)).collect()}
+    assert [got[i].n_removed for i in (0, 1, 2)] == [0, 8, 8]
+    assert [got[i].n_removed for i in (10, 11, 12)] == [0, 6, 6]
+    for i, text, _ in docs[4:]:
+        if i >= 11:
+            a, b = map(int, got[i].removed.split(":"))
+            assert text[a:b].strip() == stretch
