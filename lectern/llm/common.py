@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -17,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or (sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
@@ -131,9 +135,14 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, byte: np.
     return np.concatenate(out)
 
 
-def in_worker(key, make):
-    """make() once in each Python worker."""
+def in_worker(key, make, large: bool = False):
+    """make() once in each Python worker. Of what is large only the last is kept: workers go on from stage to stage."""
     kept = sys.__dict__.setdefault("_lectern_kept", {})
     if key not in kept:
-        kept[key] = make()
-    return kept[key]
+        if large:
+            for other in [k for k, (_, was_large) in kept.items() if was_large]:
+                del kept[other]
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        kept[key] = make(), large
+    return kept[key][0]

@@ -131,7 +131,7 @@ def _scanner(docs: DataFrame, items: list[tuple[str, str]], window: int):
     mark = hashlib.md5(repr((items, window)).encode()).hexdigest()
 
     def scan():
-        held = in_worker("decontamination", dict)
+        held = in_worker("decontamination", dict, large=True)
         if mark not in held:
             held.clear()
             found = patterns(sent.value, window)

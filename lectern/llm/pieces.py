@@ -36,9 +36,9 @@ from .common import in_worker, text_slices
 
 SPACE = "▁"
 N_BEST = 4
-KNOWN, KEPT = 400_000, 150_000
+KNOWN, KEPT = 300_000, 150_000
 AT_ONCE = 200_000
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_500_000
 UNKNOWN_LOSS = 10.0
 # Longer chunks are searched one by one.
 LONG = 4096
@@ -374,7 +374,7 @@ def encoded(docs: DataFrame, path: str, n: int = N_BEST, doc: str = "doc_id", te
     slim = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
-        known = in_worker(("pieces", path, n), lambda: Chunks(Lattice(path), n))
+        known = in_worker(("pieces", path, n), lambda: Chunks(Lattice(path), n), large=True)
         lattice = known.lattice
         for batch in batches:
             for at, to, texts in text_slices(batch.column(1), SLICE_CHARS):

@@ -178,7 +178,7 @@ def measures(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
 
     def run(batches):
-        words = in_worker(("quality", model), lambda: Words(model))
+        words = in_worker(("quality", model), lambda: Words(model), large=True)
         for batch in batches:
             for at, end, texts in text_slices(batch.column(len(keep)), SLICE_CHARS):
                 made = measured(texts, words)

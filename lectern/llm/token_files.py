@@ -324,7 +324,7 @@ def blocks_of(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("docs", doc_type)])
 
     def run(batches):
-        known = in_worker(("tokens", path), lambda: Pieces(path))
+        known = in_worker(("tokens", path), lambda: Pieces(path), large=True)
         block, start = 0, 0
         for batch in batches:
             if not batch.num_rows:
