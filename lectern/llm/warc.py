@@ -5,7 +5,8 @@ chunk in memory at a time, carrying the digest of the record from chunk to chunk
 header at the last one. Reading streams an archive back into chunk rows with running length and
 digest, so that the last row of a record has both of the whole payload.
 
-Archives are sequences of gzip members, one for each record, as WARC readers expect. Each is written under a name of its
+Archives are sequences of gzip members, one for each record, as WARC readers expect; the first describes the archive, and
+the others hold HTTP responses, whose payloads are the pages. Each is written under a name of its
 attempt and moved to its own name when complete, so that tasks can run again. Folders are URIs that pyarrow can open.
 """
 
@@ -25,6 +26,7 @@ from .common import scratch, written
 CHUNK = 1 << 20
 LEAST_DEDUP = 100
 READ = 1 << 18
+DATE = "WARC-Date: 1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, n_records bigint, n_bytes bigint"
 CHUNKS = "archive string, record bigint, page_id string, record_type string, refers_to string, chunk int, data binary, last boolean, length_so_far bigint, digest_so_far string"
@@ -63,16 +65,31 @@ def chunked(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     return rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "length", "digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("refers_to").cast("string").alias("refers_to"), "chunk", "chunks", F.substring("data", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("data"))
 
 
-def header(page_id, url, length, digest, kind, refers_to) -> bytes:
+def http_head(length: int) -> bytes:
+    """The head of the response that a payload came in."""
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+
+
+def header(page_id, url, length, digest, kind, refers_to, again: int = 0) -> bytes:
+    """The head of a record with its HTTP head. again: how many records of the same page and payload stand before it, which have ids of their own."""
     clean = lambda x: "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in x)
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    own = f"{kind}:{page_id}:{digest}" + f":{again}" * bool(again)
+    http = http_head(length)
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, own)}>", DATE]
     lines += [f"WARC-Target-URI: {clean(url)}"] if url is not None else []
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}"]
     lines += [f"X-Page-ID: {clean(page_id)}"] if page_id is not None else []
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:{digest}')}>", f"X-Refers-To-Page-ID: {clean(refers_to)}"]
-    lines += ["Content-Type: text/html", f"Content-Length: {0 if kind == 'revisit' else length}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n"
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response:{refers_to}:{digest}')}>", f"X-Refers-To-Page-ID: {clean(refers_to)}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if kind == 'revisit' else length)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
+
+
+def about(name: str) -> bytes:
+    """The first record of an archive, which describes it."""
+    body = b"software: lectern\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'archive:{name}')}>", DATE, f"WARC-Filename: {name}.warc.gz", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 class Archive:
@@ -85,6 +102,7 @@ class Archive:
         self.files.create_dir(base, recursive=True)
         self.path, self.temporary = f"{base}/{name}.warc.gz", f"{base}/.{name}-{uuid.uuid4().hex}"
         self.out, self.records, self.bytes = self.files.open_output_stream(self.temporary, compression=None), 0, 0
+        self.put(gzip.compress(about(name), 6, mtime=0))
 
     def put(self, data: bytes) -> None:
         self.bytes += len(data)
@@ -109,7 +127,7 @@ def write(chunks: DataFrame, folder: str, bytes_per_archive: int = 64 << 20) ->
 
         task, number = TaskContext.get().partitionId(), 0
         archive = packer = hasher = None
-        done = []
+        done, met = [], {}
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
@@ -119,7 +137,10 @@ def write(chunks: DataFrame, folder: str, bytes_per_archive: int = 64 << 20) ->
                         archive, number = None, number + 1
                     archive = archive or Archive(folder, f"part-{task:05d}-{number:05d}")
                     packer, hasher = zlib.compressobj(6, wbits=31), hashlib.sha256()
-                    archive.put(packer.compress(header(*(r[c] for c in ("page_id", "url", "length", "digest", "record_type", "refers_to")))))
+                    # Rows of one page and payload are all in this task.
+                    own = hash((r["page_id"], r["digest"]))
+                    again = met[own] = met.get(own, -1) + 1
+                    archive.put(packer.compress(header(*(r[c] for c in ("page_id", "url", "length", "digest", "record_type", "refers_to")), again)))
                 data = r["data"] or b""
                 hasher.update(data)
                 archive.put(packer.compress(data))
@@ -170,6 +191,8 @@ def records(source, chunk: int):
             raise ValueError(f"no record begins with {lines[0][:40]!r}")
         fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
         left, number, so_far, hasher, part = int(fields["content-length"]), 0, 0, hashlib.sha256(), b""
+        if fields["content-type"].startswith("application/http"):
+            left -= len(stream.until(b"\r\n\r\n")) + 4
         while True:
             while left and len(part) < chunk:
                 piece = stream.take(min(left, chunk - len(part)))
@@ -198,6 +221,8 @@ def read(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
                 with files.open_input_stream(path, compression=None) as source:
                     held, size, record = [], 0, -1
                     for f, number, data, last, so_far, digest in records(source, chunk):
+                        if f["warc-type"] == "warcinfo":
+                            continue
                         record += number == 0
                         kind, claimed = f["warc-type"], f["warc-payload-digest"].removeprefix("sha256:")
                         if last and kind == "response" and (digest != claimed or so_far != int(f["x-payload-length"])):

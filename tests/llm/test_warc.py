@@ -55,3 +55,18 @@ def test_chunks_make_the_payloads(spark):
             assert not whole[at]
     path = manifest.collect()[0].path
     assert gzip.open(path).read().startswith(b"WARC/1.1\r\nWARC-Type: ")
+
+
+def test_default_chunks_and_ids_of_records(spark):
+    import re
+
+    big = "é" * 1_200_000
+    df = spark.createDataFrame([(1, "u", big, "d", 1), (2, "u", "z" * 200, "d", 1), (2, "u", "z" * 200, "d", 1), (3, "u", "z" * 200, "d", 1)], SCHEMA)
+    manifest, folder = warc.archived(df)
+    rows = warc.read(manifest, folder).collect()
+    assert sorted(len(r.data) for r in rows if r.page_id == "1") == [2_400_000 - 2 * (1 << 20), 1 << 20, 1 << 20]
+    assert [r.digest_so_far for r in rows if r.page_id == "1" and r.last] == [hashlib.sha256(big.encode()).hexdigest()]
+    whole = b"".join(gzip.open(r.path).read() for r in manifest.collect())
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", whole)
+    assert len(ids) == len(set(ids)) == 4 + manifest.count() and whole.count(b"HTTP/1.1 200 OK") == 4
+    assert set(re.findall(rb"WARC-Refers-To: (\S+)", whole)) <= set(ids)
