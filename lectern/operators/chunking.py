@@ -1,7 +1,7 @@
 """Chunk planning: units of a chapter gathered into requests of bounded length that end with sentences.
 
 The text of each unit is prepared by column functions. What goes into one chunk depends on all before it in the chapter,
-so that the gathering itself is a grouped pandas function, one chapter at a time.
+so that the gathering itself is a function over sorted rows, one chapter at a time.
 """
 
 from __future__ import annotations
@@ -9,11 +9,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.spanish import heard_tokens
+from lectern.functions.spanish import heard_count
 from lectern.functions.text import SENTENCE_END, WEAK_END
 
 NONE, LINE, VERSE, PARAGRAPH, SECTION = range(5)
@@ -139,23 +138,44 @@ CHUNK = "chunk int, text string, verses array<struct<verse:string,token:int>>, p
 def planned(units: DataFrame, keys: list[str], order: str, plan: Plan = Plan()) -> DataFrame:
     """(keys, chunk, text, verses, pause_ms, units) from (keys, order, verse, text, brk, starts): the chunks of each chapter.
 
-    A group is one chapter. Units without text vanish; longer ones than a chunk are cut first.
+    Rows come sorted, and no more than one chapter is held at a time. Units without text vanish; longer ones than a chunk
+    are cut first.
     """
-    schema = ", ".join([*[f"`{k}` {units.schema[k].dataType.simpleString()}" for k in keys], CHUNK])
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def plan_one(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order, kind="stable")
-        line = []
-        for verse, text, brk, starts in zip(own["verse"], own["text"], own["brk"], own["starts"]):
-            for i, p in enumerate(pieces(text, plan.most) if text else []):
-                line.append(Unit(verse, p, int(brk) if i == 0 else NONE, bool(starts) and i == 0, len(heard_tokens(p))))
-        rows = []
-        for i, (group, pause) in enumerate(gathered(line, plan)):
-            text, verses = group.row()
-            rows.append((*own[keys].iloc[0], i, text, verses, pause, len(group.units)))
-        return pd.DataFrame(rows, columns=[*keys, "chunk", "text", "verses", "pause_ms", "units"])
-
-    return units.select(*keys, order, "verse", "text", "brk", "starts").groupBy(*keys).applyInPandas(plan_one, schema)
+    schema = ", ".join([*[f"`{k}` {units.schema[k].dataType.simpleString()}" for k in keys], CHUNK])
+    rows = units.select(*keys, order, "verse", "text", "brk", "starts").repartition(*keys).sortWithinPartitions(*keys, order)
+    verse = pa.struct([("verse", pa.string()), ("token", pa.int32())])
+    made = pa.schema([*to_arrow_schema(units.select(*keys).schema), ("chunk", pa.int32()), ("text", pa.string()), ("verses", pa.list_(verse)), ("pause_ms", pa.int32()), ("units", pa.int32())])
+
+    def run(batches):
+        of, line, out = None, [], []
+
+        def closed():
+            for i, (group, pause) in enumerate(gathered(line, plan)):
+                text, verses = group.row()
+                out.append((*of, i, text, verses, pause, len(group.units)))
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            own = list(zip(*columns[: len(keys)]))
+            for key, label, text, brk, starts in zip(own, *columns[len(keys) + 1 :]):
+                if key != of:
+                    if line:
+                        closed()
+                    of, line = key, []
+                for i, p in enumerate(pieces(text, plan.most) if text else []):
+                    line.append(Unit(label, p, int(brk) if i == 0 else NONE, bool(starts) and i == 0, heard_count(p)))
+            if len(out) >= 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), made)], schema=made)
+                out = []
+        if line:
+            closed()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), made)], schema=made)
+
+    return rows.mapInArrow(run, schema)
 
 
 def plan_checks(chunks: DataFrame, units: DataFrame, keys: list[str], most: int = Plan.most) -> DataFrame:
