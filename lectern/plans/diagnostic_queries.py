@@ -118,7 +118,7 @@ def content_keys(spark, sf_dir):
 
 
 # Nations as books: those of uneven regions in series of three, titles made of them by orders.
-NAMES = "(SELECT n_nationkey AS k, lower(n_name) AS base, n_regionkey % 2 = 1 AS series FROM nation)"
+NAMES = "(SELECT n_nationkey AS k, replace(lower(n_name), '_', ' ') AS base, n_regionkey % 2 = 1 AS series FROM nation)"
 
 
 @query(
@@ -140,7 +140,7 @@ def titles_resolved(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     before = F.element_at(F.array(*map(F.lit, ["PRIMERA a ", "2 ", "", "III, ", "sobre ", "Nota "])), (o % 6 + 1).cast("int"))
     made = rows.select(o.alias("k"), F.concat(before, F.when(o % 6 == 5, "x").otherwise(F.col("n_name")), F.when(o % 4 == 0, " 1").otherwise("")).alias("title"))
-    nation = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("base"), (F.col("n_regionkey") % 2 == 1).alias("series"))
+    nation = table(spark, sf_dir, "nation").select(F.replace(F.lower("n_name"), F.lit("_"), F.lit(" ")).alias("base"), (F.col("n_regionkey") % 2 == 1).alias("series"))
     number = F.explode(F.when(F.col("series"), F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(None).cast("int"))))
     names = nation.select("base", number.alias("number")).withColumn("id", F.concat("base", F.coalesce(F.col("number").cast("string"), F.lit(""))))
     names = names.select(F.xxhash64("base", "number").alias("ord"), "id", "number", F.array("base").alias("bases"), F.when(F.col("number").isNull(), F.array("base")).otherwise(F.array().cast("array<string>")).alias("exact"))

@@ -38,15 +38,37 @@ def chunk_invariants(spark, sf_dir):
     return chunking.plan_checks(chunks, units, ["doc_id"]).join(letters, "doc_id")
 
 
-@query("number_words")
+# Words of numbers below 1000 in SQL, before a masculine and a feminine noun.
+SQL_WORDS = """WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (l_partkey % 1000)::INTEGER AS n FROM lineitem),
+    r AS (SELECT *, n % 100 AS r, list_extract(['cero','uno','dos','tres','cuatro','cinco','seis','siete','ocho','nueve','diez','once','doce','trece','catorce','quince','dieciséis','diecisiete','dieciocho','diecinueve','veinte','veintiuno','veintidós','veintitrés','veinticuatro','veinticinco','veintiséis','veintisiete','veintiocho','veintinueve'], n % 100 + 1) AS low,
+      list_extract(['treinta','cuarenta','cincuenta','sesenta','setenta','ochenta','noventa'], n % 100 // 10 - 2) AS ten, list_extract(['uno','dos','tres','cuatro','cinco','seis','siete','ocho','nueve'], n % 10) AS one,
+      list_extract(['ciento','doscientos','trescientos','cuatrocientos','quinientos','seiscientos','setecientos','ochocientos','novecientos'], n // 100) AS hundred FROM n),
+    w AS (SELECT *, CASE WHEN r < 30 THEN low ELSE ten || CASE WHEN r % 10 > 0 THEN ' y ' || one ELSE '' END END AS rest FROM r),
+    c AS (SELECT *, CASE WHEN n = 100 THEN 'cien' WHEN n < 100 THEN rest WHEN r = 0 THEN hundred ELSE hundred || ' ' || rest END AS said FROM w)"""
+
+
+@query(
+    "number_words",
+    SQL_WORDS + """ SELECT n, count(*) AS lines, 'eran ' || said || ', ' || regexp_replace(CASE WHEN said LIKE '%veintiuno' THEN left(said, len(said) - 3) || 'ún' WHEN said LIKE '%uno' THEN left(said, len(said) - 1) ELSE said END, '$', ' libros y ') ||
+    CASE WHEN said LIKE '%uno' THEN left(replace(said, 'ientos', 'ientas'), len(said) - 1) || 'a' ELSE replace(said, 'ientos', 'ientas') END || ' casas' AS said FROM c GROUP BY n, said""",
+)
 def number_words(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text RLIKE '[0-9]'")
-    return docs.select("doc_id", F.md5(spanish.spoken_numbers("text").cast("binary")).alias("digest"))
+    n = (F.col("l_partkey") % 1000).cast("int")
+    rows = table(spark, sf_dir, "lineitem").groupBy(n.alias("n")).agg(F.count("*").alias("lines"))
+    text = F.format_string("eran %d, %d libros y %d casas", "n", "n", "n")
+    return rows.select("n", "lines", spanish.spoken_numbers(text).alias("said"))
 
 
-@query("caps_softening")
+@query(
+    "caps_softening",
+    """WITH c AS (SELECT c_custkey, upper(split_part(n_name, '_', 1)) || CASE n_nationkey % 3 WHEN 1 THEN ' PUEBLO' WHEN 2 THEN ' DEL MAR' ELSE '' END AS n, upper(c_mktsegment) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT c_custkey, array_to_string(list_transform(string_split(n, ' '), lambda x: x[1] || lower(x[2:])), ' ') || ', ' || m[1] || lower(m[2:]) || ' IV de ' || left(n, 3) || ' y MI' AS soft FROM c""",
+)
 def caps_softening(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace(spanish.soft_capitals("text"), "[^A-Z]", "")).alias("capitals"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("n_nationkey") % 3
+    name = F.concat(F.upper(F.substring_index("n_name", "_", 1)), F.when(k == 1, " PUEBLO").when(k == 2, " DEL MAR").otherwise(""))
+    return rows.select("c_custkey", spanish.soft_capitals(F.concat(name, F.lit(", "), F.upper("c_mktsegment"), F.lit(" IV de "), F.left(name, F.lit(3)), F.lit(" y MI"))).alias("soft"))
 
 
 def heard_turns(spark, sf_dir):
