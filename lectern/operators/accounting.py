@@ -64,8 +64,17 @@ def guard_units(ledger: DataFrame, units: float, provider: str, kind: str, month
     return most - row.n - units
 
 
-def running_guard(rows: DataFrame, keys: list[str], order: list[str], usd: str, credit: float, reserve: float = RESERVE) -> DataFrame:
-    """Adds spent_before and allowed: whether each row still fits what is left, in order."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("spent_before", F.coalesce(F.sum(usd).over(upto), F.lit(0.0)))
+def running_guard(rows: DataFrame, keys: list[str], order: list[str], usd: str, credit: float, reserve: float = RESERVE, bucket: Column | None = None) -> DataFrame:
+    """Adds spent_before and allowed: whether each row still fits what is left, in order.
+
+    bucket is a value that never falls in that order, as the day of a time: then no task sorts more than the rows of one
+    bucket, or one row for each bucket.
+    """
+    lower = lambda by, value, *of: F.coalesce(F.sum(value).over(Window.partitionBy(*of).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    if bucket is None:
+        rows = rows.withColumn("spent_before", lower(order, usd, *keys))
+    else:
+        rows = rows.withColumn("_bucket", bucket)
+        sums = rows.groupBy(*keys, "_bucket").agg(F.sum(usd).alias("_sum")).withColumn("_before", lower(["_bucket"], "_sum", *keys)).drop("_sum")
+        rows = rows.join(sums, [*keys, "_bucket"]).withColumn("spent_before", F.col("_before") + lower(order, usd, *keys, "_bucket")).drop("_bucket", "_before")
     return rows.withColumn("allowed", F.col("spent_before") + F.col(usd) <= credit - reserve)

@@ -33,7 +33,7 @@ def event_month_units(spark, sf_dir):
         SELECT event_id, provider, usd, coalesce(sum(usd) OVER (PARTITION BY provider ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ({LEDGER}))""",
 )
 def budget_guard_running(spark, sf_dir):
-    rows = accounting.running_guard(ledger(spark, sf_dir), ["provider"], ["ts", "event_id"], "usd", accounting.CREDIT)
+    rows = accounting.running_guard(ledger(spark, sf_dir), ["provider"], ["ts", "event_id"], "usd", accounting.CREDIT, bucket=F.to_date("ts"))
     return rows.select("event_id", "provider", F.round("spent_before", 4).alias("spent_before"), "allowed")
 
 
