@@ -574,7 +574,6 @@ def similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, text: str, s
 def connected(edges: DataFrame) -> DataFrame:
     """(id, root) for each id in the links (a, b): root is the least id reachable. Alternating large and small stars."""
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    before = None
     while True:
         # Large star: what is above a node goes below the least of its neighbours.
         both = edges.union(edges.select("b", "a"))
@@ -585,10 +584,10 @@ def connected(edges: DataFrame) -> DataFrame:
         small = large.join(low, "b")
         small = small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b")).distinct()
         edges = written(small, "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        # Done when every node has one link down, and no node has one down and one up.
+        n, below = edges.agg(F.count("*"), F.count_distinct("b")).first()
+        if n == below and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        before = now
     return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
 
 
@@ -616,13 +615,18 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
         least = prints.groupBy("id", "fp", "other", "n", *ODD).agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "key")).alias("of"))
         least = written(least.select("id", "fp", "other", "n", *ODD, F.col("of.doc").alias("least"), F.col("of.key").alias("key")), "simhash-distinct")
         index = links(least.select("fp", "other", "id"), max_bits, spare or spare_for(least.count(), max_bits), max_both)
-        sure = written(similar(index, slim, least, "text", shingle), "simhash-similar")
+        index = written(index, "simhash-index")
         rows = written(shared(prints), "simhash-shared")
-        for pairs_of in (stars, candidates):
-            known = least.select("id", "fp", "other").join(connected(sure), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-            pairs = pairs_of(rows.join(known, "id"))
-            sure = written(sure.unionByName(similar(pairs, slim, least, "text", shingle)), "simhash-similar")
+        marks = least.select("id", "fp", "other")
+        # What the index links needs no second look between its own; that is only a hint, as its links aren't checked yet.
+        hint = index.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
+        own = rows.join(marks.join(hint, "id", "left").withColumn("label", F.coalesce("label", "id")), "id")
+        sure = written(similar(index.unionByName(stars(own)).distinct(), slim, least, "text", shingle), "simhash-similar")
         roots = connected(sure)
+        own = rows.join(marks.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root"), "id")
+        more = written(similar(candidates(own), slim, least, "text", shingle), "simhash-more")
+        if not more.isEmpty():
+            roots = connected(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(more))
     members = least.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = members.join(smallest, "root").select("id", "root", "component_id")
