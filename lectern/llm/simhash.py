@@ -34,7 +34,7 @@ SIMILAR = (4, 5)
 # Shingles with COMMON occurrences or more in a sample of about SAMPLE stand last; that decides only how many candidates there are.
 SAMPLE, COMMON = 2_000_000, 20
 PARITIES = 8
-SURE = 5.0
+SURE, UNSURE = 5.0, 6.5
 APART, FEW, SEEN = 45, 32, 1_000_000
 SLICE_BYTES = 2_000_000
 # As many blocks are spare as make a node of the index hold about NODE fingerprints on average.
@@ -423,16 +423,26 @@ def _several(batches):
         yield kept
 
 
-def may_be_similar(one: tuple, other: tuple) -> np.ndarray:
-    """Whether sets can be similar, given (n, pos, fp, other) of both: if they share those shingles at pos among the rare ones and none before.
+def may_be_similar(one: list, other: list) -> np.ndarray:
+    """Whether sets can be similar, given (n, pos, fp, other, parities) of both: if they share those shingles at pos among the rare ones and none before.
 
     Fingerprints of similar sets differ in 15 of 100 bits on average, so that those of FEW shingles and more that differ
-    in over APART of 128 bits are not of similar ones (one in 10^9 would be).
+    in over APART of 128 bits are not of similar ones (one in 10^9 would be). Parities, if given, rule out what differs in
+    more of them than in shingles it may, or than UNSURE standard deviations above what the most such shingles give.
     """
     up, down = SIMILAR
-    (m, at, x, x2), (n, pos, y, y2) = one, other
+    (m, at, x, x2, *odd), (n, pos, y, y2, *even) = one, other
     apart = differing((x ^ y).view(np.uint64)) + differing((x2 ^ y2).view(np.uint64))
-    return ((up + down) * np.minimum(m - at, n - pos) >= up * (m + n)) & ((apart <= APART) | (np.minimum(m, n) < FEW))
+    good = ((up + down) * np.minimum(m - at, n - pos) >= up * (m + n)) & ((apart <= APART) | (np.minimum(m, n) < FEW))
+    if odd:
+        some = np.flatnonzero(good)
+        z = sum(differing((a[some] ^ b[some]).view(np.uint64)) for a, b in zip(odd, even))
+        s, k = (m + n)[some], 64 * PARITIES
+        most = s * (down - up) // (down + up)
+        one_, two = (1 - 2 / k) ** most, (1 - 4 / k) ** most
+        spread_ = np.sqrt(np.maximum(0.0, k + k * (k - 1) * two - k * k * one_ * one_)) / 2
+        good[some] = (z <= most) & (z <= k * (1 - one_) / 2 + UNSURE * spread_ + 1)
+    return good
 
 
 PAIR = "h", "label", "id", "n", "pos", "fp", "other"
@@ -464,11 +474,11 @@ def stars(rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of ids of different labels, among them all whose sets of shingles are similar by SIMILAR.
 
-    rows are those of shared() with labels and fingerprints. Two similar sets have at least SIMILAR of the greater in
+    rows are those of shared() with labels, fingerprints and parities. Two similar sets have at least SIMILAR of the greater in
     common, so that the first of what they share, in any order that is the same for all, is among the rare of both; and
     behind it enough must follow in both.
     """
-    return rows.select(*PAIR).repartition("h").sortWithinPartitions("h").mapInArrow(_sharing, "a bigint, b bigint").distinct()
+    return rows.select(*PAIR, *ODD).repartition("h").sortWithinPartitions("h").mapInArrow(_sharing, "a bigint, b bigint").distinct()
 
 
 def _sharing(batches):
@@ -623,6 +633,7 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
         own = rows.join(marks.join(hint, "id", "left").withColumn("label", F.coalesce("label", "id")), "id")
         sure = written(similar(index.unionByName(stars(own)).distinct(), slim, least, "text", shingle), "simhash-similar")
         roots = connected(sure)
+        marks = least.select("id", "fp", "other", *ODD)
         own = rows.join(marks.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root"), "id")
         more = written(similar(candidates(own), slim, least, "text", shingle), "simhash-more")
         if not more.isEmpty():
