@@ -79,9 +79,27 @@ def heard_turns(spark, sf_dir):
     return turns.withColumn("heard", heard)
 
 
-@query("benchmark_align")
+def apart(said, heard="heard"):
+    """said with each word told apart by its place, and what is heard of it: every eleventh left out, every seventeenth changed."""
+    own = F.transform(said, lambda w, i: F.concat_ws("_", w, i))
+    kept = F.filter(F.transform(own, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["i"] % 11 != 10)
+    return own.alias("said"), F.transform(kept, lambda x: F.when(x["i"] % 17 == 16, F.concat(F.lit("changed"), x["w"])).otherwise(x["w"])).alias(heard)
+
+
+# Words of a text in SQL, with what is left out and changed.
+SQL_WORDS_OF = "list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '')"
+SQL_FAULTS = "len(list_filter(range(len(w)), lambda i: i % 11 = 10)) AS o, len(list_filter(range(len(w)), lambda i: i % 17 = 16 AND i % 11 <> 10)) AS c"
+
+
+@query(
+    "benchmark_align",
+    f"""SELECT item_id, c::INTEGER AS substitutions, o::INTEGER AS omissions, 0 AS insertions, (o > 0)::INTEGER AS omission_run, 0 AS insertion_run, round((o + c) / greatest(1, n), 4) AS wer, (o + c) / greatest(1, n) > 0.25 AS flagged
+    FROM (SELECT item_id, len(w) AS n, {SQL_FAULTS} FROM (SELECT item_id, {SQL_WORDS_OF} AS w FROM benchmark))""",
+)
 def benchmark_align(spark, sf_dir):
-    return alignment.verified(heard_turns(spark, sf_dir)).select("conv_id", "turn", "substitutions", "omissions", "insertions", "omission_run", "insertion_run", "wer", "flagged")
+    said = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    items = table(spark, sf_dir, "benchmark").select("item_id", said.alias("words")).select("item_id", *apart(F.col("words")))
+    return alignment.verified(items).select("item_id", "substitutions", "omissions", "insertions", "omission_run", "insertion_run", "wer", "flagged")
 
 
 @query(
@@ -92,14 +110,22 @@ def benchmark_align(spark, sf_dir):
 )
 def wer_by_doc(spark, sf_dir):
     """Turns whose words are told apart by their places, so that what was left out and changed is known."""
-    turns = heard_turns(spark, sf_dir).withColumn("said", F.transform("said", lambda w, i: F.concat_ws("_", w, i)))
-    heard = F.transform(F.filter(F.transform("said", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["i"] % 11 != 10), lambda x: F.when(x["i"] % 17 == 16, F.concat(F.lit("changed"), x["w"])).otherwise(x["w"]))
-    return alignment.verified(turns.withColumn("heard", heard)).select("conv_id", "turn", "substitutions", "omissions", "wer", "flagged")
+    turns = heard_turns(spark, sf_dir).select("conv_id", "turn", *apart(F.col("said")))
+    return alignment.verified(turns).select("conv_id", "turn", "substitutions", "omissions", "wer", "flagged")
 
 
-@query("turn_verse_times")
+@query(
+    "turn_verse_times",
+    f"""WITH w AS (SELECT conv_id, turn, w, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS x FROM (SELECT conv_id, turn, {SQL_WORDS_OF} AS w FROM conversations)),
+    h AS (SELECT conv_id, turn, n, i, i % 17 <> 16 AS same, 0.12 + 0.05 * (len(x || '_' || i) + CASE WHEN i % 17 = 16 THEN 7 ELSE 0 END) AS took FROM w WHERE i % 11 <> 10),
+    t AS (SELECT *, 0.2 + coalesce(sum(took + 0.06) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM h),
+    s AS (SELECT conv_id, turn, max(round(start + took, 3)) AS seconds FROM t GROUP BY ALL),
+    v AS (SELECT w.conv_id, w.turn, n, i AS token, i // 8 AS place, (i // 8) % 5 AS label FROM w WHERE i % 8 = 0)
+    SELECT v.conv_id, v.turn, place::INTEGER AS place, label || CASE WHEN place >= 5 THEN '#' || (place // 5 + 1) ELSE '' END AS verse,
+    round(coalesce((SELECT round(arg_min(start, i), 3) FROM t WHERE t.conv_id = v.conv_id AND t.turn = v.turn AND same AND i >= token), seconds * token / n), 3) AS time FROM v JOIN s ON s.conv_id = v.conv_id AND s.turn = v.turn""",
+)
 def turn_verse_times(spark, sf_dir):
-    turns = heard_turns(spark, sf_dir)
+    turns = heard_turns(spark, sf_dir).select("conv_id", "turn", *apart(F.col("said")))
     times = timing.word_times(turns, ["conv_id", "turn"], "heard").groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "start"))), lambda x: x["start"]).alias("heard_starts"), F.max("end").alias("seconds"))
     verses = F.transform(F.sequence(F.lit(0), F.greatest(F.size("said") - 1, F.lit(0)), F.lit(8)), lambda i: F.struct((i / 8 % 5).cast("int").cast("string").alias("verse"), i.cast("int").alias("token")))
     return alignment.verse_times(alignment.verified(turns.join(times, ["conv_id", "turn"])).withColumn("verses", verses), ["conv_id", "turn"])
@@ -152,14 +178,36 @@ def first_short_run(spark, sf_dir):
     return inference.first_short_run(blocks, ["doc_id"], "line")
 
 
-@query("signature_candidates")
+@query(
+    "signature_candidates",
+    # The longest rising run of 2 to 7 is that of the first 2, the first 3 after it and so on; where it breaks off the row has none.
+    """WITH r AS (SELECT l_suppkey % 20 AS book, CASE WHEN l_linenumber = 1 THEN 'h2' ELSE 'sup' END AS signature, l_linenumber AS v,
+      row_number() OVER (PARTITION BY l_suppkey % 20, l_linenumber = 1 ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) AS p FROM lineitem),
+    s AS (SELECT *, lag(v) OVER (PARTITION BY book, signature ORDER BY p) AS b FROM r),
+    l AS (SELECT book, signature, count(*) AS n, CASE WHEN count(*) >= 5 THEN avg(CASE WHEN b IS NULL THEN NULL WHEN v - b IN (0, 1) OR v IN (1, 2) THEN 1.0 WHEN v - b = 2 THEN 0.5 ELSE 0.0 END) ELSE 0 END AS verse_likeness FROM s GROUP BY ALL),
+    c2 AS (SELECT book, min(p) AS p FROM r WHERE signature = 'sup' AND v = 2 GROUP BY book),
+    c3 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c2 c ON c.book = r.book WHERE signature = 'sup' AND v = 3 AND r.p > c.p GROUP BY r.book),
+    c4 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c3 c ON c.book = r.book WHERE signature = 'sup' AND v = 4 AND r.p > c.p GROUP BY r.book),
+    c5 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c4 c ON c.book = r.book WHERE signature = 'sup' AND v = 5 AND r.p > c.p GROUP BY r.book),
+    c6 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c5 c ON c.book = r.book WHERE signature = 'sup' AND v = 6 AND r.p > c.p GROUP BY r.book),
+    c7 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c6 c ON c.book = r.book WHERE signature = 'sup' AND v = 7 AND r.p > c.p GROUP BY r.book)
+    SELECT l.book, l.signature, n, verse_likeness, CASE WHEN l.signature = 'h2' THEN 1 / 7 WHEN c7.p IS NOT NULL THEN 6 / 7 END AS chapter_likeness FROM l LEFT JOIN c7 ON c7.book = l.book""",
+)
 def signature_candidates(spark, sf_dir):
     """Line numbers of orders as marks of two signatures, as verses and chapters of a book would be."""
     marks = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("book"), F.when(F.col("l_linenumber") == 1, "h2").otherwise("sup").alias("signature"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice").alias("position"), F.col("l_linenumber").alias("value"), F.lit(7).alias("expected"))
     return inference.candidates(marks, ["book"], "expected")
 
 
-@query("gap_reasons")
+@query(
+    "gap_reasons",
+    """WITH v AS (SELECT l_orderkey, l_linenumber AS n, sum((l_quantity * 10)::INTEGER) AS len FROM lineitem GROUP BY ALL),
+    m AS (SELECT l_orderkey, median(len) AS mid, max(n) AS upto FROM v GROUP BY l_orderkey),
+    g AS (SELECT l_orderkey, unnest(range(1, upto + 1)) AS n FROM m EXCEPT SELECT l_orderkey, n FROM v),
+    s AS (SELECT l_orderkey, min(n) AS first, max(n) AS last, count(*) AS k FROM (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS r FROM g) GROUP BY l_orderkey, r)
+    SELECT s.l_orderkey, first::INTEGER AS first, last::INTEGER AS last, k AS n, CASE WHEN len / greatest(mid, 1) >= k + 1 AND len >= 150 THEN 'number lost' WHEN len / greatest(mid, 1) >= 1 + 0.4 * k THEN 'unclear' ELSE 'not in this edition' END AS reason
+    FROM s JOIN m ON m.l_orderkey = s.l_orderkey LEFT JOIN v ON v.l_orderkey = s.l_orderkey AND v.n = s.first - 1""",
+)
 def gap_reasons(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("verse"), F.repeat(F.lit("x"), (F.col("l_quantity") * 10).cast("int")).alias("text"))
     return sequences.gap_reasons(rows, ["l_orderkey"], ["verse"], "verse", "text")
