@@ -36,9 +36,9 @@ from .common import in_worker, text_slices
 
 SPACE = "▁"
 N_BEST = 4
-KNOWN, KEPT = 300_000, 150_000
+KNOWN, KEPT = 400_000, 250_000
 AT_ONCE = 200_000
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 2_000_000
 UNKNOWN_LOSS = 10.0
 # Longer chunks are searched one by one.
 LONG = 4096
