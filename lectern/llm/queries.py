@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import sql
 from .backoff_lm import op8_scores
 from .common import table
+from .conversation_trie import op11_trie
 from .decontamination import op3_decontaminate
+from .merkle import op13_merkle
+from .nearest import op12_nearest
 from .pieces import op10_pieces
 from .quality import op2_quality
 from .secret_scan import op6_secret_scan
@@ -57,10 +61,24 @@ def op10_sentencepiece_nbest(spark, sf_dir):
     return op10_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op4_huffman_token_files, op5_stratified_shards, op6_multipart_secrets, op7_sentence_spans, op8_backoff_scores, op9_warc_archives, op10_sentencepiece_nbest)}
+def op11_conversation_trie(spark, sf_dir):
+    return op11_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_projection_forest(spark, sf_dir):
+    return op12_nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_proofs(spark, sf_dir):
+    return op13_merkle(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_tokeniser_fertility, op3_benchmark_decontamination, op4_huffman_token_files, op5_stratified_shards, op6_multipart_secrets, op7_sentence_spans, op8_backoff_scores, op9_warc_archives, op10_sentencepiece_nbest, op11_conversation_trie, op12_projection_forest, op13_merkle_proofs)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
+    "op11_conversation_trie": sql.TRIE,
+    "op13_merkle_proofs": sql.MERKLE,
     "op9_warc_archives": """
 SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
        CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
