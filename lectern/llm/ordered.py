@@ -22,7 +22,7 @@ def ranked(df: DataFrame, order: list[str], within: list[str] | None = None, ran
     here = df.repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_first() for c in order])
     here = written(here.withColumn("_x_id", F.monotonically_increasing_id()), "ranked")
     # The id is the number of the partition and the place in it.
-    here = here.withColumns({"_x_part": F.shiftright("_x_id", 33), "_x_place": F.col("_x_id").bitwiseAND(F.lit(PLACE))})
-    starts = before(here, keys, "_x_part").join(here.groupBy(*keys, "_x_part").agg(F.min("_x_place").alias("_x_first")), [*keys, "_x_part"])
-    out = here.join(starts, [*keys, "_x_part"]).withColumn(rank, F.col("_x_place") - F.col("_x_first") + F.col("_x_before"))
-    return out.drop("_x_id", "_x_part", "_x_place", "_x_first", "_x_before")
+    here = here.withColumns({"_x_range": F.shiftright("_x_id", 33), "_x_place": F.col("_x_id").bitwiseAND(F.lit(PLACE))})
+    starts = before(here, keys, "_x_range").join(here.groupBy(*keys, "_x_range").agg(F.min("_x_place").alias("_x_first")), [*keys, "_x_range"])
+    out = here.join(starts, [*keys, "_x_range"]).withColumn(rank, F.col("_x_place") - F.col("_x_first") + F.col("_x_before"))
+    return out.drop("_x_id", "_x_range", "_x_place", "_x_first", "_x_before")

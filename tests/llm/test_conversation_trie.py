@@ -55,7 +55,7 @@ def test_equals_brute_force_and_sql_over_a_table(spark, sf):
     assert Counter(map(tuple, con.execute(sql.TRIE).fetchall())) == got
 
 
-def test_copies_prefixes_and_openings_across_families(spark):
+def test_copies_prefixes_and_openings_across_families(spark, many_ranges):
     said = [("user", f"word {i} and more") for i in range(9)]
     rows = []
     for conv in range(130):

@@ -63,7 +63,7 @@ def found(df, fan=16):
     return [tuple(r)[:7] for r in merkle.op13_merkle(df, fan).collect()]
 
 
-def test_equals_brute_force_over_a_table(spark, sf):
+def test_equals_brute_force_over_a_table(spark, many_ranges, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = found(docs)
     assert Counter(got) == Counter(brute([r.asDict() for r in docs.collect()]))
