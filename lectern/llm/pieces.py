@@ -111,7 +111,7 @@ class Lattice:
         # edges, each exactly nothing where Viterbi's best goes. Of equal losses that nearest to the beginning is first,
         # so that a best way is gone straight through. The n best go over no node more than n times.
         agenda, back, edge = [(0.0, len(chunk), 0)], array("q", [-1]), array("q", [-1])
-        left = bytearray([min(n, 255)]) * (len(chunk) + 1)
+        left = array("q", [n]) * (len(chunk) + 1)
         out: list[Way] = []
         while agenda and len(out) < n:
             lost, at, way = heapq.heappop(agenda)
@@ -251,7 +251,7 @@ class Lattice:
         return out
 
     def decode(self, ids) -> str:
-        """The text of ids, without the space mark that encoding puts before it."""
+        """The text of ids, without the space mark that encoding puts before it. A text's own U+2581 comes back as a space: pieces don't tell them apart."""
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 

@@ -208,3 +208,11 @@ def test_checksums_are_those_of_the_alternatives(spark):
     for r in ps.encoded(df, PATH, with_alternatives=True).collect():
         assert r.best_crc32 == [zlib.crc32(np.array(a, "<u4").tobytes()) for a in r.alternatives]
         assert len(r.best_crc32) == len(r.best_scores)
+
+
+@pytest.mark.parametrize("n", [300, 1000])
+def test_as_many_ways_as_asked_for(lattice, n):
+    want = every_way(lattice, "▁internationally")
+    ways = lattice.best("▁internationally", n)
+    assert len(want) > n and len(ways) == n and len({ids for _, ids in ways}) == n
+    assert [s for s, _ in ways] == pytest.approx([s for s, _ in want[:n]])
