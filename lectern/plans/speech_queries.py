@@ -114,6 +114,60 @@ def wer_by_doc(spark, sf_dir):
     return alignment.verified(turns).select("conv_id", "turn", "substitutions", "omissions", "wer", "flagged")
 
 
+def reheard(words):
+    """What is heard of words: every eleventh not, every seventeenth as the word before it, and two words again after every 23rd."""
+    at = lambda i: F.get(words, i)
+    one = lambda w, i: F.when(i % 11 == 10, F.array().cast("array<string>")).when(i % 17 == 16, F.array(at(i - 1))).when(i % 23 == 22, F.array(w, at(i - 2), at(i - 1))).otherwise(F.array(w))
+    return F.flatten(F.transform(words, one))
+
+
+@query(
+    "document_error_rates",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, {SQL_WORDS_OF} AS w FROM documents),
+    c AS (SELECT doc_id, k, w[100 * k + 1:100 * k + 100] AS s FROM (SELECT doc_id, w, unnest(range((len(w) + 99) // 100)) AS k FROM d)),
+    h AS MATERIALIZED (SELECT *, flatten(list_transform(range(len(s)), lambda i: CASE WHEN i % 11 = 10 THEN [] WHEN i % 17 = 16 THEN [s[i]] WHEN i % 23 = 22 THEN [s[i + 1], s[i - 1], s[i]] ELSE [s[i + 1]] END)) AS h FROM c),
+    p AS (SELECT x.doc_id, x.k, i, j FROM (SELECT doc_id, k, unnest(range(len(s))) AS i, unnest(s) AS w FROM h) x JOIN (SELECT doc_id, k, unnest(range(len(h))) AS j, unnest(h) AS w FROM h) y USING (doc_id, k, w)),
+    r AS MATERIALIZED (SELECT doc_id, k, min(i) AS i, min(j) AS j, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, k, i - j ORDER BY i) AS g FROM p) GROUP BY doc_id, k, i - j, g),
+    q AS (
+      SELECT doc_id, k, 0::BIGINT AS a, len(s)::BIGINT AS b, 0::BIGINT AS c, len(h)::BIGINT AS e, false AS done FROM h
+      UNION ALL
+      SELECT doc_id, k, CASE side WHEN 1 THEN t.i + t.n ELSE a END, CASE side WHEN 0 THEN t.i ELSE b END, CASE side WHEN 1 THEN t.j + t.n ELSE c END, CASE side WHEN 0 THEN t.j ELSE e END, side = 2
+      FROM (SELECT q.doc_id, q.k, a, b, c, e, min({{'o': -(least(i + n, b, e + i - j) - greatest(i, a, c + i - j)), 'i': greatest(i, a, c + i - j), 'j': greatest(i, a, c + i - j) - i + j, 'n': least(i + n, b, e + i - j) - greatest(i, a, c + i - j)}})
+                   FILTER (least(i + n, b, e + i - j) > greatest(i, a, c + i - j)) AS t
+            FROM q LEFT JOIN r ON r.doc_id = q.doc_id AND r.k = q.k WHERE NOT done GROUP BY q.doc_id, q.k, a, b, c, e) z, (SELECT unnest([0, 1, 2]) AS side) sides
+      WHERE (t IS NOT NULL AND side < 2) OR (t IS NULL AND side = 2))
+    SELECT doc_id, count(DISTINCT k)::INTEGER AS chunks, sum(least(b - a, e - c))::BIGINT AS substitutions, sum(greatest(b - a - e + c, 0))::BIGINT AS omissions, sum(greatest(e - c - b + a, 0))::BIGINT AS insertions,
+           max(greatest(b - a - e + c, 0))::INTEGER AS omission_run, max(greatest(e - c - b + a, 0))::INTEGER AS insertion_run, any_value(n_words) AS n_words,
+           round(sum(greatest(b - a, e - c)) / any_value(n_words), 4) AS wer
+    FROM q JOIN (SELECT doc_id, len(w)::BIGINT AS n_words FROM d) USING (doc_id) WHERE done GROUP BY doc_id""",
+)
+def document_error_rates(spark, sf_dir):
+    """Documents aligned with what is heard of them, 100 words at a time, words as often as they come: faults and rates by document."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") > 0)
+    chunks = docs.select("doc_id", F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 100).cast("int")), lambda k: F.slice("w", k * 100 + 1, 100)).alias("all"))
+    said = chunks.select("doc_id", F.explode("all").alias("said"))
+    rows = alignment.counted(said.withColumn("heard", reheard(F.col("said"))))
+    rates = rows.groupBy("doc_id").agg(
+        F.count("*").cast("int").alias("chunks"), *[F.sum(c).alias(c) for c in ("substitutions", "omissions", "insertions")],
+        *[F.max(c).alias(c) for c in ("omission_run", "insertion_run")], F.sum(F.size("said")).alias("n_words"),
+    )
+    return rates.withColumn("wer", F.round((F.col("substitutions") + F.col("omissions") + F.col("insertions")) / F.col("n_words"), 4))
+
+
+@query(
+    "document_stretches",
+    f"""SELECT doc_id, n::BIGINT AS n_said, (n - o)::BIGINT AS n_heard, c::BIGINT AS substitutions, o::BIGINT AS omissions, 0::BIGINT AS insertions, (o > 0)::INTEGER AS omission_run, 0 AS insertion_run, round((o + c) / greatest(1, n), 4) AS wer, (o + c) / greatest(1, n) > 0.25 AS flagged
+    FROM (SELECT doc_id, len(w) AS n, {SQL_FAULTS} FROM (SELECT doc_id, {SQL_WORDS_OF} AS w FROM documents))""",
+)
+def document_stretches(spark, sf_dir):
+    """Whole documents of any length against what is heard of them, in stretches of about 200 words that different tasks align."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).select("doc_id", *apart(F.col("words")))
+    found = alignment.verified_whole(docs, ["doc_id"], most=200)
+    return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_said", "n_heard", "substitutions", "omissions", "insertions")], "omission_run", "insertion_run", "wer", "flagged")
+
+
 @query(
     "turn_verse_times",
     f"""WITH w AS (SELECT conv_id, turn, w, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS x FROM (SELECT conv_id, turn, {SQL_WORDS_OF} AS w FROM conversations)),
