@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def json_text(text: Column) -> Column:
+    """A text as JSON has it, letters of all scripts as they are and control characters in lower-case digits."""
+    for special in ["\\", '"', *map(chr, range(32))]:
+        text = F.replace(text, F.lit(special), F.lit(json.dumps(special)[1:-1]))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
 def cache_key(signature: Column, text: Column, variant: Column) -> Column:
-    """The first 32 hex digits of the hash of the JSON of all three, keys sorted."""
-    quoted = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
-    said = F.concat(F.lit('{"firma": "'), quoted(signature), F.lit('", "texto": "'), quoted(text), F.lit('", "variante": '), variant.cast("string"), F.lit("}"))
+    """The first 32 hex digits of the hash of the JSON of all three, keys sorted. A null part makes a null key."""
+    said = F.concat(F.lit('{"firma": '), json_text(signature), F.lit(', "texto": '), json_text(text), F.lit(', "variante": '), variant.cast("string"), F.lit("}"))
     return F.substring(F.sha2(said.cast("binary"), 256), 1, 32)
 
 
@@ -36,11 +44,12 @@ def upsert_actions(new: DataFrame, there: DataFrame, prints: DataFrame, key: lis
 
 
 def upserted(new: DataFrame, there: DataFrame, prints: DataFrame, key: list[str], text: str = "text", force: bool = False) -> DataFrame:
-    """(key, text, fingerprint, action): the content after the upsert; its fingerprint is null where it was kept as edited."""
+    """(key, text, fingerprint, action): the content after the upsert. What isn't written keeps the fingerprint that it has."""
     actions = upsert_actions(new, there, prints, key, text, force)
     both = actions.join(new.select(*key, F.col(text).alias("_new")), key, "left").join(there.select(*key, F.col(text).alias("_old")), key, "left")
-    content = F.when(F.col("action").isin("write", "overwrite", "same"), F.col("_new")).otherwise(F.col("_old"))
-    return both.select(*key, content.alias(text), F.when(F.col("action").isin("write", "overwrite", "same"), fingerprint(content)).alias("fingerprint"), "action")
+    both = both.join(prints.select(*key, F.col("fingerprint").alias("_print")), key, "left")
+    taken = F.col("action").isin("write", "overwrite", "same")
+    return both.select(*key, F.when(taken, F.col("_new")).otherwise(F.col("_old")).alias(text), F.when(taken, fingerprint(F.col("_new"))).otherwise(F.col("_print")).alias("fingerprint"), "action")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -4,24 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TITLES, DISCARDED = 60, 40
 
 
-def content_key(*parts: Column) -> Column:
-    """The address of a piece of work: the first 32 digits of the SHA-256 of its parts as JSON."""
-    return F.substring(F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256), 1, 32)
-
-
 def cached(new: DataFrame, path: str, key: str = "key") -> DataFrame:
-    """Appends the rows whose key isn't at the path yet to it, in folders by the first two digits of the key; returns those rows.
+    """Appends the rows whose key isn't at the path yet to it, in folders by the first two digits of the key and by run; returns those rows.
 
-    A key is written once, whatever the rows repeat. The path may not exist yet.
+    A key is written once; of several rows with it the least as JSON. The path may not exist yet.
     """
     spark, run = new.sparkSession, uuid.uuid4().hex
-    rows = new.dropDuplicates([key]).withColumns({"run": F.lit(run), "shard": F.substring(key, 1, 2)})
+    line = Window.partitionBy(key).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in new.columns])))
+    rows = new.withColumn("_n", F.row_number().over(line)).where("_n = 1").drop("_n").withColumns({"run": F.lit(run), "shard": F.substring(key, 1, 2)})
     try:
         old = spark.read.schema(rows.schema).parquet(path).select(key)
         old.isEmpty()
@@ -29,7 +25,7 @@ def cached(new: DataFrame, path: str, key: str = "key") -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = spark.createDataFrame([], f"{key} string")
-    rows.join(old, key, "left_anti").write.mode("append").partitionBy("shard").parquet(path)
+    rows.join(old, key, "left_anti").write.mode("append").partitionBy("shard", "run").parquet(path)
     return spark.read.schema(rows.schema).parquet(path).where(F.col("run") == run).select(*new.columns)
 
 

@@ -1,4 +1,4 @@
-"""The ledger as a stream: monthly totals, work done at most once, and upserts by batch."""
+"""The ledger as a stream: monthly totals, and work done at most once."""
 
 from __future__ import annotations
 
@@ -39,27 +39,3 @@ def hourly_windows(ledger: DataFrame, late: str = "2 hours", length: str = "1 ho
 def once(work: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
     """Each key of a stream of work once within the watermark."""
     return work.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
-
-
-def upsert_into(path: str, key: list[str], text: str = "text"):
-    """A foreachBatch function that brings a table of (key, text, fingerprint) in versions of path up to date.
-
-    A batch is written as a version of its own; a version that is there already is that of a batch that ran before.
-    """
-    from lectern.operators.content import upserted
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = lambda n: system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS"))
-        if done(number):
-            return
-        before = number - 1
-        kinds = ", ".join(f"`{k}` {batch.schema[k].dataType.simpleString()}" for k in key)
-        schema = f"{kinds}, `{text}` string, fingerprint string"
-        there = spark.read.schema(schema).parquet(f"{path}/version={before}") if done(before) else spark.createDataFrame([], schema)
-        now = upserted(batch.dropDuplicates(key), there, there.select(*key, "fingerprint"), key, text)
-        now.drop("action").write.mode("overwrite").parquet(f"{path}/version={number}")
-
-    return run

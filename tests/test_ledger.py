@@ -37,15 +37,3 @@ def test_work_is_done_once(spark, tmp_path):
     ledger.append(rows(spark, [0, 0, 0, 1]), path)
     run(ledger.once(ledger.read(spark, path), "ref", "ts", "3 days"), tmp_path, "once", "append")
     assert sorted(r.ref for r in spark.table("once").collect()) == ["r0", "r1"]
-
-
-def test_batches_are_versions(spark, tmp_path):
-    path = str(tmp_path / "table")
-    upsert = ledger.upsert_into(path, ["id"])
-    schema = "id int, text string"
-    upsert(spark.createDataFrame([(1, "a"), (2, "b")], schema), 0)
-    upsert(spark.createDataFrame([(2, "c"), (3, "d")], schema), 1)
-    # A batch that runs again changes nothing.
-    upsert(spark.createDataFrame([(2, "other")], schema), 1)
-    got = {r.id: r.text for r in spark.read.parquet(f"{path}/version=1").collect()}
-    assert got == {1: "a", 2: "c", 3: "d"}
