@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +57,10 @@ def order_faults(df: DataFrame, keys: list[str], order: list[str], value: str) -
 
 
 def verse_likeness(df: DataFrame, keys: list[str], order: list[str], value: str, least: int = 5) -> DataFrame:
-    """(keys, n, likeness): the share of steps that verse numbers make: to the same, the next, or again 1 or 2; over one, half."""
+    """(keys, n, likeness): the share of steps that verse numbers make: to the same, the next, or back to 1 or 2; over one, half."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    step = F.when((F.col(value) - before).isin(0, 1) | F.col(value).isin(1, 2), 1.0).when(F.col(value) - before == 2, 0.5).otherwise(0.0)
+    back = F.col(value).isin(1, 2) & (before >= F.col(value))
+    step = F.when((F.col(value) - before).isin(0, 1) | back, 1.0).when(F.col(value) - before == 2, 0.5).otherwise(0.0)
     scored = df.withColumn("_step", F.when(before.isNotNull(), step))
     return scored.groupBy(*keys).agg(F.count(value).alias("n"), F.when(F.count(value) >= least, F.avg("_step")).otherwise(0.0).alias("likeness"))
 
@@ -74,9 +77,6 @@ def rising(df: DataFrame, keys: list[str], order: list[str], value: str) -> Data
 
     Rows come sorted, and of a group only the least last value for each length is kept, never its rows.
     """
-    import numpy as np
-    import pyarrow as pa
-
     rows = df.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("long").alias("_v")).where("_v IS NOT NULL")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{i}" for i in range(len(order))]).select(*keys, "_v")
 
@@ -120,13 +120,118 @@ def rising(df: DataFrame, keys: list[str], order: list[str], value: str) -> Data
     return rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields], "rising int"]))
 
 
+class Tails:
+    """Of a stretch of a sequence of numbers from 1 to most: the least last number of a rising run of each length over each start.
+
+    Row a has runs of numbers over a; column l those of l numbers, most + 1 where there is none. Tails of two stretches
+    after each other join to those of both, so that a long sequence can be summed up in parts.
+    """
+
+    def __init__(self, most: int, at: np.ndarray | None = None):
+        self.most = most
+        self.at = np.full((most + 2, most + 1), most + 1, np.int32) if at is None else at
+        if at is None:
+            self.at[:, 0] = np.arange(most + 2)
+
+    def add(self, value: int) -> None:
+        own = self.at[:value]
+        length = (own < value).sum(axis=1)
+        own[np.arange(value), length] = value
+
+    def then(self, later: Tails) -> Tails:
+        out = np.full_like(self.at, self.most + 1)
+        for length in range(self.most + 1):
+            out[:, length:] = np.minimum(out[:, length:], later.at[self.at[:, length]][:, : self.most + 1 - length])
+        return Tails(self.most, out)
+
+    def longest(self) -> int:
+        return int((self.at[0] <= self.most).sum()) - 1
+
+
+#: Numbers of a group that are held before they are summed up.
+HELD = 1 << 16
+
+
+def rising_within(df: DataFrame, keys: list[str], order: list[str], value: str, most: str) -> DataFrame:
+    """(keys, rising): the length of the longest strictly increasing subsequence of the values from 1 to most, a column that a group has one value of.
+
+    Rows are dealt by ranges of keys and order, so that a long group is many tasks' work; what its parts emit are Tails,
+    which are joined in the order of the parts.
+    """
+    import pandas as pd
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ordered = [*keys, *[f"_o{i}" for i in range(len(order))]]
+    rows = df.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("int").alias("_v"), F.col(most).cast("int").alias("_m")).where("_v BETWEEN 1 AND _m")
+    rows = rows.repartitionByRange(*ordered).sortWithinPartitions(*ordered).select(*keys, "_v", "_m")
+    kinds = rows.select(*keys).schema
+    names = [*keys, "part", "rising", "most", "tails"]
+    types = [to_arrow_type(f.dataType) for f in kinds.fields] + [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches):
+        part, done = TaskContext.get().partitionId(), []
+        of, tops, held, tails, edge = None, 0, [], None, True
+
+        def summed(tails, held):
+            tails = tails or Tails(tops)
+            for v in held:
+                tails.add(v)
+            return tails
+
+        def closed(edge):
+            if edge or tails is not None:
+                done.append((*of, part, None, tops, summed(tails, held).at.tobytes()))
+            else:
+                ends: list[int] = []
+                for v in held:
+                    at = bisect_left(ends, v)
+                    ends[at : at + 1] = [v]
+                done.append((*of, part, len(ends), tops, None))
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, v, m in zip(*columns):
+                if key != of:
+                    if of is not None:
+                        closed(edge)
+                        edge = False
+                    of, tops, held, tails = key, m, [], None
+                held.append(v)
+                if len(held) >= HELD:
+                    tails, held = summed(tails, held), []
+            if len(done) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done), types)], names=names)
+                done = []
+        if of is not None:
+            closed(True)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done), types)], names=names)
+
+    parts = rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields], "part bigint, rising int, most int, tails binary"]))
+
+    def joined(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("part")
+        tails = [Tails(m, np.frombuffer(t, np.int32).reshape(m + 2, m + 1)) for m, t in zip(own["most"], own["tails"])]
+        whole = tails[0]
+        for t in tails[1:]:
+            whole = whole.then(t)
+        return own.head(1)[keys].assign(rising=whole.longest())
+
+    edges = parts.where("tails IS NOT NULL").groupBy(*keys).applyInPandas(joined, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields], "rising int"]))
+    return parts.where("tails IS NULL").select(*keys, "rising").unionByName(edges)
+
+
 def chapter_likeness(df: DataFrame, keys: list[str], order: list[str], value: str, expected: str) -> DataFrame:
-    """(keys, likeness): rising numbers among 1 to expected over expected; none where more than max(3, expected / 4) are outside."""
-    inside = df.where(F.col(value).between(1, F.col(expected)))
-    noise = df.groupBy(*keys).agg(F.max(expected).alias("_n"), F.count_if(~F.col(value).between(1, F.col(expected))).alias("_noise"))
-    up = rising(inside, keys, order, value)
-    score = F.when(F.col("_noise") > F.greatest(F.lit(3), F.floor(F.col("_n") / 4)), 0.0).otherwise(F.coalesce(F.col("rising"), F.lit(0)) / F.col("_n"))
-    return noise.join(up, keys, "left").select(*keys, score.alias("likeness"))
+    """(keys, likeness): the longest rising run of numbers from 1 to expected over expected, the number of chapters.
+
+    None for a book of one chapter, and where more than max(3, expected / 4) marks are not in that run.
+    """
+    every = df.groupBy(*keys).agg(F.max(expected).alias("_n"), F.count(value).alias("_marks"))
+    up = rising_within(df, keys, order, value, expected)
+    rising_ = F.coalesce(F.col("rising"), F.lit(0))
+    none = (F.col("_n") <= 1) | (F.col("_marks") - rising_ > F.greatest(F.lit(3), F.floor(F.col("_n") / 4)))
+    return every.join(up, keys, "left").select(*keys, F.when(none, 0.0).otherwise(rising_ / F.col("_n")).alias("likeness"))
 
 
 def unique_labels(df: DataFrame, keys: list[str], order: list[str], label: str, out: str = "key") -> DataFrame:

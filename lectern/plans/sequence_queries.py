@@ -37,7 +37,7 @@ def lines(spark, sf_dir):
     f"""WITH x AS (SELECT l_orderkey, pos, l_linenumber AS v, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY pos) AS b FROM ({LINES})),
     c AS (SELECT l_orderkey, count(*) FILTER (WHERE v > b + 1) AS jumps, count(*) FILTER (WHERE v < b) AS restarts, count(*) FILTER (WHERE v < b) AS reversals,
           count(v) - count(DISTINCT v) AS repeated, count(v) AS n,
-          avg(CASE WHEN b IS NULL THEN NULL WHEN v - b IN (0, 1) OR v IN (1, 2) THEN 1.0 WHEN v - b = 2 THEN 0.5 ELSE 0.0 END) AS a FROM x GROUP BY l_orderkey)
+          avg(CASE WHEN b IS NULL THEN NULL WHEN v - b IN (0, 1) OR (v IN (1, 2) AND b >= v) THEN 1.0 WHEN v - b = 2 THEN 0.5 ELSE 0.0 END) AS a FROM x GROUP BY l_orderkey)
     SELECT l_orderkey, jumps, restarts, reversals, repeated, n, CASE WHEN n >= 5 THEN a ELSE 0.0 END AS likeness FROM c""",
 )
 def line_sequence_quality(spark, sf_dir):
@@ -91,7 +91,7 @@ def line_lis(spark, sf_dir):
     f"""WITH RECURSIVE x AS (SELECT l_orderkey AS k, pos, l_linenumber AS v FROM ({LINES})), e AS (SELECT k, v, pos FROM x WHERE v BETWEEN 1 AND 5),
     r AS (SELECT k, pos, v, 1 AS n FROM e UNION SELECT e.k, e.pos, e.v, r.n + 1 FROM r JOIN e ON e.k = r.k AND e.pos > r.pos AND e.v > r.v),
     t AS (SELECT k, max(n) AS up FROM r GROUP BY k)
-    SELECT x.k AS l_orderkey, CASE WHEN count(*) FILTER (WHERE NOT v BETWEEN 1 AND 5) > 3 THEN 0.0::DOUBLE ELSE coalesce(max(up), 0) / 5::DOUBLE END AS likeness FROM x LEFT JOIN t ON t.k = x.k GROUP BY x.k""",
+    SELECT x.k AS l_orderkey, CASE WHEN count(*) - coalesce(max(up), 0) > 3 THEN 0.0::DOUBLE ELSE coalesce(max(up), 0) / 5::DOUBLE END AS likeness FROM x LEFT JOIN t ON t.k = x.k GROUP BY x.k""",
 )
 def line_chapter_likeness(spark, sf_dir):
     return sequences.chapter_likeness(lines(spark, sf_dir).withColumn("expected", F.lit(5)), ["l_orderkey"], LINE_ORDER, "l_linenumber", "expected")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import spanish
@@ -234,23 +235,22 @@ def first_short_run(spark, sf_dir):
 
 @query(
     "signature_candidates",
-    # The longest rising run of 2 to 7 is that of the first 2, the first 3 after it and so on; where it breaks off the row has none.
+    # Chapters rise but for every ninth mark, which is 1: the longest rising run is all others, and the first 1 where the ninth comes first.
     """WITH r AS (SELECT l_suppkey % 20 AS book, CASE WHEN l_linenumber = 1 THEN 'h2' ELSE 'sup' END AS signature, l_linenumber AS v,
       row_number() OVER (PARTITION BY l_suppkey % 20, l_linenumber = 1 ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) AS p FROM lineitem),
-    s AS (SELECT *, lag(v) OVER (PARTITION BY book, signature ORDER BY p) AS b FROM r),
-    l AS (SELECT book, signature, count(*) AS n, CASE WHEN count(*) >= 5 THEN avg(CASE WHEN b IS NULL THEN NULL WHEN v - b IN (0, 1) OR v IN (1, 2) THEN 1.0 WHEN v - b = 2 THEN 0.5 ELSE 0.0 END) ELSE 0 END AS verse_likeness FROM s GROUP BY ALL),
-    c2 AS (SELECT book, min(p) AS p FROM r WHERE signature = 'sup' AND v = 2 GROUP BY book),
-    c3 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c2 c ON c.book = r.book WHERE signature = 'sup' AND v = 3 AND r.p > c.p GROUP BY r.book),
-    c4 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c3 c ON c.book = r.book WHERE signature = 'sup' AND v = 4 AND r.p > c.p GROUP BY r.book),
-    c5 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c4 c ON c.book = r.book WHERE signature = 'sup' AND v = 5 AND r.p > c.p GROUP BY r.book),
-    c6 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c5 c ON c.book = r.book WHERE signature = 'sup' AND v = 6 AND r.p > c.p GROUP BY r.book),
-    c7 AS (SELECT r.book, min(r.p) AS p FROM r JOIN c6 c ON c.book = r.book WHERE signature = 'sup' AND v = 7 AND r.p > c.p GROUP BY r.book)
-    SELECT l.book, l.signature, n, verse_likeness, CASE WHEN l.signature = 'h2' THEN 1 / 7 WHEN c7.p IS NOT NULL THEN 6 / 7 END AS chapter_likeness FROM l LEFT JOIN c7 ON c7.book = l.book""",
+    x AS (SELECT book, signature, p, CASE WHEN signature = 'sup' THEN v WHEN p % 9 = 4 THEN 1 ELSE p END AS x FROM r WHERE signature = 'sup' OR p <= 100),
+    s AS (SELECT *, lag(x) OVER (PARTITION BY book, signature ORDER BY p) AS b FROM x)
+    SELECT book, signature, count(*) AS n, CASE WHEN count(*) >= 5 THEN avg(CASE WHEN b IS NULL THEN NULL WHEN x - b IN (0, 1) OR (x IN (1, 2) AND b >= x) THEN 1.0 WHEN x - b = 2 THEN 0.5 ELSE 0.0 END) ELSE 0 END AS verse_likeness,
+           CASE WHEN signature = 'h2' THEN count(*) FILTER (WHERE p % 9 <> 4) / 100::DOUBLE ELSE 0::DOUBLE END AS chapter_likeness FROM s GROUP BY book, signature""",
 )
 def signature_candidates(spark, sf_dir):
-    """Line numbers of orders as marks of two signatures, as verses and chapters of a book would be."""
-    marks = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("book"), F.when(F.col("l_linenumber") == 1, "h2").otherwise("sup").alias("signature"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice").alias("position"), F.col("l_linenumber").alias("value"), F.lit(7).alias("expected"))
-    return inference.candidates(marks, ["book"], "expected")
+    """Line numbers of orders as marks of two signatures: verses, and the first hundred chapters of a book with every ninth wrong."""
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    marks = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("book"), F.when(F.col("l_linenumber") == 1, "h2").otherwise("sup").alias("signature"), order.alias("position"), F.col("l_linenumber").alias("v"))
+    heads = marks.where("signature = 'h2'").withColumn("p", F.row_number().over(Window.partitionBy("book").orderBy("position"))).where("p <= 100")
+    value = F.when(F.col("p") % 9 == 4, 1).otherwise(F.col("p"))
+    rows = heads.select("book", "signature", "position", value.alias("value")).unionByName(marks.where("signature = 'sup'").select("book", "signature", "position", F.col("v").alias("value")))
+    return inference.candidates(rows.withColumn("expected", F.lit(100)), ["book"], "expected")
 
 
 @query(

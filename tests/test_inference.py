@@ -1,7 +1,9 @@
+import random
+from bisect import bisect_left
+
 import pytest
-from pyspark.sql import functions as F
 
-from lectern.operators import inference, markup
+from lectern.operators import inference, markup, sequences
 
 
 def book(chapters, verse="<sup class='v'>{}</sup>", other=None, chapter="<h2>Cap. {}</h2>", poem=False):
@@ -51,9 +53,74 @@ def test_structure(found):
     assert got["poem"].reasons[0].startswith("verses: sup.v, 63 marks") and got["poem"].reasons[-1] == "stanzas: s"
 
 
-def test_chapters_that_fill_holes():
-    numbers = {"h2": [(i * 10, i) for i in range(1, 11) if i % 4], "h3": [(40, 4), (80, 8)], "li": [(1000 + i, i) for i in range(1, 11)]}
-    places = [p + 1 for m in ("h2", "h3") for p, _ in numbers[m]]
-    assert inference.more_chapters(numbers, "h2", 10, set(), sorted(places)) == ["h3"]
-    verses = {"sup": [(i, i % 9 + 1) for i in range(90) if i % 3], "a": [(i, i % 9 + 1) for i in range(0, 90, 3)], "b": [(5, 77), (6, 3)]}
-    assert inference.more_verses(verses, "sup") == ["a"]
+def marked(spark, of):
+    rows = [("w", kind, sign, p, v, 10) for kind, signs in of.items() for sign, own in signs.items() for p, v in own]
+    return spark.createDataFrame(rows, "work string, kind string, signature string, position int, value int, expected int")
+
+
+def test_signatures_that_fill_holes(spark):
+    heads = {"h2": [(i * 10, i) for i in range(1, 11) if i % 4], "h3": [(40, 4), (80, 8)], "li": [(1000 + i, i) for i in range(1, 11)]}
+    verses = {"sup": [(i, i % 12 + 1) for i in range(180) if i % 6 not in (2, 5)], "a": [(i, i % 12 + 1) for i in range(2, 180, 6)], "i": [(i, i % 12 + 1) for i in range(5, 180, 6)], "b": [(5, 77), (6, 3)], "em": [(i, 50) for i in range(3, 180, 30)]}
+    main = spark.createDataFrame([("w", "sup")], "work string, signature string")
+    got = inference.more_verses(marked(spark, {"number": verses}).drop("kind"), ["work"], main)
+    assert [r.signature for r in got.orderBy("round").collect()] == ["sup", "a", "i"]
+    places = {"v": [(p + 1, 1) for m in ("h2", "h3") for p, _ in heads[m]]}
+    marks, own = marked(spark, {"heading": heads, "number": places}), spark.createDataFrame([("w", "v")], "work string, signature string")
+    shares = inference.shares_with_verses(marks, ["work"], own)
+    assert {r.signature: r.share for r in shares.where("kind = 'heading'").collect()} == {"h2": 1.0, "h3": 1.0, "li": 0.0}
+    best = inference.chapter_signatures(marks, ["work"], own, shares)
+    assert [(r.signature, r.n, r.score) for r in best.collect()] == [("h2", 8, 0.8)]
+    more = inference.more_chapters(marks.where("kind = 'heading'").drop("kind"), ["work"], best.select("work", "signature"), own, shares)
+    assert [r.signature for r in more.orderBy("round").collect()] == ["h2", "h3"]
+
+
+def longest(values):
+    ends = []
+    for v in values:
+        at = bisect_left(ends, v)
+        ends[at : at + 1] = [v]
+    return len(ends)
+
+
+def test_tails_of_parts_are_those_of_the_whole():
+    r = random.Random(3)
+    for _ in range(60):
+        most = r.randrange(1, 12)
+        values = [r.randrange(1, most + 1) for _ in range(r.randrange(40))]
+        cuts = sorted(r.randrange(len(values) + 1) for _ in range(r.randrange(4)))
+        whole = sequences.Tails(most)
+        for a, b in zip([0, *cuts], [*cuts, len(values)]):
+            part = sequences.Tails(most)
+            for v in values[a:b]:
+                part.add(v)
+            whole = whole.then(part)
+        assert whole.longest() == longest(values)
+
+
+def test_rising_of_long_groups_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "HELD", 50)
+    r = random.Random(5)
+    rows = [("long", i, r.randrange(0, 25), 20) for i in range(3000)] + [(f"g{k}", i, r.randrange(1, 9), 7) for k in range(40) for i in range(r.randrange(30))]
+    df = spark.createDataFrame(rows, "k string, at int, v int, most int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x.k: x.rising for x in sequences.rising_within(df, ["k"], ["at"], "v", "most").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for k, _, v, most in rows:
+        if 1 <= v <= most:
+            want.setdefault(k, []).append(v)
+    assert got == {k: longest(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("values, expected, likeness", [(list(range(1, 11)) * 5, 10, 0.0), ([1], 1, 0.0), (list(range(1, 11)), 10, 1.0), ([1, 2, 99, 3, 4], 4, 1.0), ([], 4, None), ([1, 1, 1, 1, 1, 2], 4, 0.0)])
+def test_chapter_likeness(spark, values, expected, likeness):
+    df = spark.createDataFrame([("b", i, v, expected) for i, v in enumerate(values)], "k string, at int, v int, n int")
+    got = [r.likeness for r in sequences.chapter_likeness(df, ["k"], ["at"], "v", "n").collect()]
+    assert got == ([likeness] if likeness is not None else [])
+
+
+def test_verse_likeness_goes_back_to_one_and_two(spark):
+    df = spark.createDataFrame([("b", i, v) for i, v in enumerate([0, 2, 3, 1, 2, 2])], "k string, at int, v int")
+    assert sequences.verse_likeness(df, ["k"], ["at"], "v").first().likeness == (0.5 + 1 + 1 + 1 + 1) / 5
