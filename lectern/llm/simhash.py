@@ -36,6 +36,8 @@ SAMPLE, COMMON = 2_000_000, 20
 PARITIES = 8
 SURE, UNSURE = 5.0, 6.5
 APART, FEW, SEEN = 45, 32, 1_000_000
+#: Rare shingles of which similar sets share so many; sets of one shingle, or of several together, that are compared in one task.
+RARE_MORE, HOT = 5, 2000
 SLICE_BYTES = 2_000_000
 # As many blocks are spare as make a node of the index hold about NODE fingerprints on average.
 NODE = 4096
@@ -120,7 +122,7 @@ def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """doc and key (a hash of the text) of docs, with a sketch of the set of shingles of each whole text.
 
     id is a hash of the set; fp and other are two fingerprints, n its size. rare are its rare shingles: the first when
-    common ones stand last, one more than two similar sets can have outside of what they share. Parities say whether an
+    common ones stand last, RARE_MORE more than two similar sets can have outside of what they share. Parities say whether an
     odd number of the hashes have a certain remainder; sets differ in as many shingles as parities at least.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, shingle))
@@ -141,7 +143,7 @@ def sketches(docs: DataFrame, text: str, shingle: int) -> DataFrame:
                     ids.append(own)
                     prints.append(prints_of_hashes([hashes], n, 2) if n else [0, 0])
                     sizes.append(n)
-                    rares.append(hashes[np.lexsort((hashes, seen))][: n - -(-up * n // down) + 1].view(np.int64) if n else [])
+                    rares.append(hashes[np.lexsort((hashes, seen))][: n - -(-up * n // down) + RARE_MORE].view(np.int64) if n else [])
                     odds.append(np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1)
                 odd = np.packbits(np.array(odds, np.uint8), axis=1, bitorder="little").view("<i8")
                 fp = np.array(prints, np.int64)
@@ -471,14 +473,49 @@ def stars(rows: DataFrame) -> DataFrame:
     return rows.select(*PAIR, turn).repartition("h").sortWithinPartitions("h", "turn").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def leading(k: int = 1):
+    """Whether a shingle is among the first of a set of which similar sets share k."""
+    up, down = SIMILAR
+    return F.col("pos") < F.col("n") - F.ceil(F.col("n") * up / down) + k
+
+
+def candidates(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs (a, b), a < b, of ids of different labels, among them all whose sets of shingles are similar by SIMILAR.
 
     rows are those of shared() with labels, fingerprints and parities. Two similar sets have at least SIMILAR of the greater in
-    common, so that the first of what they share, in any order that is the same for all, is among the rare of both; and
-    behind it enough must follow in both.
+    common, so that the first of what they share, in any order that is the same for all, is among the leading of both; and
+    behind it enough must follow in both. Of one more rare shingle for each further step they share the second, the third and so on.
+
+    Sets of a shingle that more than `hot` sets lead with are looked at by that shingle and the next that they share, and of those that are
+    still as many by one more, up to RARE_MORE; what remains is cut to blocks of which any two meet in a task of their own.
     """
-    return rows.select(*PAIR, *ODD).repartition("h").sortWithinPartitions("h").mapInArrow(_sharing, "a bigint, b bigint").distinct()
+    own = rows.select("h", "label", "id", "n", "pos", "fp", "other", *ODD)
+    at = own.where(leading()).withColumn("key", F.col("h"))
+    found = []
+    for step in range(1, RARE_MORE + 1):
+        many = written(at.groupBy("key").agg(F.count("*").alias("_many")).where(F.col("_many") > hot), "simhash-hot")
+        if many.isEmpty():
+            break
+        # Few keys go to the many rows of each by salts.
+        salted = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        at = written(at.withColumn("_salt", F.pmod("id", F.lit(64)).cast("int")).join(salted, ["key", "_salt"], "left").drop("_salt"), "simhash-at")
+        found.append(at.where("_many IS NULL").drop("_many"))
+        at = at.where("_many IS NOT NULL")
+        if step < RARE_MORE:
+            # The next shared shingle: one less before it that they don't share.
+            more = own.where(leading(step + 1)).select("id", F.col("h").alias("_h"), F.col("pos").alias("_pos"))
+            at = at.drop("_many").join(more, "id").where(F.col("_pos") > F.col("pos") + (step - 1))
+            at = at.withColumns({"key": F.xxhash64("key", "_h"), "pos": F.col("_pos") - step}).drop("_h", "_pos")
+        else:
+            blocks = F.ceil(F.col("_many") / hot).cast("int")
+            mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+            each = at.withColumns({"_mine": mine, "_with": F.explode(F.sequence(F.lit(0), blocks - 1))})
+            at = each.withColumn("key", F.xxhash64("key", F.least("_mine", "_with"), F.greatest("_mine", "_with"))).drop("_many", "_mine", "_with")
+    found.append(at)
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    return every.select("key", *PAIR[1:], *ODD).repartition("key").sortWithinPartitions("key").mapInArrow(_sharing, "a bigint, b bigint").distinct()
 
 
 def _sharing(batches):
@@ -630,7 +667,7 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
         marks = least.select("id", "fp", "other")
         # What the index links needs no second look between its own; that is only a hint, as its links aren't checked yet.
         hint = index.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
-        own = rows.join(marks.join(hint, "id", "left").withColumn("label", F.coalesce("label", "id")), "id")
+        own = rows.where(leading()).join(marks.join(hint, "id", "left").withColumn("label", F.coalesce("label", "id")), "id")
         sure = written(similar(index.unionByName(stars(own)).distinct(), slim, least, "text", shingle), "simhash-similar")
         roots = connected(sure)
         marks = least.select("id", "fp", "other", *ODD)

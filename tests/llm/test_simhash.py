@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -147,3 +148,32 @@ def test_links_are_those_of_brute_force_jaccard(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
     assert pairs > 60 and len(set(label)) > 80
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == set(label)
+
+
+def sets_with_rare(n_sets, size, shared, rnd):
+    """Sets of numbers whose least ones, which lead, are the same in all, with some near copies."""
+    sets = {}
+    for i in range(n_sets):
+        if i % 10 == 9:
+            own = sorted(sets[i - 1])
+            own[-1 - i % 3] = rnd.randrange(1000, 2**60)
+        else:
+            own = [*range(1, shared + 1), *(rnd.randrange(1000, 2**60) for _ in range(size - shared))]
+        sets[i] = set(own)
+    return sets
+
+
+@pytest.mark.parametrize("shared", [1, 2, 4, 7])
+def test_sets_on_hot_shingles_lose_no_similar_pair(spark, shared):
+    """Few sets make a shingle hot, so that all steps and blocks are gone through; candidates hold every similar pair."""
+    rnd = random.Random(shared)
+    sets = sets_with_rare(120, 30, shared, rnd)
+    rows = []
+    for i, own in sets.items():
+        lead = sorted(own)[: 30 - 24 + simhash.RARE_MORE]
+        rows += [(h, i, i, 30, pos, 0, 0, *[0] * simhash.PARITIES) for pos, h in enumerate(lead)]
+    df = spark.createDataFrame(rows, "h bigint, label bigint, id bigint, n int, pos int, fp bigint, other bigint, " + ", ".join(f"{q} bigint" for q in simhash.ODD))
+    similar = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    got = {(r.a, r.b) for r in simhash.candidates(df, hot=5).collect()}
+    assert len(similar) >= 12 and similar <= got
+    assert similar <= {(r.a, r.b) for r in simhash.candidates(df, hot=10**9).collect()}
