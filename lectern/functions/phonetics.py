@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,35 +84,57 @@ def variants(phrases: DataFrame, text: str = "text", seseo: bool = True) -> Data
     return phrases.select("*", F.inline(modes))
 
 
-def request_parts(text: str, limit: int) -> list[str]:
-    """The text in parts of at most limit characters, halved at the best cut nearest its middle; never within a mark."""
-    todo, out = [text], []
-    while todo:
-        own = todo.pop()
-        if len(own) <= limit:
-            out.append(own)
-            continue
-        marks = [m.span() for m in re.finditer(MARK, own)]
-        halves = None
-        for pattern in CUTS:
-            places = [m.end() for m in pattern.finditer(own) if m.end() < len(own) and not any(a < m.end() < b for a, b in marks)]
-            if places:
-                at = min(places, key=lambda p: abs(p - len(own) // 2))
-                left, right = own[:at].rstrip(), own[at:].lstrip()
-                if left and right:
-                    halves = [right, left]
-                    break
-        if halves is None:
-            raise ValueError("there is no place to cut the text outside of marks")
-        todo += halves
+def cut_places(text: str) -> list[np.ndarray]:
+    """For each kind of cut, the best first, the places after it, in order and none within a mark."""
+    marks = np.array([m.span() for m in re.finditer(MARK, text)], np.int64).reshape(-1, 2)
+    out = []
+    for pattern in CUTS:
+        at = np.array([m.end() for m in pattern.finditer(text)], np.int64)
+        before = np.searchsorted(marks[:, 0], at) - 1  # the mark that begins last before it
+        inside = (before >= 0) & (at < marks[np.maximum(before, 0), 1]) if len(marks) else np.zeros(len(at), bool)
+        out.append(at[~inside])
     return out
 
 
+def request_parts(text: str, limit: int) -> list[str] | None:
+    """The text in parts of at most limit characters, halved at the best kind of cut there is in a part, nearest its middle; never within a mark.
+
+    White space at cuts goes. None where a part has no place to be cut. The places are found once; each round halves all
+    parts that are still too long.
+    """
+    kinds, parts, done = cut_places(text), [(0, len(text))], []
+    # Where the text goes on after white space, and where what stands before it ends.
+    bare = np.flatnonzero(~np.fromiter(map(str.isspace, text), bool, len(text)))
+    while parts:
+        halved = []
+        for begin, end in parts:
+            if end - begin <= limit:
+                done.append((begin, end))
+                continue
+            own = bare[np.searchsorted(bare, begin) : np.searchsorted(bare, end)]
+            # A cut has something on both sides.
+            low, high = (own[0] + 1, own[-1] + 1) if len(own) else (end, begin)
+            inside = [k[np.searchsorted(k, low) : np.searchsorted(k, high)] for k in kinds]
+            best = next((k for k in inside if len(k)), None)
+            if best is None:
+                return None
+            at = int(best[np.argmin(np.abs(best - begin - (end - begin) // 2))])
+            left, right = own[own < at], own[own >= at]
+            halved += [(begin, int(left[-1]) + 1), (int(right[0]), end)]
+        parts = halved
+    return [text[a:b] for a, b in sorted(done)]
+
+
+REQUESTS = T.StructType([T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("fault", T.StringType())])
+
+
 def requests(limit: int):
-    """A pandas function: the parts of each text."""
+    """A pandas function: (parts, fault) of each text; a text that has a part without a place to cut has no parts but a fault. A null text has neither."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: request_parts(t, limit), na_action="ignore")
+    @F.pandas_udf(REQUESTS)
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        parts = [None if t is None else request_parts(t, limit) for t in texts]
+        fault = ["there is no place to cut the text outside of marks" if t is not None and p is None else None for t, p in zip(texts, parts)]
+        return pd.DataFrame({"parts": pd.Series(parts, dtype=object), "fault": pd.Series(fault, dtype=object)})
 
     return cut

@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from .spanish import cardinal
 
-MOST_CHAPTERS = 200
+def number_word(n: Column) -> Column:
+    """A number from 0 to 999,999 in words; greater and negative ones in digits."""
+    listed = lambda numbers: F.array(*[F.lit(cardinal(i)) for i in numbers])
+    small, hundreds = listed(range(100)), F.array(F.lit(""), F.lit("ciento"), *[F.lit(cardinal(100 * i)) for i in range(2, 10)])
+    n = n.cast("long")
 
+    def to_999(x: Column) -> Column:
+        rest = (x % 100).cast("int")
+        over = F.concat_ws(" ", F.get(hundreds, F.floor(x / 100).cast("int")), F.when(rest > 0, F.get(small, rest)))
+        return F.when(x < 100, F.get(small, x.cast("int"))).when(x == 100, F.lit(cardinal(100))).otherwise(over)
 
-def number_word(n: Column, most: int = MOST_CHAPTERS) -> Column:
-    """A small number in words."""
-    return F.get(F.array(*[F.lit(cardinal(i)) for i in range(most + 1)]), n)
+    thousands, rest = F.floor(n / 1000), n % 1000
+    # Before thousands the last one is short.
+    short = F.regexp_replace(F.regexp_replace(to_999(thousands), "veintiuno$", "veintiún"), r"\buno$", "un")
+    over = F.concat_ws(" ", F.when(thousands == 1, F.lit("mil")).otherwise(F.concat(short, F.lit(" mil"))), F.when(rest > 0, to_999(rest)))
+    return F.when((n < 0) | (n >= 1_000_000), n.cast("string")).when(n < 1000, to_999(n)).otherwise(over)
 
 
 def announcement(book: Column, spoken: Column, chapters: Column, chapter: Column) -> Column:
@@ -27,12 +37,12 @@ def announcement(book: Column, spoken: Column, chapters: Column, chapter: Column
 
 
 def range_numbers(said: Column) -> Column:
-    """1,4,7-8 as the sorted distinct numbers; an error for what is no range, or none at all."""
+    """1,4,7-8 as the sorted distinct numbers; null for what is no range, or none at all."""
     parts = F.filter(F.split(F.replace(said, F.lit(" "), F.lit("")), ","), lambda p: p != "")
-    end = lambda p, i: F.element_at(F.split(p, "-"), i).cast("int")
+    end = lambda p, i: F.element_at(F.split(p, "-"), i).try_cast("int")
     good = lambda p: p.rlike(r"^\d+(-\d+)?$") & (end(p, 1) <= end(p, -1))
     numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(end(p, 1), end(p, -1))))))
-    return F.when(F.forall(parts, good) & (F.size(parts) > 0), numbers).otherwise(F.raise_error(F.concat(F.lit("not a range: "), said)))
+    return F.when(F.forall(parts, good) & (F.size(parts) > 0), numbers)
 
 
 def one_line(text: Column) -> Column:

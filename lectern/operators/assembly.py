@@ -55,7 +55,9 @@ def _parts(rows: DataFrame, work: list[str], order: list[str], doc: list[str]) -
     group = [*work, "book_no", "chapter_no"]
     line = Window.partitionBy(*group).orderBy(*order)
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.where("book_no > 0 AND kind <> 'book'")
+    # Before any mark of a chapter a verse 1 opens the first; what stands before that belongs to none, but for its headings.
+    opens = F.max(F.when((F.col("kind") == "verse") & (F.col("value") == "1"), 1)).over(upto).isNotNull()
+    rows = rows.where("book_no > 0 AND kind <> 'book'").withColumn("_open", (F.col("chapter_no") > 0) | opens | (F.col("kind") == "section")).where("_open").drop("_open")
     text = F.col("kind").isin("text", "space")
     breaks = F.col("kind").isin("chapter", "verse", "line", "paragraph", "section", "omitted")
     new_doc = F.coalesce(F.struct(*doc) != F.lag(F.struct(*doc)).over(line), F.lit(False))

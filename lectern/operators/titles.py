@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import ACCENTED, PLAIN
 
-LONGEST = 5
 SECTION = "seccion"
 
 
@@ -26,16 +25,17 @@ def resolved(titles: DataFrame, key: str, title: str, names: DataFrame, ordinals
     with its ordinal is first, then one without a number; then the longer; then the first in order.
     Titles meet names by the runs of words that they have, never pair by pair.
     """
-    t = titles.select(key, plain(F.col(title)).alias("_t"))
-    whole = names.select(F.explode("exact").alias("_t"), F.col("id").alias("_exact")).dropDuplicates(["_t"])
-    words = F.split("_t", " ")
-    size = F.size("_w")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda n: F.struct(i.alias("at"), F.array_join(F.slice("_w", i, n), " ").alias("base")))))
-    places = t.where("_t <> ''").withColumn("_w", words).select(key, "_w", F.inline(runs))
+    rows = titles.select(key, plain(F.col(title)).alias("_t"))
+    # Each title once, however many rows have it and whatever their keys are.
+    t = rows.where("_t <> ''").select("_t").distinct()
     bases = names.select("ord", "id", "number", F.explode("bases").alias("base")).where(F.length("base") >= 3)
-    found = places.join(bases, "base")
+    longest = bases.agg(F.max(F.size(F.split("base", " ")))).first()[0] or 1
+    whole = names.select(F.explode("exact").alias("_t"), "ord", F.col("id").alias("_exact")).groupBy("_t").agg(F.min_by("_exact", "ord").alias("_exact"))
+    size = F.size("_w")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda n: F.struct(i.alias("at"), F.array_join(F.slice("_w", i, n), " ").alias("base")))))
+    found = t.withColumn("_w", F.split("_t", " ")).select("_t", "_w", F.inline(runs)).join(bases, "base")
     # The first place of a name counts.
-    first = F.row_number().over(Window.partitionBy(key, "id", "base").orderBy("at"))
+    first = F.row_number().over(Window.partitionBy("_t", "id", "base").orderBy("at"))
     found = found.withColumn("_n", first).where("_n = 1")
     before = F.slice("_w", 1, F.col("at") - 1)
     said = F.array_compact(F.array(*[F.when(F.arrays_overlap(before, F.array(*map(F.lit, forms))), n) for n, forms in ordinals.items()]))
@@ -45,9 +45,9 @@ def resolved(titles: DataFrame, key: str, title: str, names: DataFrame, ordinals
         .when(F.array_contains("_said", F.col("number")), 3)
         .when((F.size("_said") == 0) & (F.col("number") == 1), 1)
     )
-    best = Window.partitionBy(key).orderBy(F.col("_rank").desc(), F.length("base").desc(), "ord")
-    within = found.withColumn("_rank", rank).where("_rank IS NOT NULL").withColumn("_n", F.row_number().over(best)).where("_n = 1").select(F.col(key).alias("_key"), F.col("id").alias("_within"), "_rank")
-    out = t.join(whole, "_t", "left").join(within, t[key].eqNullSafe(F.col("_key")), "left")
+    best = Window.partitionBy("_t").orderBy(F.col("_rank").desc(), F.length("base").desc(), "ord")
+    within = found.withColumn("_rank", rank).where("_rank IS NOT NULL").withColumn("_n", F.row_number().over(best)).where("_n = 1").select("_t", F.col("id").alias("_within"), "_rank")
+    out = rows.join(t.join(whole, "_t", "left").join(within, "_t", "left"), "_t", "left")
     forced = F.lit(None).cast("string")
     if overrides:
         forced = F.element_at(F.create_map(*[x for k, v in overrides.items() for x in (plain(F.lit(k)), F.lit(v))]), F.col("_t"))

@@ -65,11 +65,13 @@ def final_r_variants(spark, sf_dir):
 
 @query(
     "request_parts",
-    """SELECT doc_id, true AS within, md5(regexp_replace(text, '\\s+', '', 'g')) AS letters FROM documents WHERE NOT regexp_matches(text, '[^\\s]{400}')""",
+    """SELECT doc_id, regexp_matches(text, '[^\\s]{401}') AS uncut, NOT regexp_matches(text, '[^\\s]{401}') AS within, CASE WHEN NOT regexp_matches(text, '[^\\s]{401}') THEN md5(regexp_replace(text, '\\s+', '', 'g')) END AS letters FROM documents""",
 )
 def request_parts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(r"NOT text RLIKE '[^\\s]{400}'").select("doc_id", phonetics.requests(400)("text").alias("parts"))
-    return docs.select("doc_id", F.forall("parts", lambda p: F.length(p) <= 400).alias("within"), F.md5(F.regexp_replace(F.array_join("parts", ""), r"\s+", "").cast("binary")).alias("letters"))
+    """All documents cut to requests; one with more than 400 characters without white space can't be and says so."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", phonetics.requests(400)("text").alias("r"))
+    within = F.coalesce(F.forall("r.parts", lambda p: F.length(p) <= 400), F.lit(False))
+    return docs.select("doc_id", F.col("r.fault").isNotNull().alias("uncut"), within.alias("within"), F.md5(F.regexp_replace(F.array_join("r.parts", ""), r"\s+", "").cast("binary")).alias("letters"))
 
 
 # Chapters by order of a customer: the number of an order among those of its customer is a chapter's.

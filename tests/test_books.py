@@ -162,3 +162,15 @@ def test_prologues_and_pieces_of_other_documents(spark):
     made, _ = laid(spark, titled[1:])
     whole, report = assembly.resolved(assembly.valid_pieces(made, ["work"])[0], ["work"])
     assert whole.where("chapter = 0").count() == 0 and report.count() == 1
+
+
+def test_only_a_verse_one_opens_a_chapter_without_a_mark(spark):
+    def chapters(*events):
+        rows = [(1, 0, i, kind, value) for i, (kind, value) in enumerate(events)]
+        placed = assembly.placed(spark.createDataFrame(rows, "work int, doc int, ev int, kind string, value string"), ["work"], ["doc", "ev"])
+        return [(r.chapter, r.verse, r.text, r.sections) for r in assembly.units(placed, ["work"], ["doc", "ev"], ["doc"]).orderBy("chapter_no", "unit").collect()]
+
+    assert chapters(("book", "b"), ("verse", "7"), ("text", "seven"), ("verse", "8"), ("text", "eight")) == []
+    late = (("book", "b"), ("text", "before"), ("section", "head"), ("verse", "7"), ("text", "seven"), ("verse", "1"), ("text", "one"), ("verse", "2"), ("text", "two"))
+    assert chapters(*late) == [(1, "1", "one", ["head"]), (1, "2", "two", [])]
+    assert chapters(("book", "b"), ("verse", "7"), ("text", "seven"), ("chapter", "3"), ("text", "implicit"), ("verse", "2"), ("text", "two")) == [(3, "1", "implicit", []), (3, "2", "two", [])]

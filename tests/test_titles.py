@@ -16,6 +16,18 @@ def test_titles(spark):
     assert got[99] == (None, "unknown")
 
 
+def test_rows_with_the_same_key_keep_their_own_titles(spark):
+    df = spark.createDataFrame([(1, "La primera a los Corintios"), (1, "La segunda a los Corintios"), (1, "La primera a los Corintios"), (2, "La segunda a los Corintios")], "k int, title string")
+    found = titles.resolved(df, "k", "title", books.table(spark), books.ORDINALS)
+    assert sorted((r.k, r.book) for r in found.collect()) == [(1, "1co"), (1, "1co"), (1, "2co"), (2, "2co")]
+
+
+def test_long_names(spark):
+    names = spark.createDataFrame([(1, "long", None, ["uno dos tres cuatro cinco seis siete"], [])], "ord int, id string, number int, bases array<string>, exact array<string>")
+    df = spark.createDataFrame([(1, "El libro de uno dos tres cuatro cinco seis siete, otra vez")], "k int, title string")
+    assert titles.resolved(df, "k", "title", names, books.ORDINALS).first().book == "long"
+
+
 def test_books(spark):
     rows = {r.id: r for r in books.table(spark).collect()}
     assert len(rows) == 73 and sum(r.chapters for r in rows.values() if r.testament == "NT") == 260
