@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -227,22 +227,63 @@ def events_of(html: str | None, s: Selectors) -> list[tuple[str, str]]:
     return list(Walk(s).events(parsed(html)[0]))
 
 
+#: Rows that go out at once.
+ROWS = 50_000
+
+
+def _frames(made, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of lists, one for each document, as frames of about ROWS rows."""
+    out: list[tuple] = []
+    for rows in made:
+        out += rows
+        if len(out) >= ROWS:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    yield pd.DataFrame(out, columns=columns)
+
+
+def _content(html) -> str | None:
+    return decoded(bytes(html)) if isinstance(html, (bytes, bytearray)) else html
+
+
 def events(docs: DataFrame, keys: list[str], html: str, selectors: Selectors = Selectors()) -> DataFrame:
     """(keys, ev, kind, value): the events of each document. Documents without any text give none."""
     schema = ", ".join([*[f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys], "ev int, kind string, value string"])
 
     def run(frames):
         for frame in frames:
-            out = []
-            for row in zip(*[frame[k] for k in keys], frame[html]):
-                content = row[-1]
-                content = decoded(bytes(content)) if isinstance(content, (bytes, bytearray)) else content
-                out += [(*row[:-1], i, k, v) for i, (k, v) in enumerate(events_of(content, selectors)) if k not in ("end",)]
-            yield pd.DataFrame(out, columns=[*keys, "ev", "kind", "value"])
+            rows = zip(*[frame[k] for k in keys], frame[html])
+            yield from _frames(([(*row[:-1], i, k, v) for i, (k, v) in enumerate(events_of(_content(row[-1]), selectors)) if k != "end"] for row in rows), [*keys, "ev", "kind", "value"])
 
     return docs.select(*keys, html).mapInPandas(run, schema)
 
 
+#: What a configuration of a trial sets: its name and selectors of this kind; the others are those of a base.
+CONFIGS = "array<struct<config:string,chapter:string,verse:string,stanza:string,short_line:int>>"
+
+
+def events_of_configs(docs: DataFrame, keys: list[str], html: str, configs: str = "configs", base: Selectors = Selectors()) -> DataFrame:
+    """(keys, config, ev, kind, value): the events of each document by each of its configurations (a column of CONFIGS), from one parse."""
+    schema = ", ".join([*[f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys], "config string, ev int, kind string, value string"])
+
+    def run(frames):
+        known: dict[tuple, Selectors] = {}
+
+        def of(row):
+            root, out = parsed(_content(row[-2]))[0], []
+            for c in row[-1] if row[-1] is not None else []:
+                own = (c["chapter"], c["verse"], c["stanza"], int(c["short_line"] or 0))
+                if own not in known:
+                    known[own] = replace(base, **dict(zip(("chapter", "verse", "stanza", "short_line"), own)))
+                out += [(*row[:-2], c["config"], i, k, v) for i, (k, v) in enumerate(Walk(known[own]).events(root)) if k != "end"]
+            return out
+
+        for frame in frames:
+            yield from _frames((of(row) for row in zip(*[frame[k] for k in keys], frame[html], frame[configs])), [*keys, "config", "ev", "kind", "value"])
+
+    return docs.select(*keys, html, configs).mapInPandas(run, schema)
+
+
 # Leaf blocks that are looked at, headings, and how a chapter mark with a word or an abbreviation before its number looks.
 LEAVES = frozenset("p div li blockquote dd td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -286,12 +327,10 @@ def profile(docs: DataFrame, keys: list[str], html: str, selectors: Selectors =
     schema = ", ".join([*[f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys], PROFILE])
 
     def run(frames):
+        columns = [*keys, "kind", "signature", "pos", "value", "starts", "ends", "classes", "sample"]
         for frame in frames:
-            out = []
-            for row in zip(*[frame[k] for k in keys], frame[html]):
-                content = decoded(bytes(row[-1])) if isinstance(row[-1], (bytes, bytearray)) else row[-1]
-                out += [(*row[:-1], *made) for made in profile_of(content, selectors)]
-            made = pd.DataFrame(out, columns=[*keys, "kind", "signature", "pos", "value", "starts", "ends", "classes", "sample"])
-            yield made.astype({"starts": "boolean", "ends": "boolean"})
+            rows = zip(*[frame[k] for k in keys], frame[html])
+            for made in _frames(([(*row[:-1], *own) for own in profile_of(_content(row[-1]), selectors)] for row in rows), columns):
+                yield made.astype({"starts": "boolean", "ends": "boolean"})
 
     return docs.select(*keys, html).mapInPandas(run, schema)

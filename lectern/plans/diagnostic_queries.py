@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.operators import assembly, audio, content, diagnostics, inference, markup, sinks, titles
 
+from lectern.operators.lineage import cut
+
 from .catalogue import query, table
 
 # Lines of orders as verses: a book for some parts, a chapter for each supplier's number.
@@ -152,16 +154,14 @@ BOOK = """(SELECT o_custkey % 10 AS book, dense_rank() OVER (PARTITION BY o_cust
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 
-def book_pages(spark, sf_dir):
+def book_pages(spark, sf_dir, said=F.lit("words of the verse.")):
     """(book, doc, html): a document for each ten chapters; verse numbers in sup or b, chapters in h2 or a class."""
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).withColumn("book", F.col("o_custkey") % 10)
     per = rows.groupBy("book", "o_orderkey").agg(F.count("*").alias("n"))
-
-
     per = per.withColumn("chapter", F.row_number().over(Window.partitionBy("book").orderBy("o_orderkey"))).where("chapter <= 40")
     even = F.col("book") % 2 == 0
     mark = lambda v: F.when(even, F.concat(F.lit("<sup class='v'>"), v, F.lit("</sup>"))).otherwise(F.concat(F.lit("<b>"), v, F.lit("</b>")))
-    body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(F.lit("<p class='n'>"), mark(i.cast("string")), F.lit(" words of the verse.</p>"))), "")
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(F.lit("<p class='n'>"), mark(i.cast("string")), F.lit(" "), said, F.lit("</p>"))), "")
     head = F.when(even, F.concat(F.lit("<h2>Cap. "), F.col("chapter").cast("string"), F.lit("</h2>"))).otherwise(F.concat(F.lit("<p class='t'>"), F.col("chapter").cast("string"), F.lit("</p>")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter", F.concat(head, body).alias("html")))), lambda x: x["html"]), "")
     return per.groupBy("book", F.floor((F.col("chapter") - 1) / 10).cast("int").alias("doc")).agg(F.concat(F.lit("<body>"), whole, F.lit("</body>")).alias("html"))
@@ -174,12 +174,25 @@ def book_pages(spark, sf_dir):
 )
 def structure_suggestion(spark, sf_dir):
     pages = book_pages(spark, sf_dir)
-    profile = markup.profile(pages, ["book", "doc"], "html").cache()
+    profile = cut(markup.profile(pages, ["book", "doc"], "html"))
     expected = pages.select("book").distinct().withColumn("expected", F.lit(40))
     margins = spark.createDataFrame([("n", 1.0)], "class string, em double")
     return inference.suggested(profile, ["book"], "doc", expected, margins).select("book", "verses", "verse_marks", "chapter", "chapter_marks", "short_line")
 
 
+@query(
+    "kept_configuration",
+    f"""SELECT book, CASE WHEN book % 2 = 1 THEN 'suggested' WHEN book % 5 = 4 THEN 'current' ELSE 'reading' END AS config, max(chapter)::BIGINT AS chapters, count(*)::BIGINT AS verses, (40 - max(chapter))::BIGINT AS warnings
+    FROM {BOOK} WHERE chapter <= 40 GROUP BY book""",
+)
+def kept_configuration(spark, sf_dir):
+    """Books whose marks the selectors don't know take the suggestion; of the others those in short lines take its pauses."""
+    long = F.when(F.col("book") % 5 == 4, F.repeat(F.lit("words of a long verse, "), 8)).otherwise(F.lit("words of the verse."))
+    pages = book_pages(spark, sf_dir, long)
+    expected = pages.select("book").distinct().withColumn("expected", F.lit(40))
+    return inference.tried(pages, ["book"], "doc", "html", expected, spark.createDataFrame([("n", 1.0)], "class string, em double"))
+
+
 @query(
     "assembled_chapters",
     """WITH c AS (SELECT conv_id, turn, role, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS chapter FROM conversations),
