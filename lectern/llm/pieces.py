@@ -36,7 +36,8 @@ from .common import in_worker, text_slices
 
 SPACE = "▁"
 N_BEST = 4
-KNOWN, KEPT = 400_000, 250_000
+#: Distinct chunks that a worker knows; of more it keeps five in eight.
+KNOWN = 400_000
 AT_ONCE = 200_000
 SLICE_CHARS = 2_000_000
 UNKNOWN_LOSS = 10.0
@@ -258,7 +259,8 @@ class Lattice:
 class Chunks(dict):
     """Chunk to number, with the score and the ids of its best segmentation and the loss of the second best, in arrays."""
 
-    def __init__(self, lattice: Lattice, n: int):
+    def __init__(self, lattice: Lattice, n: int, most: int = KNOWN):
+        self.most = most
         self.lattice, self.n, self.new, self.chunk, self.several = lattice, n, [], [], {}
         self.score, self.loss, self.flat = np.zeros(0), np.zeros(0), np.zeros(0, np.int32)
         self.size, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -306,13 +308,14 @@ class Chunks(dict):
         return self.several[number]
 
     def trimmed(self):
-        if len(self) > KNOWN:
+        if len(self) > self.most:
+            kept = self.most * 5 // 8
             # Frequent chunks were met first.
-            for chunk in self.chunk[KEPT:]:
+            for chunk in self.chunk[kept:]:
                 del self[chunk]
-            self.chunk = self.chunk[:KEPT]
-            self.several = {k: w for k, w in self.several.items() if k < KEPT}
-            self.score, self.loss, self.size, self.first = (x[:KEPT].copy() for x in (self.score, self.loss, self.size, self.first))
+            self.chunk = self.chunk[:kept]
+            self.several = {k: w for k, w in self.several.items() if k < kept}
+            self.score, self.loss, self.size, self.first = (x[:kept].copy() for x in (self.score, self.loss, self.size, self.first))
             self.flat = self.flat[: self.first[-1] + self.size[-1]].copy()
 
 
@@ -362,19 +365,19 @@ def ids_of(numbers: np.ndarray, known: Chunks, differing: dict[int, int] | None
 ENCODED = "n_pieces bigint, score double, best_scores array<double>, ids array<int>, alternatives array<array<int>>, round_trip boolean, ids_crc32 bigint, best_crc32 array<bigint>"
 
 
-def encoded(docs: DataFrame, path: str, n: int = N_BEST, doc: str = "doc_id", text: str = "text", with_ids: bool = True, with_alternatives: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str, n: int = N_BEST, doc: str = "doc_id", text: str = "text", with_ids: bool = True, with_alternatives: bool = False, known_chunks: int = KNOWN) -> DataFrame:
     """(doc, n_pieces, score, best_scores, ids, alternatives, round_trip, ids_crc32) for each row of docs.
 
     ids is the best segmentation, best_scores has the scores of the n best (fewer where there are fewer), alternatives
     the ids of all of them if with_alternatives. round_trip says whether the ids of each, decoded, are the text. Null and
     empty texts have no pieces and score 0. Texts of any length are taken whole. Repeated rows each give a row, null
     ids too; no rows give no rows. ids_crc32 is of the ids as little-endian 32-bit
-    integers, best_crc32 of those of each of the n best.
+    integers, best_crc32 of those of each of the n best. known_chunks bounds the memory of a worker, not the result.
     """
     slim = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
-        known = in_worker(("pieces", path, n), lambda: Chunks(Lattice(path), n), large=True)
+        known = in_worker(("pieces", path, n, known_chunks), lambda: Chunks(Lattice(path), n, known_chunks), large=True)
         lattice = known.lattice
         for batch in batches:
             for at, to, texts in text_slices(batch.column(1), SLICE_CHARS):
