@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.operators import assembly, audio, content, diagnostics, inference, markup, sinks, titles
-
 from lectern.operators.lineage import cut
 
 from .catalogue import query, table
@@ -154,14 +153,14 @@ BOOK = """(SELECT o_custkey % 10 AS book, dense_rank() OVER (PARTITION BY o_cust
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 
-def book_pages(spark, sf_dir, said=F.lit("words of the verse.")):
+def book_pages(spark, sf_dir, said=None):
     """(book, doc, html): a document for each ten chapters; verse numbers in sup or b, chapters in h2 or a class."""
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).withColumn("book", F.col("o_custkey") % 10)
     per = rows.groupBy("book", "o_orderkey").agg(F.count("*").alias("n"))
     per = per.withColumn("chapter", F.row_number().over(Window.partitionBy("book").orderBy("o_orderkey"))).where("chapter <= 40")
     even = F.col("book") % 2 == 0
     mark = lambda v: F.when(even, F.concat(F.lit("<sup class='v'>"), v, F.lit("</sup>"))).otherwise(F.concat(F.lit("<b>"), v, F.lit("</b>")))
-    body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(F.lit("<p class='n'>"), mark(i.cast("string")), F.lit(" "), said, F.lit("</p>"))), "")
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(F.lit("<p class='n'>"), mark(i.cast("string")), F.lit(" "), F.lit("words of the verse.") if said is None else said, F.lit("</p>"))), "")
     head = F.when(even, F.concat(F.lit("<h2>Cap. "), F.col("chapter").cast("string"), F.lit("</h2>"))).otherwise(F.concat(F.lit("<p class='t'>"), F.col("chapter").cast("string"), F.lit("</p>")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter", F.concat(head, body).alias("html")))), lambda x: x["html"]), "")
     return per.groupBy("book", F.floor((F.col("chapter") - 1) / 10).cast("int").alias("doc")).agg(F.concat(F.lit("<body>"), whole, F.lit("</body>")).alias("html"))
