@@ -33,6 +33,7 @@ WEAK_IDENTIFIER = re.compile(rf"(?<![A-Za-z0-9])(?ai:user(?:_?name)?|login|clien
 WEAK_SECRET = re.compile(rf"(?<![A-Za-z0-9])(?ai:password|passwd|pass|pwd|secret|token|api_?key|secret_?access_?key|private_?key|auth|credential|signature){_SAYS}([A-Za-z0-9+/_.=~!@#$%^&*-]{{6,}})")
 BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(rf"""[A-Za-z][A-Za-z0-9+.-]{{1,20}}://[^\s"'<>]+|(?<![A-Za-z0-9])(?ai:host(?:_?name)?|endpoint|server|url|dsn|database){_SAYS}([A-Za-z0-9][A-Za-z0-9._:/-]{{2,}})""")
+NOT_SPACE = re.compile(r"\S")
 EMPTY_LINE = re.compile(r"\n[\x20\t\r]*(?=\n)")
 LABEL = re.compile(r"""["']?(?<![A-Za-z0-9_.-])[A-Za-z_][A-Za-z0-9_.-]*["']?[\x20\t]*[:=]""")
 HEADER = re.compile(r"""(?m:^)[\x20\t]*(?:\[{1,2}[A-Za-z0-9_\x20.:/"-]+\]{1,2}|[^\n]*\{)[\x20\t\r]*(?m:$)""")
@@ -56,9 +57,14 @@ def strong(text: str) -> list[Span]:
 def ends_of_scopes(text: str, parts: list[Span], reach: int) -> list[int]:
     """Where in the text, in order, one scope ends and the next begins."""
     out, headers, last = [], [m.start() for m in HEADER.finditer(text)], 0
+    run, labelled = 0, False  # where the white space that was looked at ends, and whether a labelled line follows it
     for m in EMPTY_LINE.finditer(text):
         headed = bisect_left(headers, last) < bisect_left(headers, m.start())
-        if not (headed and LABELLED_LINE.match(text, m.start())):
+        if headed and m.start() >= run:
+            # All empty lines of a run are followed by the same line: it is looked at once.
+            labelled = LABELLED_LINE.match(text, m.start()) is not None
+            run = after.start() if (after := NOT_SPACE.search(text, m.start())) else len(text)
+        if not (headed and labelled):
             out.append(m.start())
             last = m.start()
     # Lines in which parts stand far apart.
@@ -138,7 +144,8 @@ SPANS = "array<struct<kind:string,start:int,end:int,strong:boolean>>"
 def secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
     """(doc, secrets): one row for each row of docs with its spans by start, in code points of the whole text, end exclusive.
 
-    Null and empty texts have none. Repeated rows each give a row, null ids too. No rows give no rows.
+    Null and empty texts have none. Repeated rows each give a row, null ids too. No rows give no rows. A text of any length
+    is taken whole, in time by its length.
     """
 
     @F.pandas_udf(SPANS)

@@ -40,8 +40,11 @@ def interleave(df: DataFrame, stratum: str = "source", ids: tuple[str, ...] = ("
     a place of their own; which of them takes which isn't defined. No rows give no rows. Columns named shard, slot or
     fraction are replaced. Give narrow rows: they are shuffled twice.
     """
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {"shard", "slot", "fraction"}])
-    names = df.columns
+    given = [c for c in df.columns if c.lower() not in {"shard", "slot", "fraction"}]
+    # Names of their own while the work goes on: columns may have any.
+    own = {c: f"_c{i}" for i, c in enumerate(given)}
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    names, stratum, ids = df.columns, own[stratum], tuple(own[i] for i in ids)
     order = F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in ids]).cast("binary"))
     keyed = df.withColumns({"_x_s": F.coalesce(F.concat(F.lit("="), F.col(f"`{stratum}`").cast("string")), F.lit("")), "_x_o": order})
 
@@ -74,7 +77,7 @@ def interleave(df: DataFrame, stratum: str = "source", ids: tuple[str, ...] = ("
     out = out.withColumn("shard", shard)
     # The first place of shard s is the least p with p * shards >= s * total.
     out = out.withColumn("slot", F.expr(f"_x_p - ((cast(shard as bigint) * {total} + {shards - 1}) div {shards})"))
-    return out.select(*[F.col(f"`{c}`") for c in names], "fraction", "shard", "slot")
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], "fraction", "shard", "slot")
 
 
 def op5_shards(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -107,3 +107,15 @@ LINES = "".join(f"option_{i} = value {i}\n" for i in range(60))
 def test_scope_alone_bounds_the_join(text, kinds):
     base, more = ss.find(text)
     assert [k for k, _, _ in sorted(base + more, key=lambda s: s[1])] == kinds
+
+
+def test_many_empty_lines_take_time_by_their_number():
+    import time
+
+    parts = "[section]\nuser_name = someone\n{}password = abcdef1\n"
+    blank, took = "\n \t" * 200_000, time.perf_counter()
+    found = ss.find(parts.format(blank + "\n"))[1]
+    assert time.perf_counter() - took < 10
+    assert [k for k, _, _ in found] == ["identifier", "weak_secret"] == [k for k, _, _ in ss.find(parts.format("\n\n"))[1]]
+    # Without a labelled line after them empty lines end the section.
+    assert ss.find("[section]\nuser_name = someone\n" + blank + "\nprose, and then\npassword = abcdef1\n")[1] == []

@@ -57,3 +57,11 @@ def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id bigint, text string, source string")
     assert sorted((r.shard, r.slot) for r in op5_shards(df).collect()) == [(0, 0), (8, 0)]
     assert op5_shards(df.limit(0)).collect() == []
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"))
+    clash = docs.withColumns({c: F.lit(7) for c in ("_x_s", "_x_o", "_x_n", "_x_b", "_x_r", "_x_f", "_x_p", "_c0", "shard", "slot", "fraction", "Slot.x")})
+    key = lambda df: sorted((r.doc_id, r["shard"], r["slot"]) for r in df.collect())
+    got = interleave(clash, shards=4, rows_per_bucket=5)
+    assert key(got) == key(interleave(docs, shards=4, rows_per_bucket=5)) and {r["_x_s"] for r in got.collect()} == {7}
