@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import accounting, content
+from lectern.operators import accounting, content, retries
 
 from .catalogue import query, table
 
@@ -138,3 +138,35 @@ def best_attempt(spark, sf_dir):
 def solid_pick(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return content.first_rows(rows, ["lang", "source"], [F.col("quality").desc_nulls_last(), F.col("n_chars").desc(), F.col("doc_id").asc()]).select("lang", "source", "doc_id")
+
+
+# What an attempt at a document gives, by its number: flagged or not, and how long a run is missing.
+def attempted(rows, attempt):
+    flagged = (F.col("doc_id") + 3 * attempt) % 5 < 2
+    run = F.when(flagged, 3 + F.col("doc_id") * (attempt + 1) % 7).otherwise(0).cast("int")
+    return rows.select("doc_id", flagged.alias("flagged"), run.alias("omission_run"), F.lit(0).alias("insertion_run"), run.alias("omissions"), F.lit(0).alias("insertions"), (run / 100).alias("wer"))
+
+
+ATTEMPT = lambda k: f"CASE WHEN (doc_id + 3 * {k}) % 5 < 2 THEN 3 + doc_id * ({k} + 1) % 7 ELSE 0 END"
+
+
+@query(
+    "retry_rounds",
+    # Millionths of a dollar, a dollar for each provider; a run of 0 isn't flagged, and the earliest of equal attempts stays.
+    f"""WITH d AS (SELECT doc_id, source, n_chars * 30 AS cost, {ATTEMPT(0)} AS a, {ATTEMPT(1)} AS b, {ATTEMPT(2)} AS c FROM documents),
+    f AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + cost <= 1000000 AS fits FROM d WHERE a > 0),
+    s AS (SELECT source, count(*) FILTER (WHERE fits) AS tried, count(*) FILTER (WHERE NOT fits) AS refused, coalesce(sum(cost) FILTER (WHERE fits), 0) AS cost FROM f GROUP BY source),
+    g AS (SELECT f.*, coalesce(sum(f.cost) OVER (PARTITION BY f.source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + f.cost <= 1000000 - s.cost AS fits2 FROM f JOIN s ON s.source = f.source WHERE fits AND least(a, b) > 0),
+    t AS (SELECT source, count(*) FILTER (WHERE fits2) AS tried, count(*) FILTER (WHERE NOT fits2) AS refused, coalesce(sum(cost) FILTER (WHERE fits2), 0) AS cost FROM g GROUP BY source),
+    k AS (SELECT d.doc_id, d.source, CASE WHEN fits2 AND c < least(d.a, d.b) THEN 2 WHEN fits AND d.b < d.a THEN 1 ELSE 0 END AS attempt FROM d LEFT JOIN (SELECT doc_id, fits FROM f) f USING (doc_id) LEFT JOIN (SELECT doc_id, fits2 FROM g) g USING (doc_id))
+    SELECT source, round, tried, refused, cost::BIGINT AS cost, (SELECT count(*) FROM k WHERE k.source = x.source AND attempt = round) AS kept
+    FROM (SELECT source, 1 AS round, tried, refused, cost FROM s UNION ALL SELECT source, 2, tried, refused, cost FROM t) x""",
+)
+def retry_rounds(spark, sf_dir):
+    """Documents as chunks of providers, the flagged ones tried again up to twice, a dollar for each provider."""
+    docs = table(spark, sf_dir, "documents").withColumn("cost", F.col("n_chars") * 30)
+    first = docs.select("doc_id", "source", "cost").join(attempted(docs, 0), "doc_id")
+    left = docs.select("source").distinct().withColumn("left", F.lit(1_000_000))
+    best, spent = retries.rounds(first, attempted, ["doc_id"], "source", ["doc_id"], "cost", left, 2, bucket=F.floor(F.col("doc_id") / 1000))
+    kept = best.groupBy("source", F.col("attempt").alias("round")).agg(F.count("*").alias("kept"))
+    return spent.join(kept, ["source", "round"], "left").select("source", "round", "tried", "refused", F.col("cost").cast("long").alias("cost"), F.coalesce("kept", F.lit(0)).alias("kept"))
