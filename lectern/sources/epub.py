@@ -8,10 +8,12 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,9 @@ def _local(tree, name: str):
 class Container:
     """One EPUB: names without regard to case, and its package."""
 
-    def __init__(self, content: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
+    def __init__(self, content):
+        """From bytes, or from a file that can seek, of which only the members asked for are read."""
+        self.zip = zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content)
         self.names = {n.lower(): n for n in reversed(self.zip.namelist())}
 
     def read(self, name: str) -> bytes:
@@ -64,25 +67,34 @@ class Container:
         return items, [e.get("idref") for e in _local(tree, "itemref")]
 
 
-def members(epub: str, content: bytes) -> list[tuple]:
-    """A row for the container (spine -1), one for each spine document in order, one for each style sheet (spine null)."""
+def member_rows(epub: str, content, wanted: Callable[[tuple], bool] = lambda row: True) -> Iterator[tuple]:
+    """A row for the container (spine -1), one for each spine document in order, one for each style sheet (spine null).
+
+    wanted says of a row without content whether it is; what isn't wanted is not read.
+    """
     try:
         own = Container(content)
         protected, reason, fonts = own.protection()
-        rows = [(epub, -1, "", "", None, protected, reason, fonts)]
-        if protected:
-            return rows
-        items, spine = own.manifest()
-    except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as x:
-        return [(epub, -1, "", "", None, None, f"not an EPUB: {x}"[:200], 0)]
+        items, spine = ({}, []) if protected else own.manifest()
+    except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, pa.ArrowInvalid) as x:
+        rows = [(epub, -1, "", "", None, None, f"not an EPUB: {x}"[:200], 0)]
+        yield from filter(wanted, rows)
+        return
+    yield from filter(wanted, [(epub, -1, "", "", None, protected, reason, fonts)])
     place = 0
     for ref in spine:
         name, kind = items.get(ref, ("", ""))
         if name and (kind in DOCUMENT_TYPES or name.lower().endswith(DOCUMENT_NAMES)) and own.has(name):
-            rows.append((epub, place, name, kind, own.read(name), False, "", fonts))
+            if wanted((epub, place, name, kind, None, False, "", fonts)):
+                yield epub, place, name, kind, own.read(name), False, "", fonts
             place += 1
-    rows += [(epub, None, name, kind, own.read(name), False, "", fonts) for name, kind in items.values() if kind == "text/css" and own.has(name)]
-    return rows
+    for name, kind in items.values():
+        if kind == "text/css" and own.has(name) and wanted((epub, None, name, kind, None, False, "", fonts)):
+            yield epub, None, name, kind, own.read(name), False, "", fonts
+
+
+def members(epub: str, content: bytes) -> list[tuple]:
+    return list(member_rows(epub, content))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
