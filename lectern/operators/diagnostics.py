@@ -88,6 +88,21 @@ def assumed_first(chapters: DataFrame, expected: DataFrame) -> DataFrame:
     return chapters.where("chapter = 1 AND NOT marked").join(expected.where("expected > 1"), "book").select("book").distinct()
 
 
+def book_totals(units: DataFrame, books: DataFrame) -> DataFrame:
+    """(ord, book, found, expected, verses, characters) of units (book, chapter, verse, text) by the dimension of books (ord, id, chapters).
+
+    found are the chapters from 1 on that have text, verses the distinct labels in all chapters. A book that the dimension
+    doesn't have has no ord, and stands last, and expects no chapters.
+    """
+    totals = units.groupBy("book").agg(
+        F.count_distinct(F.when(F.col("chapter") >= 1, F.col("chapter"))).alias("found"),
+        F.count_distinct("chapter", "verse").alias("verses"),
+        F.sum(F.length("text").cast("long")).alias("characters"),
+    )
+    known = books.select("ord", F.col("id").alias("book"), F.col("chapters").alias("expected"))
+    return totals.join(known, "book", "left").select("ord", "book", "found", F.coalesce("expected", F.lit(0)).alias("expected"), "verses", "characters").orderBy(F.col("ord").asc_nulls_last(), "book")
+
+
 def has_prologue(chapters: DataFrame) -> DataFrame:
     """(book, prologue, chapters): whether there is a chapter 0, and how many others."""
     return chapters.groupBy("book").agg(F.bool_or(F.col("chapter") == 0).alias("prologue"), F.countDistinct(F.when(F.col("chapter") > 0, F.col("chapter"))).alias("chapters"))
