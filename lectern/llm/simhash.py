@@ -37,7 +37,7 @@ PARITIES = 8
 SURE, UNSURE = 5.0, 6.5
 APART, FEW, SEEN = 45, 32, 1_000_000
 #: Rare shingles of which similar sets share so many; sets of one shingle, or of several together, that are compared in one task.
-RARE_MORE, HOT = 5, 2000
+RARE_MORE, HOT = 5, 20_000
 SLICE_BYTES = 2_000_000
 # As many blocks are spare as make a node of the index hold about NODE fingerprints on average.
 NODE = 4096
