@@ -162,10 +162,10 @@ def document_error_rates(spark, sf_dir):
     FROM (SELECT doc_id, len(w) AS n, {SQL_FAULTS} FROM (SELECT doc_id, {SQL_WORDS_OF} AS w FROM documents))""",
 )
 def document_stretches(spark, sf_dir):
-    """Whole documents of any length against what is heard of them, in stretches of about 200 words that different tasks align."""
+    """Whole documents of any length against what is heard of them, in stretches of about 1,000 words that different tasks align."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).select("doc_id", *apart(F.col("words")))
-    found = alignment.verified_whole(docs, ["doc_id"], most=200)
+    found = alignment.verified_whole(docs, ["doc_id"], most=1000)
     return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_said", "n_heard", "substitutions", "omissions", "insertions")], "omission_run", "insertion_run", "wer", "flagged")
 
 
