@@ -41,16 +41,21 @@ def sounds(word: Column, seseo: bool = True, final: str = "suave") -> Column:
     s = F.regexp_replace(s, "h", "")
     s = F.regexp_replace(F.regexp_replace(s, f"i(?=[{VOWELS}])", "J"), f"[uü](?=[{VOWELS}JW])", "W")
     s = F.regexp_replace(F.regexp_replace(s, "([aeoáéóíú][JW]*)i", "$1J"), "([aeoáéóíú][JW]*)[uü]", "$1W")
-    syllables = F.length(F.regexp_replace(s, f"[^{VOWELS}]", ""))
-    stressed = (
-        F.when(syllables < 2, s)
-        .when(s.rlike("[áéíóú]"), F.regexp_replace(s, "^([^áéíóú]*)", "$1ˈ"))
-        .when(lower.rlike("[aeiouns]$"), F.regexp_replace(s, f"([{VOWELS}][^{VOWELS}]*[{VOWELS}][^{VOWELS}]*)$", "ˈ$1"))
-        .otherwise(F.regexp_replace(s, f"([{VOWELS}][^{VOWELS}]*)$", "ˈ$1"))
-    )
-    said = F.translate(stressed, "áéíóúürRJWGZL", "aeiouuɾrjwɡ" + ("s" if seseo else "θ") + "ʝ")
-    said = F.regexp_replace(F.regexp_replace(said, "C", "tʃ"), "K", "ks")
-    return F.when(word.rlike(r"^\p{L}+$") & (syllables > 0), said)
+
+    def said(s: Column) -> Column:
+        syllables = F.length(F.regexp_replace(s, f"[^{VOWELS}]", ""))
+        stressed = (
+            F.when(syllables < 2, s)
+            .when(s.rlike("[áéíóú]"), F.regexp_replace(s, "^([^áéíóú]*)", "$1ˈ"))
+            .when(lower.rlike("[aeiouns]$"), F.regexp_replace(s, f"([{VOWELS}][^{VOWELS}]*[{VOWELS}][^{VOWELS}]*)$", "ˈ$1"))
+            .otherwise(F.regexp_replace(s, f"([{VOWELS}][^{VOWELS}]*)$", "ˈ$1"))
+        )
+        out = F.translate(stressed, "áéíóúürRJWGZL", "aeiouuɾrjwɡ" + ("s" if seseo else "θ") + "ʝ")
+        out = F.regexp_replace(F.regexp_replace(out, "C", "tʃ"), "K", "ks")
+        return F.when(word.rlike(r"^\p{L}+$") & (syllables > 0), out)
+
+    # The steps so far are made once, whatever branch is taken: a variable of a function over an array of one.
+    return F.get(F.transform(F.array(s), said), 0)
 
 
 def with_final_r(text: Column, mode: str, seseo: bool = True, exclude: tuple[str, ...] = ()) -> Column:
