@@ -448,6 +448,17 @@ def may_be_similar(one: list, other: list) -> np.ndarray:
 
 
 PAIR = "h", "label", "id", "n", "pos", "fp", "other"
+BEFORE = [f"before{k}" for k in range(4)]
+
+
+def earlier(rows: DataFrame) -> DataFrame:
+    """Rows (h, id, pos) of shared(), with the least of the hashes of the set's shingles before each, by several hash functions.
+
+    Where two sets have the same least, they share a shingle before this one: it isn't the first that they share. Without
+    any before it the id stands there, which no other set has.
+    """
+    first = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({b: F.coalesce(F.min(F.xxhash64("h", F.lit(k))).over(first), F.col("id")) for k, b in enumerate(BEFORE)})
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -486,10 +497,14 @@ def candidates(rows: DataFrame, hot: int = HOT) -> DataFrame:
     common, so that the first of what they share, in any order that is the same for all, is among the leading of both; and
     behind it enough must follow in both. Of one more rare shingle for each further step they share the second, the third and so on.
 
+    A pair is looked at by the first shingle that it shares. At later ones it is left out where a shared one before is seen by
+    the columns of earlier(), which are added if rows have none, so that long sets don't come once for each of hundreds.
+
     Sets of a shingle that more than `hot` sets lead with are looked at by that shingle and the next that they share, and of those that are
     still as many by one more, up to RARE_MORE; what remains is cut to blocks of which any two meet in a task of their own.
     """
-    own = rows.select("h", "label", "id", "n", "pos", "fp", "other", *ODD)
+    rows = rows if BEFORE[0] in rows.columns else earlier(rows)
+    own = rows.select(*PAIR, *ODD, *BEFORE)
     at = own.where(leading()).withColumn("key", F.col("h"))
     found = []
     for step in range(1, RARE_MORE + 1):
@@ -515,13 +530,14 @@ def candidates(rows: DataFrame, hot: int = HOT) -> DataFrame:
     every = found[0]
     for other in found[1:]:
         every = every.unionByName(other)
-    return every.select("key", *PAIR[1:], *ODD).repartition("key").sortWithinPartitions("key").mapInArrow(_sharing, "a bigint, b bigint").distinct()
+    return every.select("key", *PAIR[1:], *ODD, *BEFORE).repartition("key").sortWithinPartitions("key").mapInArrow(_sharing, "a bigint, b bigint").distinct()
 
 
 def _sharing(batches):
     def solve(h, label, *values):
         order = np.lexsort((label, h))
         h, label, ids, *values = (x[order] for x in (h, label, *values))
+        values, before = values[: -len(BEFORE)], values[-len(BEFORE) :]
         new = np.r_[True, h[1:] != h[:-1]]
         turn = np.flatnonzero(new | np.r_[True, label[1:] != label[:-1]])
         starts, every = np.flatnonzero(new), np.r_[turn, len(h)]
@@ -535,6 +551,9 @@ def _sharing(batches):
             own = row[at:to]
             j = spread(after[own], end[own] - after[own])
             i = np.repeat(own, end[own] - after[own])
+            for x in before:
+                new = x[i] != x[j]
+                i, j = i[new], j[new]
             good = may_be_similar([x[i] for x in values], [x[j] for x in values])
             a, b = ids[i[good]], ids[j[good]]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -671,7 +690,7 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: in
         sure = written(similar(index.unionByName(stars(own)).distinct(), slim, least, "text", shingle), "simhash-similar")
         roots = connected(sure)
         marks = least.select("id", "fp", "other", *ODD)
-        own = rows.join(marks.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root"), "id")
+        own = earlier(rows).join(marks.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root"), "id")
         more = written(similar(candidates(own), slim, least, "text", shingle), "simhash-more")
         if not more.isEmpty():
             roots = connected(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(more))

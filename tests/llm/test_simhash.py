@@ -177,3 +177,22 @@ def test_sets_on_hot_shingles_lose_no_similar_pair(spark, shared):
     got = {(r.a, r.b) for r in simhash.candidates(df, hot=5).collect()}
     assert len(similar) >= 12 and similar <= got
     assert similar <= {(r.a, r.b) for r in simhash.candidates(df, hot=10**9).collect()}
+
+
+def test_a_pair_of_long_sets_is_not_made_by_each_shingle_it_shares(spark):
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    sets = {0: set(rnd.sample(range(2**60), 1000))}
+    for i in (1, 2):
+        sets[i] = set(rnd.sample(sorted(sets[0]), 920)) | set(rnd.sample(range(2**60), 80))
+    rows = []
+    for i, own in sets.items():
+        rows += [(h, i, i, 1000, pos, 0, 0, *[0] * simhash.PARITIES) for pos, h in enumerate(sorted(own)[: 200 + simhash.RARE_MORE])]
+    df = spark.createDataFrame(rows, "h bigint, label bigint, id bigint, n int, pos int, fp bigint, other bigint, " + ", ".join(f"{q} bigint" for q in simhash.ODD))
+    similar = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    ready = simhash.earlier(df).select(*simhash.PAIR, *simhash.ODD, *simhash.BEFORE).orderBy("h").toPandas()
+    made = simhash._sharing(pa.RecordBatch.from_pandas(own, preserve_index=False) for _, own in ready.groupby("h"))
+    made = [pair for batch in made for pair in zip(*(c.to_pylist() for c in batch.columns))]
+    assert similar and similar <= set(made)
+    assert len(made) <= 5 * len(set(made))
