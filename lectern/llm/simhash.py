@@ -31,8 +31,9 @@ FAN = 8
 SLICE, PAIRS = 1_000_000, 300_000
 # With checked links: the least Jaccard similarity, as a fraction.
 SIMILAR = (4, 5)
-# Shingles with COMMON occurrences or more in a sample of about SAMPLE stand last; that decides only how many candidates there are.
-SAMPLE, COMMON = 2_000_000, 20
+# Shingles that make one in COMMON of all of a table's stand last; that decides only how many candidates there are. First all are counted in so many BUCKETS.
+COMMON, BUCKETS = 100_000, 1 << 18
+HELD = 2_000_000
 PARITIES = 8
 SURE, UNSURE = 5.0, 6.5
 APART, FEW, SEEN = 45, 32, 1_000_000
@@ -363,23 +364,46 @@ def links(distinct: DataFrame, max_bits: int = 4, spare: int = 2, max_both: int
 # Candidates by rare shingles
 
 
-def _whole_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+def _counted(docs: DataFrame, text: str, shingle: int, key) -> DataFrame:
+    """(k, n): how many shingles of the sets of all texts have each key. key takes an array of hashes to the keys of those that count."""
+
+    def counts(parts):
+        k, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(k.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for at, to in byte_slices(batch.column(0), SLICE_BYTES):
-                ids, sets = zip(*shingle_sets_of(batch.column(0).slice(at, to - at), shingle))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
+                for _, own in shingle_sets_of(batch.column(0).slice(at, to - at), shingle):
+                    held.append(key(own))
+                    size += len(held[-1])
+                if size > HELD:
+                    yield counts(held)
+                    held, size = [], 0
+        if held:
+            yield counts(held)
 
-    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "id bigint, shingles array<bigint>")
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted hashes of shingles of many texts in a sample of about SAMPLE shingles, and in how many of it they are."""
-    chars = docs.agg(F.sum(F.length(f"`{text}`"))).first()[0] or 0
-    share = max(1, chars // (6 * SAMPLE))
-    some = docs.where(F.pmod(F.xxhash64(f"`{text}`"), F.lit(share)) == 0)
-    rows = _whole_sets(some, text, shingle).dropDuplicates(["id"]).select(F.explode("shingles").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON).orderBy("h").collect()
-    return np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    """The sorted hashes of shingles that make at least one in COMMON of the shingles of all sets, at most COMMON of them, and in how many texts each is.
+
+    All texts are read, copies as often as they come, and the counts are exact: a bucket of shingles has at least as many as each of
+    them, so that only those of buckets with enough are counted one by one.
+    """
+    mask = np.uint64(BUCKETS - 1)
+    buckets = written(_counted(docs, text, shingle, lambda own: own & mask), "simhash-buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    least = max(2, -(-total // COMMON))
+    full = np.zeros(BUCKETS, bool)
+    full[[r[0] for r in buckets.where(F.col("n") >= least).select("k").collect()]] = True
+    may = docs.sparkSession.sparkContext.broadcast(full)
+    rows = _counted(docs, text, shingle, lambda own: own[may.value[own & mask]]).where(F.col("n") >= least).collect()
+    keys, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
 def shared(prints: DataFrame) -> DataFrame:
