@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def json_text(text: Column) -> Column:
-    """A text as JSON has it, letters of all scripts as they are and control characters in lower-case digits."""
-    for special in ["\\", '"', *map(chr, range(32))]:
+#: What JSON writes otherwise in a text.
+SPECIAL = "".join(["\\", '"', *map(chr, range(32))])
+
+
+def json_text(text: Column, escaped: str = SPECIAL) -> Column:
+    """A text as JSON has it, letters of all scripts as they are and control characters in lower-case digits. escaped: a backslash first, if at all."""
+    for special in escaped:
         text = F.replace(text, F.lit(special), F.lit(json.dumps(special)[1:-1]))
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
-def cache_key(signature: Column, text: Column, variant: Column) -> Column:
-    """The first 32 hex digits of the hash of the JSON of all three, keys sorted. A null part makes a null key."""
-    said = F.concat(F.lit('{"firma": '), json_text(signature), F.lit(', "texto": '), json_text(text), F.lit(', "variante": '), variant.cast("string"), F.lit("}"))
+def cache_key(signature: Column, text: Column, variant: Column, in_signature: str = SPECIAL, in_text: str = SPECIAL) -> Column:
+    """The first 32 hex digits of the hash of the JSON of all three, keys sorted. A null part makes a null key. in_signature, in_text: what is escaped in them."""
+    said = F.concat(F.lit('{"firma": '), json_text(signature, in_signature), F.lit(', "texto": '), json_text(text, in_text), F.lit(', "variante": '), variant.cast("string"), F.lit("}"))
     return F.substring(F.sha2(said.cast("binary"), 256), 1, 32)
 
 
@@ -25,9 +29,16 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)
 
 
-def pending(work: DataFrame, cache: DataFrame, on: list[str]) -> DataFrame:
-    """One row of each key of work that isn't in the cache."""
-    return work.join(cache.select(*on).distinct(), on, "left_anti").dropDuplicates(on)
+def pending(work: DataFrame, cache: DataFrame, on: list[str], each: list[str] | None = None) -> DataFrame:
+    """One row of each key of work that isn't in the cache; each: what makes rows that are pending differ, if more than the key."""
+    return work.join(cache.select(*on).distinct(), on, "left_anti").dropDuplicates(each or on)
+
+
+def none_if_unknown(work: DataFrame, cache: DataFrame, on: str) -> DataFrame:
+    """The rows of work that NOT IN can keep: none beside a null in the cache, and a null of work only beside an empty cache."""
+    known = cache.agg(F.count("*").alias("_all"), F.count(on).alias("_known"))
+    kept = (F.col("_all") == 0) | ((F.col("_all") == F.col("_known")) & F.col(on).isNotNull())
+    return work.join(F.broadcast(known), kept).drop("_all", "_known")
 
 
 def upsert_actions(new: DataFrame, there: DataFrame, prints: DataFrame, key: list[str], text: str = "text", force: bool = False) -> DataFrame:
