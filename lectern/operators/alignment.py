@@ -5,8 +5,9 @@ what stands before and after it on both sides is aligned in the same way. All wo
 words in a row on both sides are found by one sort, and each round cuts them to the open stretches and takes the longest
 of each. Words so frequent that their pairs would not fit are matched by a suffix automaton instead, in memory by length.
 
-A long pair of lists is first cut at words that each side has once, and becomes stretches that different tasks align;
-counts, runs, rates, flags and times are column expressions over the blocks.
+A long pair of lists is first cut at words that each side has once, where it stands, and becomes stretches that different
+tasks align. Stretches are sent as numbers of words, packed, never as words that nobody asks for. Counts, runs, rates, flags
+and times are column expressions over the blocks.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ OMISSION_RUN, INSERTION_RUN, MOST_WER = 3, 4, 0.25
 
 #: Pairs of equal words in memory at once.
 PAIRS = 1 << 21
+#: Words of both sides in memory at once, or those of one row.
+WORDS = 1 << 18
 #: Words of a stretch, about, and anchors in a row that a cut needs around it.
 STRETCH, ANCHORS = 2000, 3
 
 BLOCKS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("i1", "i2", "j1", "j2")]]))
 OPS = np.array(["equal", "replace", "delete", "insert"])
+#: Where a stretch begins and ends on both sides, and the numbers of its words, packed.
+PIECES = T.ArrayType(T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("i0", "i1", "j0", "j1")], *[T.StructField(c, T.BinaryType()) for c in ("a", "b")]]))
 
 
 def _starts(counts: np.ndarray) -> np.ndarray:
@@ -187,15 +192,105 @@ def _opcodes(a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarra
     return of, op, i1 - upto_a[of], i2 - upto_a[of], j1 - upto_b[of], j2 - upto_b[of]
 
 
-@F.arrow_udf(BLOCKS)
-def blocks(said: pa.Array, heard: pa.Array) -> pa.Array:
-    a, b, upto_a, upto_b = _numbers(said, heard)
+def _listed(a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> pa.Array:
+    """The blocks of all rows as lists."""
     of, op, *places = _opcodes(a, b, upto_a, upto_b)
-    offsets = np.searchsorted(of, np.arange(len(said) + 1)).astype(np.int32)
+    offsets = np.searchsorted(of, np.arange(len(upto_a))).astype(np.int32)
     fields = [pa.array(OPS[op], pa.string()), *[pa.array(x.astype(np.int32)) for x in places]]
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names=["op", "i1", "i2", "j1", "j2"]))
 
 
+@F.arrow_udf(BLOCKS)
+def blocks(said: pa.Array, heard: pa.Array) -> pa.Array:
+    return _listed(*_numbers(said, heard))
+
+
+def _slices(n_words: np.ndarray):
+    """Slices of rows with WORDS words at most, or of one row; an empty one if there are no rows."""
+    upto, row = np.r_[0, np.cumsum(n_words)], 0
+    while True:
+        to = min(len(n_words), max(row + 1, int(np.searchsorted(upto, upto[row] + WORDS, side="right")) - 1))
+        yield slice(row, to)
+        row = to
+        if row >= len(n_words):
+            return
+
+
+def cut_places(a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray, most: int, anchors: int) -> tuple[np.ndarray, ...]:
+    """(row, i, j) of the cuts of all rows, in order (see stretches). Null words are 0."""
+    n_a, n_b = np.diff(upto_a), np.diff(upto_b)
+    long, kinds = np.maximum(n_a, n_b) > most, int(max(a.max(initial=0), b.max(initial=0))) + 1
+
+    def once(words, row):
+        at = np.flatnonzero(long[row] & (words > 0))
+        key, first, times = np.unique(row[at] * kinds + words[at], return_index=True, return_counts=True)
+        return key[times == 1], at[first[times == 1]]
+
+    (key_a, at_a), (key_b, at_b) = once(a, np.repeat(np.arange(len(n_a)), n_a)), once(b, np.repeat(np.arange(len(n_b)), n_b))
+    key, in_a, in_b = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
+    by = np.argsort(at_a[in_a])
+    row, i, j = (key // kinds)[by], at_a[in_a][by], at_b[in_b][by]
+    back = anchors - 1
+    kept = np.ones(len(row), bool)
+    kept[:back] = False
+    kept[back:] &= (row[back:] == row[: len(row) - back]) & (i[back:] - i[: len(i) - back] == back) & (j[back:] - j[: len(j) - back] == back)
+    row, i, j = row[kept], i[kept], j[kept]
+    # Rows follow each other on both sides, so that places in the batch tell of anchors that change sides in the same row alone.
+    before, after = np.r_[-1, np.maximum.accumulate(j)[:-1]][: len(j)], np.r_[np.minimum.accumulate(j[::-1])[::-1][1:], len(b)][: len(j)]
+    kept = (before < j) & (j < after)
+    row, i, j = row[kept], (i - upto_a[row])[kept], (j - upto_b[row])[kept]
+    row, i, j = row[i >= most], i[i >= most], j[i >= most]
+    first = np.r_[True, (np.diff(row) != 0) | (np.diff(i // most) != 0)][: len(row)]
+    return row[first], i[first], j[first]
+
+
+def packed(words: np.ndarray, codec: pa.Codec) -> bytes:
+    """Numbers by their differences, compressed: those of words first seen rise by one."""
+    return codec.compress(np.diff(words, prepend=0).astype("<i4").tobytes(), asbytes=True) if len(words) else b""
+
+
+def unpacked(data: bytes, n: int, codec: pa.Codec) -> np.ndarray:
+    return np.cumsum(np.frombuffer(codec.decompress(data, 4 * n, asbytes=True), "<i4"), dtype=np.int64) if n else np.zeros(0, np.int64)
+
+
+def cut_lists(said: pa.Array, heard: pa.Array, most: int, anchors: int) -> pa.Array:
+    """The stretches of each pair of lists, as PIECES has them."""
+    codec, out = pa.Codec("zstd"), []
+    lengths = lambda x: np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    for rows in _slices(lengths(said) + lengths(heard)):
+        a, b, upto_a, upto_b = _numbers(said[rows], heard[rows])
+        row, i, j = cut_places(a, b, upto_a, upto_b, most, anchors)
+        whole = np.arange(len(upto_a) - 1)
+        of, i0, j0 = np.r_[whole, row], np.r_[0 * whole, i], np.r_[0 * whole, j]
+        by = np.lexsort((i0, of))
+        of, i0, j0 = of[by], i0[by], j0[by]
+        last = np.r_[np.diff(of) != 0, True][: len(of)]
+        i1, j1 = [np.where(last, np.diff(upto)[of], np.r_[k0[1:], 0][: len(of)]) for upto, k0 in ((upto_a, i0), (upto_b, j0))]
+        sides = [pa.array([packed(words[x:y], codec) for x, y in zip((upto[of] + k0).tolist(), (upto[of] + k1).tolist())], pa.binary()) for words, upto, k0, k1 in ((a, upto_a, i0, i1), (b, upto_b, j0, j1))]
+        fields = [*[pa.array(x.astype(np.int32)) for x in (i0, i1, j0, j1)], *sides]
+        offsets = np.searchsorted(of, np.arange(len(upto_a))).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names=["i0", "i1", "j0", "j1", "a", "b"])))
+    return pa.concat_arrays(out)
+
+
+def pieces(said: Column, heard: Column, most: int, anchors: int) -> Column:
+    @F.arrow_udf(PIECES)
+    def cut(said: pa.Array, heard: pa.Array) -> pa.Array:
+        return cut_lists(said, heard, most, anchors)
+
+    return cut(said, heard)
+
+
+@F.arrow_udf(BLOCKS)
+def blocks_of_packed(n_a: pa.Array, a: pa.Array, n_b: pa.Array, b: pa.Array) -> pa.Array:
+    """The blocks of stretches that are sent packed."""
+    codec, n_a, n_b, out = pa.Codec("zstd"), n_a.to_numpy(zero_copy_only=False).astype(np.int64), n_b.to_numpy(zero_copy_only=False).astype(np.int64), []
+    for rows in _slices(n_a + n_b):
+        side = lambda data, n: np.concatenate([np.zeros(0, np.int64), *[unpacked(x.as_buffer(), k, codec) for x, k in zip(data[rows], n[rows].tolist())]])
+        out.append(_listed(side(a, n_a), side(b, n_b), np.r_[0, np.cumsum(n_a[rows])], np.r_[0, np.cumsum(n_b[rows])]))
+    return pa.concat_arrays(out)
+
+
 def _sum(of: Column, value) -> Column:
     return F.aggregate(of, F.lit(0), lambda a, x: a + value(x))
 
@@ -212,9 +307,9 @@ def _more(x: Column) -> Column:
     return F.when(x["op"] != "equal", F.greatest((x["j2"] - x["j1"]) - (x["i2"] - x["i1"]), F.lit(0))).otherwise(0)
 
 
-def counted(df: DataFrame, said: str = "said", heard: str = "heard", omission_run: int = OMISSION_RUN, insertion_run: int = INSERTION_RUN) -> DataFrame:
-    """Adds blocks, substitutions, omissions, insertions, omission_run, insertion_run, missing, extra (see verified)."""
-    df = df.withColumn("blocks", blocks(said, heard))
+def counted(df: DataFrame, said: str = "said", heard: str = "heard", omission_run: int = OMISSION_RUN, insertion_run: int = INSERTION_RUN, found: Column | None = None) -> DataFrame:
+    """Adds blocks, substitutions, omissions, insertions, omission_run, insertion_run, missing, extra (see verified). found: the blocks, if not those of said and heard."""
+    df = df.withColumn("blocks", blocks(said, heard) if found is None else found)
     b = F.col("blocks")
     words = lambda c, a, z: F.array_join(F.slice(c, a + 1, z - a), " ")
     gone = F.filter(b, lambda x: (x["op"] == "delete") | ((x["op"] == "replace") & (_lost(x) >= omission_run)))
@@ -258,6 +353,15 @@ def verified(df: DataFrame, said: str = "said", heard: str = "heard", omission_r
     return judged(df, F.coalesce(F.size(said), F.lit(0)), F.coalesce(F.size(heard), F.lit(0)), omission_run, insertion_run, most_wer)
 
 
+def _stretches(df: DataFrame, keys: list[str], said: str, heard: str, most: int, anchors: int) -> DataFrame:
+    """(keys, stretch, _x, said, heard), _x as PIECES has it."""
+    rows = df.select(*keys, F.coalesce(said, F.array().cast("array<string>")).alias("said"), F.coalesce(heard, F.array().cast("array<string>")).alias("heard"))
+    # Outer, though each pair has a stretch: for the other Spark adds a filter, and cuts all pairs twice.
+    parts = rows.withColumn("_all", pieces(F.col("said"), F.col("heard"), most, anchors)).select(*keys, "said", "heard", F.posexplode_outer("_all").alias("stretch", "_x"))
+    cut_of = lambda c, k: F.slice(c, F.col(f"_x.{k}0") + 1, F.col(f"_x.{k}1") - F.col(f"_x.{k}0")).alias(c)
+    return parts.select(*keys, "stretch", "_x", cut_of("said", "i"), cut_of("heard", "j"))
+
+
 def stretches(df: DataFrame, keys: list[str], said: str = "said", heard: str = "heard", most: int = STRETCH, anchors: int = ANCHORS) -> DataFrame:
     """(keys, stretch, i0, j0, said, heard): pairs of lists of more than `most` words cut to stretches of about so many.
 
@@ -265,35 +369,22 @@ def stretches(df: DataFrame, keys: list[str], said: str = "said", heard: str = "
     changes sides with it, at the first in each `most` words of what was said. So a cut lies inside equal words,
     and no run of faults crosses it. A pair without anchors stays whole. keys tell the rows apart.
     """
-    rows = df.select(*keys, F.coalesce(said, F.array().cast("array<string>")).alias("said"), F.coalesce(heard, F.array().cast("array<string>")).alias("heard"))
-    long = rows.where(F.greatest(F.size("said"), F.size("heard")) > most)
-    once = lambda side, place: long.select(*keys, F.posexplode(side).alias(place, "_w")).groupBy(*keys, "_w").agg(F.min(place).alias(place), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    both = once("said", "i").join(once("heard", "j"), [*keys, "_w"])
-    line = Window.partitionBy(*keys).orderBy("i")
-    back = anchors - 1
-    in_row = (F.lag("i", back).over(line) == F.col("i") - back) & (F.lag("j", back).over(line) == F.col("j") - back) if back else F.lit(True)
-    anchor = both.withColumn("_in", in_row).where("_in")
-    before, after = F.max("j").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.min("j").over(line.rowsBetween(1, Window.unboundedFollowing))
-    anchor = anchor.withColumns({"_b": before, "_a": after}).where((F.coalesce("_b", F.lit(-1)) < F.col("j")) & (F.col("j") < F.coalesce("_a", F.col("j") + 1)))
-    cut = anchor.where(F.col("i") >= most).groupBy(*keys, F.floor(F.col("i") / most).alias("_k")).agg(F.min(F.struct("i", "j")).alias("_at"))
-    cuts = cut.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_cuts"))
-    ends = F.struct(F.size("said").alias("i"), F.size("heard").alias("j"))
-    begin = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    whole = rows.join(cuts, keys, "left").withColumn("_from", F.concat(begin, F.coalesce("_cuts", F.array().cast("array<struct<i:int,j:int>>"))))
-    whole = whole.withColumn("_to", F.concat(F.slice("_from", F.lit(2), F.size("_from")), F.array(ends)))
-    parts = whole.select(*keys, "said", "heard", F.posexplode(F.arrays_zip("_from", "_to")).alias("stretch", "_x"))
-    cut_of = lambda c, k: F.slice(c, F.col(f"_x._from.{k}") + 1, F.col(f"_x._to.{k}") - F.col(f"_x._from.{k}"))
-    return parts.select(*keys, "stretch", F.col("_x._from.i").alias("i0"), F.col("_x._from.j").alias("j0"), cut_of("said", "i").alias("said"), cut_of("heard", "j").alias("heard"))
+    return _stretches(df, keys, said, heard, most, anchors).select(*keys, "stretch", F.col("_x.i0").alias("i0"), F.col("_x.j0").alias("j0"), "said", "heard")
 
 
 def verified_whole(df: DataFrame, keys: list[str], said: str = "said", heard: str = "heard", most: int = STRETCH, omission_run: int = OMISSION_RUN, insertion_run: int = INSERTION_RUN, most_wer: float = MOST_WER) -> DataFrame:
-    """(keys, n_said, n_heard and what verified() adds but the blocks) for pairs of any length, whose stretches are dealt over tasks."""
-    parts = stretches(df, keys, said, heard, most).repartition(*keys, "stretch")
-    rows = counted(parts, "said", "heard", omission_run, insertion_run)
+    """(keys, n_said, n_heard and what verified() adds but the blocks) for pairs of any length, whose stretches are dealt over tasks.
+
+    Words are dealt with them only where missing or extra is read.
+    """
+    size = lambda k: F.col(f"_x.{k}1") - F.col(f"_x.{k}0")
+    parts = _stretches(df, keys, said, heard, most, ANCHORS).select(*keys, "stretch", size("i").alias("n_said"), size("j").alias("n_heard"), F.col("_x.a").alias("_a"), F.col("_x.b").alias("_b"), "said", "heard")
+    # By number: packed stretches are so small that few tasks would be left of partitions joined by their bytes.
+    parts = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "stretch")
+    rows = counted(parts, "said", "heard", omission_run, insertion_run, found=blocks_of_packed("n_said", "_a", "n_heard", "_b"))
     first = lambda c: F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size(c) > 0, F.struct("stretch", c)))), lambda x: x[c])), 1, 5)
     whole = rows.groupBy(*keys).agg(
-        *[F.sum(F.size(c)).alias(f"n_{c}") for c in ("said", "heard")],
-        *[F.sum(c).alias(c) for c in ("substitutions", "omissions", "insertions")],
+        *[F.sum(c).alias(c) for c in ("n_said", "n_heard", "substitutions", "omissions", "insertions")],
         *[F.max(c).alias(c) for c in ("omission_run", "insertion_run")],
         *[first(c).alias(c) for c in ("missing", "extra")],
     )

@@ -80,11 +80,21 @@ def heard_turns(spark, sf_dir):
     return turns.withColumn("heard", heard)
 
 
+def placed(said):
+    """Each word told apart by its place."""
+    return F.transform(said, lambda w, i: F.concat_ws("_", w, i))
+
+
+def misheard(own):
+    """Words without every eleventh, every seventeenth changed."""
+    kept = F.filter(F.transform(own, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["i"] % 11 != 10)
+    return F.transform(kept, lambda x: F.when(x["i"] % 17 == 16, F.concat(F.lit("changed"), x["w"])).otherwise(x["w"]))
+
+
 def apart(said, heard="heard"):
     """said with each word told apart by its place, and what is heard of it: every eleventh left out, every seventeenth changed."""
-    own = F.transform(said, lambda w, i: F.concat_ws("_", w, i))
-    kept = F.filter(F.transform(own, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["i"] % 11 != 10)
-    return own.alias("said"), F.transform(kept, lambda x: F.when(x["i"] % 17 == 16, F.concat(F.lit("changed"), x["w"])).otherwise(x["w"])).alias(heard)
+    own = placed(said)
+    return own.alias("said"), misheard(own).alias(heard)
 
 
 # Words of a text in SQL, with what is left out and changed.
@@ -163,9 +173,15 @@ def document_error_rates(spark, sf_dir):
 )
 def document_stretches(spark, sf_dir):
     """Whole documents of any length against what is heard of them, in stretches of about 1,000 words that different tasks align."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).select("doc_id", *apart(F.col("words")))
-    found = alignment.verified_whole(docs, ["doc_id"], most=1000)
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").isNotNull().alias("known"), words.alias("words"))
+    docs = docs.select("doc_id", "known", placed(F.col("words")).alias("said")).withColumn("heard", misheard(F.col("said")))
+    found = alignment.verified_whole(docs, ["doc_id", "known"], most=1000)
+    # Rounded as in the SQL: halves up, where the operator has the even digit.
+    faults = F.col("substitutions") + F.col("omissions") + F.col("insertions")
+    found = found.withColumn("wer", F.round(faults / F.greatest("n_said", F.lit(1)) * 10_000) / 10_000)
+    # Of a text that isn't known nothing is, but that nothing was inserted.
+    found = found.withColumns({c: F.when(F.col("known"), F.col(c)) for c in ("n_said", "n_heard", "substitutions", "omissions", "omission_run", "wer", "flagged")})
     return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_said", "n_heard", "substitutions", "omissions", "insertions")], "omission_run", "insertion_run", "wer", "flagged")
 
 
